@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import quality_rules
+from tidewire.llm import packing, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": quality_rules.op1_quality_rules}
+    return {
+        "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op5_packing": packing.op5_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
