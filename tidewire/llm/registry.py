@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import packing, quality_rules
+from tidewire.llm import packing, quality_rules, simhash, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op2_token_files": token_files.op2_token_files,
         "op5_packing": packing.op5_packing,
+        "op9_simhash": simhash.op9_simhash,
     }
 
 
