@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import packing, quality_rules, simhash, token_files
+from tidewire.llm import decontamination, packing, quality_rules, simhash, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,9 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_token_files": token_files.op2_token_files,
         "op5_packing": packing.op5_packing,
+        "op7_decontamination": decontamination.op7_decontamination,
         "op9_simhash": simhash.op9_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return quality_rules.oracle_sql()
+    return quality_rules.oracle_sql() | decontamination.oracle_sql()
