@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import decontamination, packing, quality_rules, simhash, token_files
+from tidewire.llm import decontamination, packing, quality_classifier, quality_rules, simhash, token_files, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_token_files": token_files.op2_token_files,
+        "op3_quality_classifier": quality_classifier.op3_quality_classifier,
         "op5_packing": packing.op5_packing,
         "op7_decontamination": decontamination.op7_decontamination,
+        "op8_warc": warc.op8_warc,
         "op9_simhash": simhash.op9_simhash,
     }
 

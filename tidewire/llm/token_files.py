@@ -44,7 +44,7 @@ def _fs(folder: str):
 def _put(folder: str, name: str, data: bytes) -> None:
     system, root = _fs(folder)
     system.create_dir(root, recursive=True)
-    with system.open_output_stream(f"{root}/{name}") as f:
+    with system.open_output_stream(f"{root}/{name}", compression=None) as f:
         f.write(data)
 
 
