@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    """Rows as Spark takes them back from a task: plain objects, so that None is null in any column."""
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")], dtype=object)
+
+
 def crc_fold(key: str, n: int) -> Column:
     """crc32 of the key as text, modulo n; null for a null key."""
     return F.crc32(F.col(key).cast("string")) % F.lit(n)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import decontamination, packing, quality_classifier, quality_rules, simhash, token_files, warc
+from tidewire.llm import decontamination, language_model, packing, quality_classifier, quality_rules, simhash, token_files, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_decontamination": decontamination.op7_decontamination,
         "op8_warc": warc.op8_warc,
         "op9_simhash": simhash.op9_simhash,
+        "op10_language_model": language_model.op10_language_model,
     }
 
 

@@ -27,13 +27,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import input_parts, new_dir, table
+from tidewire.llm.common import frame, input_parts, new_dir, table
 from tidewire.llm.token_files import _fs
 
 SKIPPABLE = 0x184D2A5D
 #: The profile of a revisit record, and the scheme of record ids here.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "urn:page:"
+WRITTEN = "file string, n_records long"
 READ = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
@@ -134,9 +135,9 @@ def write_warc(pages: DataFrame, folder: str, *, key: str = "page_id", url: str
             begin()
         if out is not None:
             end()
-        yield pd.DataFrame(done, columns=["file", "n_records"])
+        yield frame(done, WRITTEN)
 
-    told.mapInPandas(write, "file string, n_records long").write.parquet(f"{folder}/manifest")
+    told.mapInPandas(write, WRITTEN).write.parquet(f"{folder}/manifest")
 
 
 def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -173,9 +174,6 @@ def read_warc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFr
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, root = _fs(folder)
 
-        def frame(rows: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame(rows, columns=[c.split()[0] for c in READ.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
-
         for pdf in batches:
             for name in pdf["file"]:
                 with system.open_input_file(f"{root}/{name}") as f:
@@ -194,9 +192,9 @@ def read_warc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFr
                     rows.append((key_of(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), fields["WARC-Type"], int(http["Content-Length"]), told, key_of(fields["WARC-Refers-To"]) if revisit else None, payload if payloads and not revisit else None))
                     size += len(payload) * payloads + 200
                     if size >= 16_000_000:
-                        yield frame(rows)
+                        yield frame(rows, READ)
                         rows, size = [], 0
-                yield frame(rows)
+                yield frame(rows, READ)
 
     return manifest.repartition(input_parts(manifest)).mapInPandas(read, READ)
 
