@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import decontamination, language_model, packing, quality_classifier, quality_rules, simhash, token_files, warc
+from tidewire.llm import decontamination, language_model, licenses, packing, quality_classifier, quality_rules, simhash, token_files, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_token_files": token_files.op2_token_files,
         "op3_quality_classifier": quality_classifier.op3_quality_classifier,
+        "op4_license_scan": licenses.op4_license_scan,
         "op5_packing": packing.op5_packing,
         "op7_decontamination": decontamination.op7_decontamination,
         "op8_warc": warc.op8_warc,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return quality_rules.oracle_sql() | decontamination.oracle_sql()
+    return quality_rules.oracle_sql() | licenses.oracle_sql() | decontamination.oracle_sql()
