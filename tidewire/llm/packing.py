@@ -153,5 +153,8 @@ def pack_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack_documents(table(spark, sf_dir, "documents"))
+    return pieces_with_digests(pack_documents(table(spark, sf_dir, "documents")))
+
+
+def pieces_with_digests(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import decontamination, language_model, licenses, packing, quality_classifier, quality_rules, simhash, token_files, warc
+import corpus_pipeline
+from tidewire.llm import decontamination, html_extraction, language_model, licenses, packing
+from tidewire.llm import quality_classifier, quality_rules, simhash, token_files, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,10 +18,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_classifier": quality_classifier.op3_quality_classifier,
         "op4_license_scan": licenses.op4_license_scan,
         "op5_packing": packing.op5_packing,
+        "op6_html_extraction": html_extraction.op6_html_extraction,
         "op7_decontamination": decontamination.op7_decontamination,
         "op8_warc": warc.op8_warc,
         "op9_simhash": simhash.op9_simhash,
         "op10_language_model": language_model.op10_language_model,
+        "pipeline": corpus_pipeline.run,
     }
 
 
