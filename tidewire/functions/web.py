@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Query parameters that only track, as patterns over the lower-cased name.
 TRACKING = "^(utm_.*|ref|ref_src|source|fbclid|gclid|mc_cid|mc_eid|igshid|s|at_medium|at_campaign|__twitter_impression|guccounter)$"
 #: White space of the source language's \\s.
-WS = r"[\t-\r    -     　﻿]"
+WS = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 #: Classes of poll errors, in order, with patterns over the message.
 POLL_ERRORS = [
     ("not-a-feed", "(?i)Unexpected close tag|Non-whitespace before first tag|Invalid character|Unexpected end"),
