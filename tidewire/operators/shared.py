@@ -23,11 +23,17 @@ def _remove_made() -> None:
 atexit.register(_remove_made)
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """The table written as Parquet in ``spark.checkpoint.dir`` and read again."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of this run in ``spark.checkpoint.dir`` (a temporary one where that is unset); it goes when the driver ends."""
     root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stage-", dir="/tmp")
-    path = f"{root.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _made.append((spark, path))
+    return path
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """The table written as Parquet in the shared folder and read again."""
+    spark = df.sparkSession
+    path = new_folder(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewire.plans import enrichment, relational, stories  # noqa: F401  they register their queries
+from tidewire.plans import enrichment, feeds, relational, stories  # noqa: F401  they register their queries
 from tidewire.plans.registry import ORACLES, QUERIES, Query
 
 
