@@ -70,7 +70,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     passes = []
     for length in sorted(r[0] for r in windows.select("length").distinct().collect()) or [window]:
         size = k if length == window else length
-        own = with_fingerprints(windows.where(F.col("length") == length), "w", length, size).select(F.col("prints")[0].alias("known")).distinct()
+        own = with_fingerprints(windows.where(F.col("length") == length), "w", length, size).select(F.get("prints", F.lit(0)).alias("known")).where("known IS NOT NULL").distinct()
         blocks = max(1, -(-own.count() // block))
         for b in range(blocks):
             known = own.where(F.pmod(F.xxhash64("known"), F.lit(blocks)) == b).withColumn("found", F.lit(True))
