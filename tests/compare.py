@@ -1,8 +1,10 @@
 """Results as sorted rows that two engines agree on."""
 
+import pandas as pd
+
 
 def plain(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v is pd.NaT or v != v:
         return None
     if hasattr(v, "item"):
         v = v.item()
