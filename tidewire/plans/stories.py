@@ -12,7 +12,7 @@ from tidewire.operators import feed as fd
 from tidewire.operators import jobs as J
 from tidewire.operators import similarity as S
 from tidewire.operators import stories as st
-from tidewire.plans.enrichment import MENTIONS, ORGS, RULES, TAGS, TOKENS, model_titles
+from tidewire.plans.enrichment import CATEGORY, JOINED, MENTIONS, ORGS, PLAIN, RULES, TAGS, TOKENS, WEIGHT, model_titles, sql_any
 from tidewire.plans.registry import query
 from tidewire.plans.relational import CANDIDATES, DAY_END, text_times
 from tidewire.sources.views import AS_OF, ctes, view
@@ -78,7 +78,19 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     return a.select("id", "title", C("summary").alias("content"), "url", "author", "publisher_domain", "base_credibility", "source_org", "published_at", "source_id", C("corroboration_count").alias("corroboration"), (C("id") % 50).alias("points"), (C("id") % 30).alias("upvotes"), F.lit(None).cast("array<string>").alias("keywords")).withColumns(hint)
 
 
-@query("enrich_items")
+HEDGED = f"CASE WHEN {sql_any(JOINED, [p for _, p in R.rt.RUMOUR_PATTERNS])} THEN 1 ELSE 0 END"
+ENRICHED = ctes("articles", "sources").rstrip() + f""", n AS (SELECT a.*, s.base_credibility, s.org_slug, trim(a.summary, ' ' || chr(9) || chr(10) || chr(13)) AS s0, {PLAIN.format(c="a.title")} AS nt, {PLAIN.format(c="a.summary")} AS ns FROM articles a JOIN sources s ON s.id = a.source_id),
+x AS (SELECT * REPLACE (CASE WHEN s0 = '' OR ns = nt OR (starts_with(ns, nt) AND length(ns) - length(nt) < 40) THEN NULL ELSE s0 END AS summary) FROM n),
+y AS (SELECT id, url, org_slug, corroboration_count AS corr, {CATEGORY} AS category, [t for t in [{", ".join(f"CASE WHEN {sql_any(JOINED, ps)} THEN '{t}' END" for t, ps in TAGS)}] if t IS NOT NULL] AS tags,
+regexp_matches(concat(' ', {JOINED}, ' '), '(?i)[^A-Za-z0-9_-](leur|ben|tion)[^A-Za-z0-9_-]') OR regexp_matches(url, '//src2\\.example\\.com/') AS two, regexp_matches(concat(' ', {JOINED}, ' '), '(?i)[^A-Za-z0-9_-](there|anan)[^A-Za-z0-9_-]') OR regexp_matches(url, '//src1\\.example\\.com/') AS one,
+{HEDGED} AS hedge, CASE WHEN publisher_domain IS NOT NULL THEN 3 ELSE base_credibility END - {HEDGED} + CASE WHEN corroboration_count >= 2 THEN 1 ELSE 0 END AS raw FROM x),
+z AS (SELECT *, CAST(greatest(1, least(5, raw)) AS INT) AS credibility FROM y)
+SELECT id, url AS canonical_url, category, array_to_string([o for o in [CASE WHEN two THEN 'o-two' END, CASE WHEN one THEN 'o-one' END, 'o-three', org_slug] if o IS NOT NULL], ',') AS orgs, array_to_string(tags, ',') AS tags, credibility, credibility <= 2 AS is_rumour,
+CAST(greatest(0, least(100, floor({WEIGHT} + 8 * (CAST(two AS INT) + CAST(one AS INT)) + credibility * 4 + corr * 3 + CASE WHEN id % 50 > 0 THEN least(log10(id % 50 + 1) * 8, 16) ELSE 0 END + CASE WHEN id % 30 > 0 THEN least(log10(id % 30 + 1) * 10, 20) ELSE 0 END + 0.5))) AS INT) AS impact,
+CAST(1 + hedge + CASE WHEN corr >= 2 THEN 1 ELSE 0 END + CASE WHEN raw NOT BETWEEN 1 AND 5 THEN 1 ELSE 0 END AS INT) AS n_reasons FROM z"""
+
+
+@query("enrich_items", ENRICHED)
 def enrich_items(spark: SparkSession, d: str) -> DataFrame:
     out = J.enrich_items(items(spark, d), RULES, TAGS, ORGS)
     return out.select("id", "canonical_url", "category", F.array_join("org_slugs", ",").alias("orgs"), F.array_join("tags", ",").alias("tags"), "credibility", "is_rumour", "impact", F.size("reasons").alias("n_reasons"))
@@ -101,7 +113,11 @@ def recompute_corroboration(spark: SparkSession, d: str) -> DataFrame:
     return J.recompute_corroboration(a, x, st.story_outlets(a, x))
 
 
-@query("rescore")
+RESCORED = ctes("articles", "sources").rstrip() + f""", s1 AS (SELECT a.id, a.credibility AS old, CASE WHEN a.publisher_domain IS NOT NULL THEN 3 ELSE s.base_credibility END AS start, {HEDGED.replace("title", "a.title").replace("summary", "a.summary")} AS hedge, a.corroboration_count >= 2 AS many FROM articles a JOIN sources s ON s.id = a.source_id)
+SELECT id, old, new FROM (SELECT id, old, CAST(greatest(1, least(5, start - CASE WHEN hedge = 1 OR id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN many THEN 1 ELSE 0 END)) AS INT) AS new FROM s1) WHERE old <> new"""
+
+
+@query("rescore", RESCORED)
 def rescore(spark: SparkSession, d: str) -> DataFrame:
     """Rows whose score changes, old and new, with the model's judgement recovered from the recorded rule."""
     s = view(spark, d, "sources").select(C("id").alias("source_id"), "base_credibility")
