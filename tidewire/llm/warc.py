@@ -203,3 +203,13 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_dir(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), folder)
     return read_warc(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def oracle_sql() -> dict[str, str]:
+    base32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(sha1(h), CAST((i // 4) * 5 + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31 AS INT) + 1, 1)), '')"
+    sql = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), g AS (SELECT h, max(page_id) AS top FROM p GROUP BY 1)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, {base32} AS payload_digest,
+  CASE WHEN top IS NULL OR page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM p JOIN g USING (h)"""
+    return {"op8_warc": sql}
