@@ -128,7 +128,8 @@ def quality_rules(docs: DataFrame, text: str = "text", max_lost: int = 40) -> Da
         return pd.DataFrame([judge(t, max_lost) for t in texts], columns=RESULT.names)
 
     rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in RESULT.names]
-    return docs.select(*rest, judged(F.col(text)).alias("_judged")).select(*rest, "_judged.*")
+    once = judged.asNondeterministic()  # else a filter on the verdict is pushed below and judges every text twice
+    return docs.select(*rest, once(F.col(text)).alias("_judged")).select(*rest, "_judged.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
