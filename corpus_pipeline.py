@@ -2,20 +2,21 @@
 
 1. quality_classifier: documents that the classifier rejects go.
 2. quality_rules: failed lines go from the texts, documents that the rules reject go.
-3. near_dedup: of each group of near copies the document with the smallest id stays.
+3. near_dedup: of each group of near copies the row with the smallest id stays.
 4. decontamination: documents with a benchmark passage go.
 5. packing: what is left becomes sequences of at most 1024 tokens; a row for each piece.
 
 Each stage but the last returns the columns of ``documents`` (``n_chars`` follows the text). A stage's result is written under
-the shared folder and read again as the next one's input. Rows with equal ids are kept or dropped by id in stages 3 and 4 (of
-several rows with the id that stays, one with the least text); rows with a null id have no name to be kept by and go there.
+the shared folder and read again as the next one's input. Stages 3 and 4 number the rows once in a written table and keep or
+drop each row by itself: rows with equal ids or a null id are judged one by one. The row that stays in stage 3 is the one with
+the least id (null last), then text hash, then number.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import decontamination, packing, quality_classifier, quality_rules, simhash
@@ -32,16 +33,25 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return kept.withColumn("text", F.col("clean_text")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows as a written table with a number for each, and the name of its column."""
+    own = "_row"
+    while own in docs.columns:
+        own += "_"
+    return staged(docs.withColumn(own, F.monotonically_increasing_id()), "pipeline-rows"), own
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    stay = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi")
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return kept.withColumn("_one", one).where("_one = 1").select(*docs.columns)
+    rows, own = numbered(docs)
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("hash"), F.col(own).alias("row"))
+    stay = simhash.representatives(rows.select(rank.alias("rank"), "text"), key="rank").select(F.col("rank.row").alias(own))
+    return rows.join(stay, own, "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.where("n_hit > 0").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    rows, own = numbered(docs)
+    found = decontamination.contamination(rows, table(spark, sf_dir, "benchmark"), key=own)
+    return rows.join(found.where("n_hit > 0").select(own), own, "left_anti").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

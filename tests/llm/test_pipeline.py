@@ -48,3 +48,17 @@ def test_clean_labelled_documents_stay(spark, sf):
     long = docs.toPandas().set_index("doc_id").text.str.split().str.len()
     clean = labels[(labels.quality == 1) & (labels.doc_id.map(long) >= 20)].doc_id
     assert clean.isin(kept.doc_id).mean() > 0.97 and labels[labels.quality == 0].doc_id.isin(kept.doc_id).mean() < 0.05
+
+
+def test_equal_and_null_ids_are_judged_row_by_row(spark, sf):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    passage = pd.read_parquet(sf + "/benchmark.parquet").text[0]
+    own = [(3, words(0)), (5, words(0)), (5, words(1)), (None, words(2)), (None, words(0)), (7, words(3)), (7, words(4)), (7, words(4)), (None, words(5)), (None, words(5))]
+    docs = spark.createDataFrame(own, "doc_id long, text string").repartition(3)
+    kept = cp.near_dedup_stage(spark, docs, sf)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    want = [(3, words(0)), (5, words(1)), (7, words(3)), (7, words(4)), (None, words(2)), (None, words(5))]
+    assert sorted(map(tuple, kept.collect()), key=key) == sorted(want, key=key)
+    dirty = [(5, passage), (None, passage)]
+    clean = cp.decontamination_stage(spark, spark.createDataFrame(want + dirty, docs.schema), sf)
+    assert sorted(map(tuple, clean.collect()), key=key) == sorted(want, key=key)

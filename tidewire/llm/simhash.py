@@ -124,6 +124,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return rows.join(_components_of(rows.select("fp", F.col(key).alias("_id"))), "fp")
 
 
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key): the smallest key of each component, which is never null."""
+    rows = staged(docs.select(F.col(key).alias("_id"), fingerprints(F.col(text)).alias("fp")), "simhash-rows")
+    return _components_of(rows).select(F.col("component_id").alias(key)).distinct()
+
+
 def _components_of(ids: DataFrame) -> DataFrame:
     """(fp, component_id) for each fingerprint that stands for several rows or has links; others are components by themselves."""
     prints = staged(ids.groupBy("fp").agg(F.min("_id").alias("least"), F.count("*").alias("n")), "simhash-prints")
