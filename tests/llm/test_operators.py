@@ -205,6 +205,26 @@ def test_html_edge(spark, weights):
     assert html_extraction.Page("<p>A &amp; b\n\n c</p>").blocks() == [(1, "A & b c")]
 
 
+def test_unclosed_and_deep_elements_lose_no_text():
+    told = lambda source: [t for _, t in html_extraction.Page(source).blocks()]
+    rest = "<article><p>One text.</p><p>Two texts.</p></article>"
+    for before in (
+        "<html><head><title>T</title><body>", "<head><meta charset=x><script>a<b</script>", "<svg class=x/>", "<a href=x><svg><path></a>", "<div><svg><g><text>x</div>",
+        "<select><option>x<option>y", "<noscript><img src=x>x", "<object data=x>", "<video src=x><source src=y>x", "<video src=x>", "<title>x", "<iframe src=x>", "<head><title>x",
+        "<noscript><div>x</div></noscript>", "<video><p>x</video>", "<object><object>x</object><p>x</object>", "<svg><style/><title>x</title><foreignObject><div>x</div></foreignObject></svg>",
+        "<template><article>x</article></template>", "<textarea><p>x</textarea>", "<head><noscript><p>x</p></noscript></head>", "<!-- <svg> --><style>x</style>",
+    ):
+        assert told(before + rest) == ["One text.", "Two texts."], before
+    assert told("<video src=x>" + rest + "<video><p>x</video>") == ["One text.", "Two texts."]
+    assert told("<head><title>T</title>A text alone.") == ["A text alone."]
+    assert told("<p>a</p><script>x<p>b</p>") == ["a"]
+    deep = html_extraction.Page("<article>" + "<div>" * 300 + "<p>in</p>" + "</div>" * 300 + "<p>out</p></article><p>after</p>")
+    (_, a), (node, b), (last, c) = deep.blocks()
+    assert (a, b, c) == ("in", "out", "after") and deep.tag[deep.parent[node]] == "article" and deep.parent[last] == 0
+    many = html_extraction.Page("<article><section><div>" + "<ul><li>x" * 250 + "</ul>" * 250 + "</div><p>out</p></section></article>")
+    assert many.tag[many.parent[many.blocks()[-1][0]]] == "section"
+
+
 # --- 7 ------------------------------------------------------------------------------------------------------------------
 
 

@@ -13,16 +13,19 @@ Spark over a bounded sample of pages in each round. Labelled pages are pages who
 the tags that tell are replaced by ``div``, so that the other features carry weight.
 
 Decoding: character references are resolved, white space inside a block becomes one space, blocks are trimmed and joined in
-page order by a line feed. Scripts, styles, templates, comments and the head never hold text.
+page order by a line feed. Scripts, styles, templates, comments and the head never hold text; nor do elements that show
+something else (``SKIPPED``), each up to its own end tag. The head ends with its end tag, or where body text or a body's tag begins.
 
 Defined results: a null or empty html, or a page without content, is an empty text; unclosed, stray or wrongly nested tags are
-closed as the next tag implies; repeated rows and null ids are kept row by row; an empty table trains on the layouts alone.
+closed as the next tag implies (a skipped element, title, textarea or iframe without an end tag by the next block or the end of
+what it stands in; a script or style without one goes on to the end of the page); repeated rows and null ids are kept row by row; an empty table trains on the layouts alone.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,7 +39,9 @@ from tidewire.llm.common import frame, staged, table
 
 #: Element names of HTML by their role here.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template svg math iframe object textarea select title head canvas audio video".split()
+RAW = "script style title textarea iframe".split()
+SKIPPED = set("noscript template svg math object select canvas audio video".split())
+_IN_HEAD = set("meta link base basefont bgsound title style script noscript template noframes head html".split())
 INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 KINDS = [
     "article main", "nav menu", "header", "footer", "aside", "form button fieldset", "p", "h1 h2 h3 h4 h5 h6", "ul ol dl", "li dt dd",
@@ -63,10 +68,46 @@ _SPACE = re.compile(r"\s+")
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 #: Tags that end an open paragraph or list item.
 _ENDS_P = set("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+_BLOCKS = (_ENDS_P | set(KIND_OF)) - {"a", "button"}
 _OWN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BOUND = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": set()}
 
 
+def _tokens(source: str) -> tuple[list[tuple[re.Match, int]], dict[int, int], set[int]]:
+    """Tags and comments with where they end (raw text is part of its tag); of skipped elements the place of the end tag, by
+    that of the start tag; the places of title, textarea and iframe tags without an end tag."""
+    out: list[tuple[re.Match, int]] = []
+    ends: dict[int, int] = {}
+    unclosed: set[int] = set()
+    waiting: dict[str, list[int]] = {}
+    gone: set[str] = set()
+    foreign, at, n = False, 0, len(source)
+    while m := _TOKEN.search(source, at):
+        at, name = m.end(), (m[2] or "").lower()
+        whole = not (m[3] or "").endswith("/")
+        if name in SKIPPED:
+            if m[1]:
+                if waiting.get(name):
+                    ends[waiting[name].pop()] = len(out)
+            elif whole or name not in ("svg", "math"):
+                waiting.setdefault(name, []).append(len(out))
+            foreign = name in ("svg", "math") and not m[1] and whole
+        elif name in _BLOCKS:
+            foreign = False
+        elif name in _RAW_END and not m[1] and (whole or not foreign):
+            end = None if name in gone else _RAW_END[name].search(source, at)
+            if end:
+                at = end.end()
+            else:
+                gone.add(name)
+                if name in ("script", "style"):
+                    at = n
+                else:
+                    unclosed.add(len(out))
+        out.append((m, at))
+    return out, ends, unclosed
+
+
 class Page:
     """Nodes in page order (0 is the root), and the runs of text with the node and the block they stand in."""
 
@@ -76,26 +117,47 @@ class Page:
         self._read(source)
 
     def _read(self, source: str) -> None:
-        open_, block, links, at = [0], 0, 0, 0
+        block, links, at, i = 0, 0, 0, 0
         tag, parent, hints, runs = self.tag, self.parent, self.hints, self.runs
+        # the open elements: node and name; those deeper than 200 have the node of the last level
+        open_, names, count = [0], ["html"], Counter()
         stack_inline: list[str] = []
+        skip = ""  # the head, or an open element without an end tag that holds no text
         n = len(source)
+        tokens, ends, unclosed = _tokens(source)
 
         def close(to: int) -> None:
-            del open_[to:]
+            count.subtract(names[to:])
+            del open_[to:], names[to:]
 
         while at < n:
-            m = _TOKEN.search(source, at)
+            m, after = tokens[i] if i < len(tokens) else (None, n)
             begin = m.start() if m else n
             if begin > at:
-                runs.append((open_[-1], block, source[at:begin], links > 0))
+                if skip == "head" and not source[at:begin].isspace():
+                    skip = ""
+                if not skip:
+                    runs.append((open_[-1], block, source[at:begin], links > 0))
             if not m:
                 break
-            at = m.end()
+            at, own, i = after, i, i + 1
             name = m[2]
             if not name:
                 continue
             name = name.lower()
+            if skip:
+                if m[1]:
+                    ended = name in ("head", "body", "html") if skip == "head" else name in ("body", "html") or count[name] > 0 or name in stack_inline
+                else:
+                    ended = name not in _IN_HEAD if skip == "head" else name in _BLOCKS
+                if ended:
+                    skip = ""
+                elif own in ends:
+                    i, at = ends[own] + 1, tokens[ends[own]][1]
+                elif own in unclosed:
+                    skip = name
+                if not ended:
+                    continue
             if m[1]:
                 if name in INLINE:
                     if name in stack_inline:
@@ -103,18 +165,23 @@ class Page:
                         links -= name == "a"
                 elif name == "p" or name == "br":
                     block += 1
-                    if name == "p" and tag[open_[-1]] == "p":
-                        open_.pop()
-                else:
+                    if name == "p" and names[-1] == "p":
+                        close(len(names) - 1)
+                elif count[name] > 0:
                     for k in range(len(open_) - 1, 0, -1):
-                        if tag[open_[k]] == name:
+                        if names[k] == name:
                             close(k)
                             block += 1
                             break
                 continue
-            if name in _RAW_END:
-                end = _RAW_END[name].search(source, at)
-                at = end.end() if end else n
+            if name == "head":
+                skip = "head" if len(tag) == 1 else ""
+                continue
+            if name in SKIPPED or name in _RAW_END:
+                if own in ends:
+                    i, at = ends[own] + 1, tokens[ends[own]][1]
+                elif own in unclosed or name in SKIPPED and not (name in ("svg", "math") and (m[3] or "").endswith("/")):
+                    skip = name
                 continue
             if name in INLINE:
                 if name == "a":
@@ -136,20 +203,21 @@ class Page:
                 continue
             if name in _ENDS_P:
                 stack_inline, links = [], 0
-                if tag[open_[-1]] == "p":
-                    open_.pop()
-            if name in _OWN:
+                if names[-1] == "p":
+                    close(len(names) - 1)
+            if name in _OWN and any(count[x] > 0 for x in _OWN[name]):
                 for k in range(len(open_) - 1, 0, -1):
-                    if tag[open_[k]] in _BOUND[name]:
+                    if names[k] in _BOUND[name]:
                         break
-                    if tag[open_[k]] in _OWN[name]:
+                    if names[k] in _OWN[name]:
                         close(k)
                         break
             tag.append(name)
             parent.append(open_[-1])
             hints.append(_hints_of(m[3]) if m[3] else frozenset())
-            if len(open_) < 200:  # deeper ones stand as leaves of the last level
-                open_.append(len(tag) - 1)
+            open_.append(len(tag) - 1 if len(open_) < 200 else open_[-1])  # deeper ones stand as leaves of the last level
+            names.append(name)
+            count[name] += 1
 
     def blocks(self) -> list[tuple[int, str]]:
         """(node, text) of each block with text, in page order; a block belongs to the node of its first words."""
