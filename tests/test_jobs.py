@@ -84,3 +84,25 @@ def test_embedding_failures_stay_in_their_rows(spark):
 
     got = {r.id: r.status for r in llm_enrich(spark.createDataFrame([(1, "a", None), (2, "b", None)], "id long, title string, summary string"), client).collect()}
     assert got == {1: "ok", 2: "failed: KeyError"}
+
+
+def test_all_vectors_count(spark, sf):
+    given = {r.vec_id for r in spark.read.parquet(sf + "/embeddings.parquet").select("vec_id").collect()}
+    rows = with_vectors(spark, sf).select("id", "v").collect()
+    assert {r.id for r in rows if r.v is not None} == {r.id for r in rows} & given and any(r.v is not None and r.id % 2 for r in rows)
+
+
+def test_missing_vectors_and_other_models(spark):
+    one, two, same, other = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], "alpha bravo charlie delta", "kilo lima mike november"
+    own = [
+        (1, "red orange yellow", one, "m"), (3, "green blue violet", one, "m"),  # by vectors alone
+        (5, "north south east", one, "n"), (7, "red orange yellow", two, "n"),  # other models; with vectors titles don't count
+        (9, same, None, None), (10, same, [0.0, 0.0, 1.0], "m"),  # one vector is missing: by titles
+        (11, other, None, None), (13, other, None, None), (15, "five six seven", None, None),
+    ]
+    rows = spark.createDataFrame([(*r, r[0], f"p{r[0]}") for r in own], "id long, title string, v array<float>, model string, source_id long, publisher_domain string")
+    rows = rows.withColumn("published_at", F.timestamp_seconds("id"))
+    got = {r.id: r.story for r in J.cluster_stories(rows, vector_threshold=0.35).collect()}
+    assert got == {1: 1, 3: 1, 5: None, 7: None, 9: 9, 10: 9, 11: 11, 13: 11, 15: None}
+    led = {r.id: (r.leader, r.status) for r in J.dedup_leader(rows, vector_threshold=0.35).collect()}
+    assert led == {**{k: (k, "inserted") for k in (1, 5, 7, 9, 11, 15)}, 3: (1, "duplicate"), 10: (9, "duplicate"), 13: (11, "duplicate")}

@@ -25,7 +25,7 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def with_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "articles").join(vectors(spark, d).where("id % 2 = 0"), "id", "left")
+    return view(spark, d, "articles").join(vectors(spark, d), "id", "left")
 
 
 CLASSES = f"""t AS (SELECT id, list_sort(list_distinct({TOKENS})) AS t FROM articles), k AS (SELECT t, min(id) AS id, count(*) AS n FROM t WHERE len(t) > 0 GROUP BY 1) """
