@@ -228,6 +228,14 @@ def test_unclosed_and_deep_elements_lose_no_text():
 # --- 7 ------------------------------------------------------------------------------------------------------------------
 
 
+def test_contamination_of_a_long_text_that_is_all_benchmark(spark):
+    words = [f"w{k * 7919 % 30_011}" for k in range(20_000)]
+    bench = spark.createDataFrame([(f"i{k:04d}", " ".join(words[k : k + 60])) for k in range(0, 20_000, 50)] + [("short", "w0 w7919"), ("none", "!?")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "w0 W7919, and no more"), (3, "w0 w1")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, len(r["items"])) for r in decontamination.contamination(docs, bench, block=50).collect()}
+    assert got == {1: (20_000, 20_000, 401), 2: (5, 2, 1), 3: (2, 0, 0)}
+
+
 def test_contamination_equals_loop(spark, edge, empty):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = lambda t: word.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))

@@ -3,14 +3,18 @@
 Words are runs of ``0-9 a-z`` and non-ASCII characters after A-Z are lower-cased. A window is ``window`` consecutive words of an
 item, or the whole item if it is shorter. Windows are looked for by winnowing: of the hashes of all k-grams in a window the
 least is its fingerprint (k about half of the window, so a window has several k-grams, and neighbouring windows mostly share
-one fingerprint, which is looked up once). Equal windows have equal fingerprints, so every shared span of ``window`` words or
-more is found; a fingerprint that is found is then extended: all the document's windows with that fingerprint are compared
-with the items' windows word for word. An item of fewer words is its own k-gram and its own fingerprint.
+one fingerprint, which is looked up once for the run of windows that share it). Equal windows have equal fingerprints, so every
+shared span of ``window`` words or more is found; a fingerprint that is found is then extended: all windows of its run are
+compared with the items' windows word for word.
 
-The items' fingerprints go to the documents, in blocks of at most ``block`` (each such a broadcast of known size, one pass over
-the documents for each), and only windows with a known fingerprint leave the scan. So nothing of a document without hits is
-shuffled but one short row. Common passages are no hot key: rows are grouped by document only, and equal windows of several
-items count as one window with a list of items.
+The rows are numbered in a written table (so that each reading of them numbers them alike). One scan makes the runs for all
+lengths of windows as short rows (number, length, place, fingerprint) and joins them to the items' fingerprints: by broadcast
+up to ``block`` fingerprints, beyond that by a shuffle of the runs. Only documents with a run that is found are read again for
+their words, and each makes one row for each window of those runs, so memory and work are linear in a text's length.
+Equal windows of several items count as one window with a list of items.
+
+Hot keys: rows are grouped by document; a common passage is a key of the last join (hits with items' windows), which Spark
+broadcasts while the items' windows are few and otherwise splits by its skew rule, since nothing above needs a key's rows together.
 
 Defined results: a null or empty text (or one without words) has no words, no hits, no items and the hash of the empty string;
 an item without words is ignored; repeated rows of documents each get a row; items with equal ids and different texts count as
@@ -62,43 +66,76 @@ def benchmark_windows(benchmark: DataFrame, window: int, item: str = "item_id",
     return own.groupBy("length", "w").agg(F.collect_set("item").alias("items")).withColumn("text", F.array_join("w", " "))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 10, k: int = 5, block: int = 1_000_000) -> DataFrame:
-    """A row for each document: its id, n_words, n_hit, items (sorted as strings) and, as ``hits``, the hit word starts."""
+def gram_of(length: int) -> int:
+    """Words of the k-grams by which windows of a length are fingerprinted."""
+    return length if length < 4 else length // 2
+
+
+def starts_of(prints: Column) -> Column:
+    """The places (from 0) of fingerprints that differ from the one before."""
+    places = F.when(F.size(prints) > 0, F.sequence(F.lit(0), F.size(prints) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(places, lambda i: (i == 0) | (F.get(prints, i) != F.get(prints, i - 1)))
+
+
+def runs_of(prints: str, starts: str, length: int) -> Column:
+    """For each stretch of equal neighbouring fingerprints: its length of windows, first place (from 1), windows and fingerprint."""
+    p, s = F.col(prints), F.col(starts)
+    one = lambda i, k: F.struct(
+        F.lit(length).alias("length"), (i + 1).alias("at"), (F.coalesce(F.get(s, k + 1), F.size(p)) - i).alias("n"), F.get(p, i).alias("known")
+    )
+    return F.transform(s, one)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 10, block: int = 1_000_000, row: str | None = None) -> DataFrame:
+    """A row for each document: its id, n_words, n_hit and items (sorted as strings).
+
+    row: a column that numbers the rows of ``docs``, if ``docs`` is a written table that has one; else the rows are written here.
+    """
     windows = staged(benchmark_windows(benchmark, window), "benchmark-windows")
-    rows = docs.select(F.col(key).alias("id"), F.monotonically_increasing_id().alias("row"), words_of(F.col(text)).alias("words"))
-    rows = rows.withColumn("n_words", F.size("words").cast("long"))
-    passes = []
-    for length in sorted(r[0] for r in windows.select("length").distinct().collect()) or [window]:
-        size = k if length == window else length
-        own = with_fingerprints(windows.where(F.col("length") == length), "w", length, size).select(F.get("prints", F.lit(0)).alias("known")).where("known IS NOT NULL").distinct()
-        blocks = max(1, -(-own.count() // block))
-        for b in range(blocks):
-            known = own.where(F.pmod(F.xxhash64("known"), F.lit(blocks)) == b).withColumn("found", F.lit(True))
-            some = with_fingerprints(rows, "words", length, size)
-            seek = F.array_distinct("prints")
-            if not passes:  # one row stands for the document itself
-                seek = F.concat(seek, F.array(F.lit(None).cast("long")))
-            some = some.select("id", "row", "n_words", "words", "prints", F.explode(seek).alias("known"))
-            some = some.join(F.broadcast(known), "known", "left").where("known IS NULL OR found")
-            same = F.filter(F.sequence(F.lit(1), F.size("prints")), lambda i: F.get(F.col("prints"), i - 1) == F.col("known"))
-            starts = F.when(F.col("known").isNull(), F.array(F.lit(0))).otherwise(same)
-            some = some.select("id", "row", "n_words", "words", F.explode(starts).alias("at"))
-            span = F.when(F.col("at") > 0, F.array_join(F.slice("words", F.greatest("at", F.lit(1)), F.lit(length)), " "))
-            passes.append(some.select("id", "row", "n_words", "at", F.lit(length).alias("length"), span.alias("text")))
-    found = passes[0]
-    for p in passes[1:]:
-        found = found.unionByName(p)
-    found = staged(found, "winnowed")
-
-    # the windows' texts are compared whole, by the join; the side of the items was counted above
-    hits = found.where("at > 0").join(windows.select("length", "text", "items"), ["length", "text"])
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    rows = docs.select(number.alias("row"), F.col(key).alias("id"), F.col(text).alias("text"))
+    rows = rows if row else staged(rows, "winnow-rows")
+
+    lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # at most ``window`` numbers
+    cut = rows.select("row", "id", words_of(F.col("text")).alias("words"))
+    known, runs = None, [F.array(F.struct(F.lit(0).alias("length"), F.lit(0).alias("at"), F.size("words").alias("n"), F.xxhash64("row").alias("known")))]
+    for length in lengths:
+        own = with_fingerprints(windows.where(F.col("length") == length), "w", length, gram_of(length))
+        own = own.select("length", F.get("prints", F.lit(0)).alias("known")).distinct()
+        known = own if known is None else known.unionByName(own)
+        prints, starts = f"prints_{length}", f"starts_{length}"
+        cut = with_fingerprints(cut, "words", length, gram_of(length), prints)
+        cut = cut.withColumn(starts, starts_of(F.col(prints)))
+        runs.append(runs_of(prints, starts, length))
+    # the first entry, of length 0, stands for the document itself
+    some = cut.select("row", "id", F.explode(F.concat(*runs)).alias("r")).select("row", "id", "r.*")
+    if known is None:
+        some = some.where("length = 0")
+    else:
+        known = staged(known.withColumn("found", F.lit(True)), "benchmark-fingerprints")
+        known = F.broadcast(known) if known.count() <= block else known
+        some = some.join(known, ["length", "known"], "left").where("length = 0 OR found")
+    found = staged(some.select("row", "id", "length", "at", "n"), "winnowed")
+
+    hits = found.where("length > 0")
+    hit_rows = hits.select("row").distinct()
+    hit_rows = F.broadcast(hit_rows) if hit_rows.count() <= block else hit_rows
+    spans = hits.groupBy("row").agg(F.collect_list(F.struct("length", "at", "n")).alias("spans"))
+    words = rows.join(hit_rows, "row", "left_semi").select("row", words_of(F.col("text")).alias("words")).join(spans, "row")
+    one = lambda s: F.transform(
+        F.sequence(s["at"], s["at"] + s["n"] - 1),
+        lambda at: F.struct(s["length"].alias("length"), at.alias("at"), F.array_join(F.slice("words", at, s["length"]), " ").alias("text")),
+    )
+    spread = words.select("row", F.explode(F.flatten(F.transform("spans", one))).alias("x")).select("row", "x.*")
+    # the windows' texts are compared whole, by the join
+    hits = staged(spread.join(windows.select("length", "text", "items"), ["length", "text"]).select("row", "at", "length", "items"), "windows-hit")
     ends = F.max(F.col("at") + F.col("length")).over(Window.partitionBy("row").orderBy("at", "length").rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), F.col("at") + F.col("length") - F.greatest("at", F.coalesce(ends, F.lit(0))))
     counted = hits.select("row", fresh.alias("fresh")).groupBy("row").agg(F.sum("fresh").alias("n_hit"))
     items = hits.select("row", F.explode("items").alias("item")).distinct().groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    out = found.where("at = 0").join(counted, "row", "left").join(items, "row", "left")
+    out = found.where("length = 0").join(counted, "row", "left").join(items, "row", "left")
     none = F.array().cast("array<string>")
-    return out.select(F.col("id").alias(key), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
+    return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
