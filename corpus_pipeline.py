@@ -50,7 +50,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, own = numbered(docs)
-    found = decontamination.contamination(rows, table(spark, sf_dir, "benchmark"), key=own)
+    found = decontamination.contamination(rows, table(spark, sf_dir, "benchmark"), key=own, row=own)
     return rows.join(found.where("n_hit > 0").select(own), own, "left_anti").select(*docs.columns)
 
 
