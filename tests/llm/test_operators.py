@@ -348,6 +348,56 @@ def test_simhash_edge(edge, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def slow_similar(texts, least=0.8, size=5):
+    """For each text the first that it is linked to, over all pairs."""
+    sets = []
+    for t in texts:
+        w = WORD.findall((t or "").encode().lower())
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or (a and b and len(a & b) >= least * len(a | b)):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return [find(i) for i in range(len(sets))]
+
+
+def near_copies(rng, n_families=12, copies=5, large_family=80):
+    """Texts with families of near copies: a few words of a base changed, dropped or added."""
+    say = lambda n: [f"w{x}" for x in rng.integers(0, 3000, n)]
+    out = []
+    for f in range(n_families + 1):
+        base = say(int(rng.integers(120, 400)))
+        for _ in range(large_family if f == n_families else copies):
+            own = list(base)
+            for _ in range(int(rng.integers(0, 1 + len(base) // 60))):
+                k = int(rng.integers(0, len(own)))
+                own[k : k + 1] = [[], say(1), [own[k], *say(1)]][int(rng.integers(0, 3))]
+            out.append(" ".join(own))
+    return out + [" ".join(say(int(rng.integers(1, 200)))) for _ in range(60)] + ["a b", "A  b", "", None, " ", "a b c d e", "a b c d f"]
+
+
+def test_similar_groups_equal_all_pairs(spark, empty):
+    texts = near_copies(np.random.default_rng(4))
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
+    for large, block in ((16, 256), (3, 20)):  # the second: all families in bundles, of several blocks
+        got = {r.row: r.group for r in simhash.similar_groups(docs, large=large, block=block).collect()}
+        strict, loose = slow_similar(texts, 0.9), slow_similar(texts, 0.8)
+        assert sorted(got) == list(range(len(texts)))
+        assert all(got[k] == got[strict[k]] for k in got)  # 0.998 of such links are found one by one
+        assert all(loose[k] == loose[got[k]] for k in got)  # and none is made up
+        assert sum(got[k] == k for k in got) <= 1.03 * len(set(loose))
+    assert simhash.similar_groups(empty.select("row", "text")).count() == 0
+
+
 # --- 10 -----------------------------------------------------------------------------------------------------------------
 
 
