@@ -2,7 +2,8 @@
 
 1. quality_classifier: documents that the classifier rejects go.
 2. quality_rules: failed lines go from the texts, documents that the rules reject go.
-3. near_dedup: of each group of near copies the row with the smallest id stays.
+3. near_dedup: of each group of near copies (Jaccard similarity of 0.8 or more between five-word shingles, joined through
+   SimHash segments with one wildcard bit) the row with the smallest id stays.
 4. decontamination: documents with a benchmark passage go.
 5. packing: what is left becomes sequences of at most 1024 tokens; a row for each piece.
 
@@ -44,7 +45,9 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, own = numbered(docs)
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("hash"), F.col(own).alias("row"))
-    stay = simhash.representatives(rows.select(rank.alias("rank"), "text"), key="rank").select(F.col("rank.row").alias(own))
+    groups = simhash.similar_groups(rows, row=own, shingle=5, similarity=0.8)
+    least = groups.join(rows.select(own, rank.alias("rank")), own).groupBy("group").agg(F.min("rank").alias("rank"))
+    stay = least.select(F.col("rank.row").alias(own))
     return rows.join(stay, own, "left_semi").select(*docs.columns)
 
 
