@@ -419,7 +419,57 @@ def test_language_model(spark, sf, edge, empty):
     assert language_model.language_model(empty, rounds=1).count() == 0
 
 
-def test_class_factor_sums_to_one():
-    weights = np.random.default_rng(0).normal(size=(64, language_model.CLASSES))
-    p = np.exp(language_model.log_softmax(weights, language_model.features(np.arange(500), 64)))
-    assert np.allclose(p.sum(axis=1), 1)
+def trained_on_a_few_words(spark):
+    rng = np.random.default_rng(3)
+    texts = [(k, " ".join(f"w{x}" for x in rng.zipf(1.3, int(rng.integers(0, 60))) % 900)) for k in range(400)]
+    encoded = language_model.encode(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text", 10, 2_000)
+    vocabulary = language_model.Vocabulary(encoded)
+    coded = language_model.code_texts(encoded, vocabulary)
+    start = language_model.Maxent(1 << 10, *vocabulary.offsets())
+    return vocabulary, coded, language_model.train(coded, start, rounds=2, speed=0.1, batch=64, task_tokens=1_000)
+
+
+def test_language_model_is_a_distribution_and_equals_a_loop(spark):
+    lm = language_model
+    vocabulary, coded, model = trained_on_a_few_words(spark)
+    counts = {r["word"]: r["c"] for r in vocabulary.counts.collect()}
+    ranks = {w: k for k, (w, _) in enumerate(vocabulary.heads)}
+    assert len(counts) > lm.HEAD_WORDS and sum(counts.values()) == vocabulary.n and len(counts) == vocabulary.v
+
+    def factor(table, row_hashes, offset):
+        z = [float(offset[c]) + sum(float(model.weights[table][int(h) % model.buckets][c]) for h in row_hashes) for c in range(len(offset))]
+        total = sum(math.exp(x) for x in z)
+        return [math.exp(x) / total for x in z]
+
+    def chances(before):  # of each class, and of each slot of each head class
+        hashes = lm.features([np.array([x], np.uint32) for x in before])
+        classes = factor(0, hashes[0], model.class_offset)
+        return classes, [factor(1, lm.of_class(hashes, np.array([c]))[0], model.slot_offset[c]) for c in range(lm.HEADS)]
+
+    classes, slots = chances((5, 0, 700))
+    tails = {w: c for w, c in counts.items() if w not in ranks}
+    share = lambda cls, c: (c + 0.1) / (vocabulary.tail_n[cls] + 0.1 * (vocabulary.tail_v[cls] + 1))
+    cls_of = {r["word"]: r["cls"] for r in vocabulary.counts.select("word", lm.ending_class(F.col("word")).alias("cls")).collect()}
+    mass = sum(classes[r // lm.SLOTS] * slots[r // lm.SLOTS][r % lm.SLOTS] for r in ranks.values())
+    mass += sum(classes[cls_of[w]] * share(cls_of[w], c) for w, c in tails.items()) + sum(classes[c] * share(c, 0) for c in range(lm.HEADS, lm.CLASSES))
+    assert abs(mass - 1) < 1e-4  # all known words and one unseen of each tail class
+
+    row = coded.where("n_tokens BETWEEN 8 AND 30").orderBy("id").head()
+    codes, want = [0, 0, 0, *np.frombuffer(row["codes"], np.uint32).tolist()], row["tail_score"]
+    for k in range(3, len(codes)):
+        classes, slots = chances((codes[k - 1], codes[k - 2], codes[k - 3]))
+        cls = int(lm.class_of(np.array([codes[k]]))[0])
+        want += math.log10(classes[cls]) + (math.log10(slots[cls][codes[k] % lm.SLOTS]) if codes[k] < lm.HEAD_WORDS else 0)
+    told = sum(model.log10(c, b).sum() for _, c, b in lm.batches_of(iter([np.frombuffer(row["codes"], np.uint32)]), 7))
+    assert abs(told + row["tail_score"] - want) < 1e-3
+
+
+def test_sums_by_row_equals_loop():
+    rng = np.random.default_rng(0)
+    rows_, values = (rng.zipf(1.5, (300, 4)) % 40).astype(np.uint16), rng.normal(size=(300, 3)).astype(np.float32)
+    want = np.zeros((40, 3))
+    for k in range(300):
+        for r in rows_[k]:
+            want[r] += values[k]
+    own, sums = language_model.sums_by_row(rows_, values, short=2)
+    assert sorted(own) == sorted(set(rows_.ravel().tolist())) and np.allclose(want[own], sums, atol=1e-4)
