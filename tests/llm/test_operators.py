@@ -58,6 +58,28 @@ def test_classifier_on_held_out_labels(spark, sf):
     assert (out.held_out == [zlib.crc32(str(k).encode()) % 5 == 0 for k in out.doc_id]).all()
 
 
+def test_classifier_equals_plain_computation(spark, sf):
+    d = sf.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(d + "/documents.parquet"), spark.read.parquet(d + "/labels.parquet")
+    labels = labels.union(labels.limit(30))  # repeated labels and repeated ids
+    docs = docs.unionByName(docs.limit(200))
+    model = quality_classifier.fit(docs, labels)
+    told = dict(zip(*[labels.toPandas()[c] for c in ("doc_id", "quality")]))
+    rows_ = [(told[r.doc_id], quality_classifier.statistics(r.text)) for r in docs.collect() if r.doc_id in told]
+    y, x = np.array([r[0] for r in rows_]), np.array([r[1] for r in rows_])
+    pooled = sum(np.cov(x[y == c].T, bias=True) * (y == c).sum() for c in (0, 1)) / len(y)
+    density = []
+    for c in (0, 1):
+        own, mean = x[y == c], x[y == c].mean(axis=0)
+        s = np.cov(own.T, bias=True)
+        spread = np.mean([np.linalg.norm(np.outer(v - mean, v - mean) - s) ** 2 for v in own]) / len(own)
+        a = min(1.0, spread / np.linalg.norm(s - pooled) ** 2)
+        cov = (1 - a) * s + a * pooled + (1e-3 * np.trace(pooled) / x.shape[1] + 1e-9) * np.eye(x.shape[1])
+        inverse = np.linalg.inv(cov)
+        density.append([-0.5 * (v - mean) @ inverse @ (v - mean) - 0.5 * np.linalg.slogdet(cov)[1] for v in x])
+    assert np.allclose(model.difference(x), np.array(density[1]) - np.array(density[0]), rtol=1e-6, atol=1e-6)
+
+
 def test_classifier_edge(spark, edge, empty):
     labels = spark.createDataFrame([(1, 1), (1, None), (5, 0), (None, 1)], "doc_id long, quality int")
     out = quality_classifier.classify(edge, labels).collect()
@@ -142,6 +164,30 @@ def test_sum_of_squares_choice():
     assert p.counts[6] == 1 and len(p.out) == 2  # 4 fills one of the two windows at 6: the sum of squares falls most
 
 
+def test_placement_equals_loop():
+    rng = np.random.default_rng(8)
+    size, packer, counts = 32, packing.Packer(32, 0, 10**6), Counter()
+    for k in range(3_000):
+        s = int(rng.choice([3, 5, 9, 11, 17, 20]))
+        packer.add(k, np.full(s, k, "<u4").tobytes())
+        best = []
+        for level in range(0, size - s + 1):  # the sum of squares after each choice
+            if level and not counts[level]:
+                continue
+            after = counts.copy()
+            after[level] -= level > 0
+            after[level + s] += level + s < size
+            best.append((sum(v * v for v in after.values()), -level, after))
+        counts = min(best, key=lambda x: x[:2])[2]
+        assert [int(x) for x in packer.counts] == [counts[h] for h in range(size + 1)]
+    closed, waiting = len(packer.out), packer.n_open
+    packer.finish()
+    cut = Counter(row[0] for row in packer.out)
+    assert sum(n > 1 for n in cut.values()) <= waiting  # only windows that nothing fits in are cut
+    by_rule = sum(len({r[0] for r in packer.out if r[4] == s}) > 1 for s in range(closed))
+    assert by_rule > 0 and all(r[5] + r[2] <= size for r in packer.out) and sum(r[2] for r in packer.out) == sum(len(r[6]) // 4 for r in packer.out)
+
+
 # --- 4 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -153,6 +199,21 @@ def test_licenses(spark, edge, empty):
     assert licenses.license_scan(edge).count() == edge.count() and licenses.license_scan(empty).count() == 0
 
 
+def test_every_known_text_and_notice_is_found(spark):
+    every = licenses.known_texts()
+    assert {"GPL-2.0-only", "GPL-3.0-only", "Apache-2.0", "MPL-2.0", "LGPL-2.1-only", "CC0-1.0"} <= {x for x, _ in every}
+    assert all(re.search(licenses.LIKELY, t) for _, t in licenses.KNOWN_NOTICES)
+    wrapped = lambda t, n: "\n".join("# " + " ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
+    docs = [(k, "Copyright (C) 1999 A. Body\n\n" + t) for k, (_, t) in enumerate(every)]
+    notices = [(k, f"int f(void);\n\n{wrapped(t, 9)}\n#\nint g(void);\n") for k, (_, t) in enumerate(licenses.KNOWN_NOTICES)]
+    got = {r.doc_id: r.text_license for r in licenses.license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {k: x for k, (x, _) in enumerate(every)}
+    got = {r.doc_id: r.notices for r in licenses.license_scan(spark.createDataFrame(notices, "doc_id long, text string")).collect()}
+    assert all(got[k] == [x] for k, (x, _) in enumerate(licenses.KNOWN_NOTICES))
+    marks = spark.createDataFrame([(1, "// SPDX-License-Identifier: AGPL-3.0-or-later\nx\n/* SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0 OR MIT) */")], "doc_id long, text string")
+    assert licenses.license_scan(marks).head()["notices"] == ["AGPL-3.0-or-later", "GPL-2.0-only WITH Classpath-exception-2.0 OR MIT"]
+
+
 # --- 6 ------------------------------------------------------------------------------------------------------------------
 
 

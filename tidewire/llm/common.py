@@ -66,7 +66,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a table under the shared folder and read it again: the lineage is cut and a lost executor costs nothing."""
     path = new_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Remove a staged table that nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def frame(rows: list[tuple], schema: str) -> pd.DataFrame:

@@ -1,8 +1,10 @@
 """License scan by canonical digest: whole texts are normalised and their SHA-256 is joined to the digests of known texts.
 
 Normalising lower-cases A-Z, drops copyright lines, makes equivalent spellings one, and keeps only letters and digits with
-single spaces. Two kinds of text are looked up: the document as a whole, and each of its lines (a license notice is mostly a
-line by itself). The known side is a constant table of ``KNOWN_TEXTS`` and ``KNOWN_NOTICES``, so its broadcast has a fixed size.
+single spaces (so comment marks and line breaks don't matter). Looked up are the document as a whole, each of its lines, and each of its
+blocks of several lines (a notice at the head of a file). Known texts are ``KNOWN_TEXTS`` and the files of ``known_licenses``,
+each as it is, without what follows its terms, and without its title; known notices are ``KNOWN_NOTICES``. All of these are constant, so their
+broadcast has a fixed size. ``SPDX-License-Identifier`` marks are read as they are, with any identifier or expression.
 
 Defined results: a null or empty text has no license; a text of copyright lines alone has none; repeated rows, null ids and
 other columns do not matter (columns are ignored, rows are kept); an empty table gives an empty table.
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,9 +79,40 @@ KNOWN_NOTICES: list[tuple[str, str]] = [
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("LicenseRef-all-rights-reserved", "All rights reserved."),
-    *[(x, f"SPDX-License-Identifier: {x}") for x in ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-3.0-only", "LGPL-3.0-only", "MPL-2.0", "ISC", "CC0-1.0")],
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("MIT", _MIT.split("\n\n")[0]),
+    ("ISC", f"{_GRANT}, provided that the above copyright notice and this permission notice appear in all copies."),
+    *[
+        (f"{short}-{version}.0-or-later", f"This {what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation{comma} either version {version} of the License, or (at your option) any later version.")
+        for short, name, what in (("GPL", "General Public License", "program"), ("LGPL", "Lesser General Public License", "library"), ("AGPL", "Affero General Public License", "program"))
+        for version, mark, comma in (("2", ";", ";"), ("3", ":", ","))
+        if (short, version) != ("AGPL", "2")
+    ],
 ]
 
+#: Where the terms of a license end and advice on how to use it begins.
+_AFTER_TERMS = ["END OF TERMS AND CONDITIONS", "APPENDIX: How to apply", "How to Apply These Terms", "ADDENDUM: How to use", "EXHIBIT A", "Exhibit A"]
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """The known texts with their variants: without what follows the terms, without the title above the first blank line."""
+    out = list(KNOWN_TEXTS)
+    for file in sorted((Path(__file__).parent / "known_licenses").glob("*.txt")):
+        text = file.read_text()
+        ends = [len(text)]
+        for mark in _AFTER_TERMS:
+            at = text.find(mark)
+            if at > 0:
+                ends += [at, at + len(mark)]
+        for end in ends:
+            own = text[:end].strip()
+            out += [(file.stem, own), (file.stem, own.partition("\n\n")[2] or own)]
+    return out
+
+
 #: A line that begins with a copyright sign or word and goes on with a year, a sign or a name in brackets.
 COPYRIGHT_LINE = r"(^|\n)[ \t*#/;-]*(copyright|\(c\)|©)[ \t]*(\(c\)|©|[0-9]|<|\[|by )[^\n]*"
 NOT_LETTER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F ‐-‧“-‟←-⯿]+"
@@ -104,27 +138,37 @@ def _digest(text: str) -> str:
 
 
 def known_digests() -> list[tuple[str, str]]:
-    return sorted({(_digest(t), x) for x, t in KNOWN_TEXTS + KNOWN_NOTICES})
+    return sorted({_digest(t): x for x, t in known_texts() + KNOWN_NOTICES}.items())
+
+
+#: Every known notice has one of these words; looking only at such lines and blocks saves normalising the others.
+LIKELY = "(?i)licen|spdx|rights|source code|cc0|permission"
+#: Between blocks: a line with nothing but comment marks.
+BLANK = r"\n[ \t*#/;-]*\n"
+SPDX = r"(?i)SPDX-Licen[cs]e-Identifier:[ \t]*\(?([A-Za-z0-9.+-]+(?: +(?:AND|OR|WITH) +[A-Za-z0-9.+-]+)*)"
 
 
 def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document: the license its whole text is (or null), and the licenses of its lines, sorted, with their number.
+    """A row for each document: the license its whole text is (or null), and the licenses of its notices, sorted, with their number.
 
-    The digests of the text and of its lines are exploded and joined to the known ones, and only those found are grouped.
+    The digests of the text, its lines and its blocks are exploded and joined to the known ones, and only those found are grouped.
     """
     known = docs.sparkSession.createDataFrame(known_digests(), "digest string, license string")  # a constant table
     longest = max(len(normalise(t).encode()) for _, t in KNOWN_NOTICES)
     rows = docs.select(F.col(key).alias("id"), F.monotonically_increasing_id().alias("row"), F.coalesce(text, F.lit("")).alias("text"))
-    # every known notice has one of these words, and no more letters than the longest
-    likely = lambda x: x.rlike("(?i)licen|spdx|rights|source code|cc0") & (F.octet_length(F.regexp_replace(x, NOT_LETTER, "")) <= longest)
-    lines = F.transform(F.filter(F.split("text", "\n"), likely), lambda x: F.struct(F.lit(1).alias("kind"), F.sha2(canonical(x), 256).alias("digest")))
+    likely = lambda x: x.rlike(LIKELY) & (F.octet_length(F.regexp_replace(x, NOT_LETTER, "")) <= longest)
+    notice = lambda units: F.transform(F.filter(units, likely), lambda x: F.struct(F.lit(1).alias("kind"), F.sha2(canonical(x), 256).alias("digest")))
+    blocks = F.filter(F.split("text", BLANK), lambda x: F.contains(F.btrim(x, F.lit("\n")), F.lit("\n")))
     whole = F.struct(F.lit(0).alias("kind"), F.sha2(canonical(F.col("text")), 256).alias("digest"))
-    own = rows.select("id", "row", F.explode(F.concat(F.array(whole), lines)).alias("u")).select("id", "row", "u.*")
+    units = F.explode(F.concat(F.array(whole), notice(F.split("text", "\n")), notice(blocks)))
+    spdx = F.regexp_extract_all("text", F.lit(SPDX), 1)
+    own = rows.select("id", "row", spdx.alias("spdx"), units.alias("u")).select("id", "row", "u.*", F.when(F.col("u.kind") == 0, F.col("spdx")).alias("spdx"))
     own = staged(own.join(F.broadcast(known), "digest", "left").where("kind = 0 OR license IS NOT NULL"), "licenses")
-    notices = own.where("kind = 1").groupBy("row").agg(F.count("*").alias("n_notices"), F.array_sort(F.collect_set("license")).alias("notices"))
-    out = own.where("kind = 0").join(notices, "row", "left")
+    notices = own.where("kind = 1").groupBy("row").agg(F.count("*").alias("n_notices"), F.collect_set("license").alias("notices"))
+    out = own.where("kind = 0").drop("kind").join(notices, "row", "left")
     none = F.array().cast("array<string>")
-    return out.select(F.col("id").alias(key), F.col("license").alias("text_license"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("notices", none).alias("notices"))
+    names = F.array_sort(F.array_distinct(F.concat(F.coalesce("notices", none), "spdx")))
+    return out.select(F.col("id").alias(key), F.col("license").alias("text_license"), (F.coalesce("n_notices", F.lit(0)) + F.size("spdx")).cast("long").alias("n_notices"), names.alias("notices"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,11 +184,16 @@ def oracle_sql() -> dict[str, str]:
     words = f"list_filter(string_split_regex(regexp_replace({low}, '{line}', '\\1', 'g'), '{marks}'), lambda x: x <> '')"
     digest = lambda t: f"sha256(array_to_string(list_transform({words.format(t=t)}, lambda x: coalesce({same}[x], x)), ' '))"
     known = ", ".join(f"('{d}', '{x}')" for d, x in known_digests())
+    notices = ", ".join(f"('{d}', '{x}')" for d, x in sorted({_digest(t): x for x, t in KNOWN_NOTICES}.items()))
+    blank, spdx = BLANK, SPDX
     sql = f"""
-WITH known(digest, license) AS (VALUES {known}),
+WITH known(digest, license) AS (VALUES {known}), notice(digest, license) AS (VALUES {notices}),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, license FROM (SELECT r, {digest("text")} AS digest FROM d) JOIN known USING (digest)),
-l AS (SELECT r, license FROM (SELECT r, {digest("line")} AS digest FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '(?i)licen|spdx|rights|source code|cc0')) JOIN known USING (digest)),
+u AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d
+  UNION ALL SELECT r, line FROM (SELECT r, unnest(string_split_regex(text, '{blank}')) AS line FROM d) WHERE contains(trim(line, chr(10)), chr(10))),
+l AS (SELECT r, license FROM (SELECT r, {digest("line")} AS digest FROM u) JOIN notice USING (digest)
+  UNION ALL SELECT r, unnest(regexp_extract_all(text, '{spdx}', 1)) FROM d),
 n AS (SELECT r, count(*) AS n_notices, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM l GROUP BY r)
 SELECT doc_id, license AS text_license, coalesce(n_notices, 0) AS n_notices, coalesce(notices, '') AS notices FROM d LEFT JOIN w USING (r) LEFT JOIN n USING (r)"""
     return {"op4_license_scan": sql}

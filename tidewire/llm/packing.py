@@ -6,9 +6,11 @@ from count ``N[h]`` and adds one to ``N[h + s]`` (level 0 is a new window, level
 ``N`` is the level array, of one entry for each fill. Every input partition packs its own documents, so nothing is shuffled
 and the work spreads with the input; a retried task packs the same rows in the same order.
 
-At most ``most_open`` windows stay open in a task (a bound on memory: some length mixes leave ever more open windows). When
-there are more, and at the end of a partition, open windows are drained: they are laid end to end, the fullest first, and cut
-into whole windows. At the end what is left over is cut into sequences of powers of two, which need no padding.
+At the end of a partition no new window is opened: each open window in turn, the emptiest first, is emptied and its tokens are
+placed as one fragment, by the same rule and whole, into another. Windows that no other has room for (fuller than half, mostly)
+are laid end to end, the fullest first, and cut into whole windows; what is left over is cut into sequences of powers of two, which need
+no padding. Some length mixes leave ever more open windows: beyond ``most_open`` of them in a task (4 KB of ids each) the same is
+done at once, so that a task's memory doesn't grow with its rows; no token is lost or padded by that.
 
 Defined results: a null or empty text is its end id alone; rows are packed one by one, so repeated rows and null ids are
 packed as they come; an empty table gives an empty table; other columns are ignored.
@@ -34,6 +36,9 @@ PIECE = T.StructType(
 )
 
 
+_NO = int(np.iinfo(np.int64).max)
+
+
 class Packer:
     """Pieces are (doc_id, start, ids as bytes, doc_tokens); ``out`` gets them with their sequence and offset."""
 
@@ -60,22 +65,25 @@ class Packer:
         if n > rest:
             self._place(n - rest, (doc_id, rest, ids[4 * rest :], n))
 
+    def _level(self, s: int) -> tuple[int, int]:
+        """The level of an open window to put s tokens on (0: none has room), and what the sum of squares gains by it."""
+        counts, size = self.counts, self.size
+        gain = 2 * (counts[1 + s :] - counts[1 : size - s + 1]) + 2  # on each level from 1
+        if not len(gain):
+            return 0, _NO
+        gain[-1] = 1 - 2 * counts[size - s]  # a full window leaves the sum
+        gain[counts[1 : size - s + 1] == 0] = _NO
+        k = len(gain) - 1 - int(np.argmin(gain[::-1]))  # of equal levels the fullest
+        return (k + 1, int(gain[k])) if gain[k] < _NO else (0, _NO)
+
     def _place(self, s: int, piece: tuple) -> None:
         counts, size = self.counts, self.size
-        best, level = 2 * counts[s] + 1, 0
-        # what the sum of squares gains on each level from 1; a full window leaves the sum
-        gain = 2 * (counts[1 + s :] - counts[1 : size - s + 1]) + 2
-        gain[-1] = 1 - 2 * counts[size - s]
-        gain[counts[1 : size - s + 1] == 0] = np.iinfo(np.int64).max
-        if len(gain):
-            k = len(gain) - 1 - int(np.argmin(gain[::-1]))  # of equal levels the fullest
-            if gain[k] <= best:
-                level = k + 1
+        level, gain = self._level(s)
+        if gain > 2 * counts[s] + 1:
+            level = 0
         window: list = []
         if level:
-            window = self.windows[level].pop()
-            counts[level] -= 1
-            self.n_open -= 1
+            window = self._take(level)
         window.append(piece)
         if level + s == size:
             self._close(window)
@@ -93,8 +101,29 @@ class Packer:
         if rest:
             self._open(sum(len(p[2]) // 4 for p in rest), rest)
 
+    def _take(self, level: int) -> list:
+        self.counts[level] -= 1
+        self.n_open -= 1
+        return self.windows[level].pop()
+
+    def _merge(self) -> None:
+        """Place open windows into each other, the emptiest first, while one has room for another."""
+        for s in range(1, self.size):
+            while self.counts[s]:
+                moved = self._take(s)
+                level, _ = self._level(s)
+                if not level:
+                    self._open(s, moved)
+                    break
+                window = self._take(level) + moved
+                if level + s == self.size:
+                    self._close(window)
+                else:
+                    self._open(level + s, window)
+
     def _drain(self) -> list:
-        """Lay all open windows end to end, close what is whole, and return the rest as one window."""
+        """Merge open windows, lay the others end to end, close what is whole, and return the rest as one window."""
+        self._merge()
         waiting = [w for ws in self.windows for w in ws]  # emptiest first
         pieces = [p for w in waiting for p in reversed(w)]
         self.counts[:] = 0

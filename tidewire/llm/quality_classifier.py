@@ -1,12 +1,15 @@
 """Regularised quadratic discriminant analysis on document statistics.
 
 Each text gives a vector of transformed counts (logarithms of smoothed rates, so that short texts lie near the middle). For
-each class: mean and shrunken covariance ``(1 - pooled - round) S_class + pooled S_pooled + round tr(S)/d I``, kept as its
-Cholesky factor. A score is the logistic of the difference of the two log densities (Mahalanobis distance by one triangular
-solve with the cached factor, and the log determinant), scaled by two numbers fitted on the same labelled rows.
+each class: mean and shrunken covariance ``(1 - a) S_class + a S_pooled`` plus a small ridge, kept as its Cholesky factor. The
+share ``a`` of the pooled covariance is estimated for each class, as the sampling variance of ``S_class`` over its squared
+distance from the pooled one (at most 1). A score is the logistic of the difference of the two log densities (Mahalanobis
+distance by a triangular solve with the cached factor, and the log determinant), scaled by two numbers fitted on the same rows.
 
-The model is fitted on at most ``max_labelled`` labelled rows, those with the least hash of their id; everything else reads all
-documents. Sums of vectors and of their products are gathered by Spark; the driver sees one row for each class and entry.
+The model is fitted on the rows of at most ``max_labelled`` labelled ids, those with the least hash of their id; everything else
+reads all documents. Those rows' vectors are a written table; Spark gathers from it, for each class, the sums of vectors and
+of their products, then the fourth powers of the distances, then how many rows have each density difference (in steps of 0.01),
+so the driver gets a fixed number of sums however often an id is repeated.
 
 Defined results: a null or empty text has the vector of no counts and a score like any other; labels that are null or of a
 null id are ignored and several labels of one id count as their majority; if a class has no labelled rows all scores are the
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.llm.common import crc_fold, table
+from tidewire.llm.common import crc_fold, staged, table
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
@@ -60,66 +63,107 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
+def _squash(d: np.ndarray) -> np.ndarray:
+    return np.arcsinh(d / 2)
+
+
 class Model:
     """Means, Cholesky factors and log determinants of the classes, and the scale of the scores."""
 
-    def __init__(self, n: list[float], sums: list[np.ndarray], products: list[np.ndarray], pooled: float = 0.1, round_: float = 0.01) -> None:
-        self.share = (n[1] + 1) / (sum(n) + 2)
-        self.parts: list[tuple] = []
-        self.a, self.b = 1.0, 0.0
-        if min(n) < 2:
-            return
-        means = [s / k for s, k in zip(sums, n)]
-        own = [p / k - np.outer(m, m) for p, k, m in zip(products, n, means)]
-        both = sum(k * c for k, c in zip(n, own)) / sum(n)
-        for m, c in zip(means, own):
-            c = (1 - pooled - round_) * c + pooled * both + (round_ * np.trace(both) / len(m) + 1e-6) * np.eye(len(m))
-            factor = np.linalg.cholesky(c)
-            # the solve with the factor, as one product for each batch
-            self.parts.append((m, np.linalg.inv(factor), np.log(np.diag(factor)).sum()))
+    def __init__(self, n: np.ndarray, sums: np.ndarray, products: np.ndarray, ridge: float = 1e-3) -> None:
+        """Counts, sums of vectors and sums of their outer products by class."""
+        self.n, self.share = n, (n[1] + 1) / (n.sum() + 2)
+        self.factors: list[tuple[np.ndarray, float]] = []
+        self.a, self.b = 1.0, math.log(self.share / (1 - self.share))
+        self.ready = n.min() >= 2
+        if self.ready:
+            self.means = sums / n[:, None]
+            self.own = products / n[:, None, None] - self.means[:, :, None] * self.means[:, None, :]
+            self.pooled = (n[:, None, None] * self.own).sum(axis=0) / n.sum()
+            self.ridge = (ridge * np.trace(self.pooled) / sums.shape[1] + 1e-9) * np.eye(sums.shape[1])
+
+    def shrink(self, fourth: np.ndarray) -> None:
+        """fourth: by class, the sum of the fourth powers of the rows' distances from the class's mean."""
+        for c in (0, 1):
+            square = (self.own[c] ** 2).sum()
+            spread = max(0.0, fourth[c] / self.n[c] - square) / self.n[c]  # the sampling variance of the covariance
+            apart = ((self.own[c] - self.pooled) ** 2).sum()
+            share = min(1.0, spread / apart) if apart > 0 else 1.0
+            factor = np.linalg.cholesky((1 - share) * self.own[c] + share * self.pooled + self.ridge)
+            self.factors.append((factor, float(np.log(np.diag(factor)).sum())))
 
     def difference(self, x: np.ndarray) -> np.ndarray:
         """Log density under label 1 less that under label 0."""
-        if not self.parts:
-            return np.zeros(len(x))
-        d = [-0.5 * (((x - m) @ inverse.T) ** 2).sum(axis=1) - half_det for m, inverse, half_det in self.parts]
-        return d[1] - d[0]
-
-    def fit_scale(self, d: np.ndarray, y: np.ndarray) -> None:
-        """Logistic fit of y on the squashed difference by Newton steps."""
-        if not self.parts:
-            self.b = math.log(self.share / (1 - self.share))
-            return
-        x = np.column_stack([_squash(d), np.ones(len(d))])
-        w = np.zeros(2)
+        told = []
+        for mean, (factor, half_det) in zip(self.means, self.factors):
+            z = x - mean
+            for k in range(z.shape[1]):  # solved in place, for all rows at once
+                z[:, k] = (z[:, k] - z[:, :k] @ factor[k, :k]) / factor[k, k]
+            told.append(-0.5 * (z * z).sum(axis=1) - half_det)
+        return told[1] - told[0]
+
+    def fit_scale(self, x: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> None:
+        """Logistic fit by Newton steps: so many rows of each label at squashed differences x."""
+        x, w = np.column_stack([x, np.ones(len(x))]), np.zeros(2)
         for _ in range(25):
             p = 1 / (1 + np.exp(-(x @ w)))
-            w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (y - p) - 1e-3 * w)
+            at = (x * ((ones + zeros) * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+            w += np.linalg.solve(at, x.T @ (ones - (ones + zeros) * p) - 1e-3 * w)
         self.a, self.b = float(max(w[0], 1e-3)), float(w[1])
 
     def score(self, texts: pd.Series) -> np.ndarray:
+        if not self.ready:
+            return np.full(len(texts), self.share)
         x = np.array([statistics(t) for t in texts]).reshape(-1, N_FEATURES)
         return 1 / (1 + np.exp(-(self.a * _squash(self.difference(x)) + self.b)))
 
 
-def _squash(d: np.ndarray) -> np.ndarray:
-    return np.arcsinh(d / 2)
+STEP = 0.01  # of the squashed differences that the scale is fitted on
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = 40_000) -> Model:
     told = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg((F.avg(label) >= 0.5).cast("int").alias("_y"))
     told = told.orderBy(F.xxhash64("_key"), "_key").limit(max_labelled)
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(told), "_key")  # at most max_labelled rows
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(told), "_key")  # max_labelled ids at most
 
-    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"y": pdf["_y"].to_numpy(), "x": [statistics(t) for t in pdf["_text"]]})
+
+    known = staged(rows.select("_text", "_y").mapInPandas(vectors, "y int, x array<double>"), "labelled-vectors")
+
+    def sums(of, size: int) -> np.ndarray:
+        """By class: the sum over its rows of what ``of`` makes of their vectors (a row of ``size`` numbers each)."""
+
+        def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((2, size))
+            for pdf in batches:
+                y, x = pdf["y"].to_numpy(), np.array(pdf["x"].tolist()).reshape(-1, N_FEATURES)
+                for c in (0, 1):
+                    if (y == c).any():
+                        total[c] += of(c, x[y == c])
+            yield pd.DataFrame({"y": np.repeat([0, 1], size), "k": np.tile(np.arange(size), 2), "v": total.ravel()})
+
+        out = np.zeros((2, size))
+        got = known.mapInPandas(gather, "y int, k int, v double").groupBy("y", "k").agg(F.sum("v").alias("v")).toPandas()  # 2 * size rows
+        out[got["y"], got["k"]] = got["v"]
+        return out
+
+    d = N_FEATURES
+    moments = sums(lambda c, x: np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()]), 1 + d + d * d)
+    model = Model(moments[:, 0], moments[:, 1 : 1 + d], moments[:, 1 + d :].reshape(2, d, d))
+    if not model.ready:
+        return model
+    means = model.means
+    model.shrink(sums(lambda c, x: (((x - means[c]) ** 2).sum(axis=1) ** 2).sum(keepdims=True), 1)[:, 0])
+
+    def differences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = np.array([statistics(t) for t in pdf["_text"]]).reshape(-1, N_FEATURES)
-            yield pd.DataFrame({"y": pdf["_y"].to_numpy(), "x": list(x)})
+            x = np.array(pdf["x"].tolist()).reshape(-1, N_FEATURES)
+            yield pd.DataFrame({"y": pdf["y"], "at": np.round(_squash(model.difference(x)) / STEP).astype(np.int64)})
 
-    vectors = rows.select("_text", "_y").mapInPandas(gather, "y int, x array<double>").toPandas()  # bounded as the labels are
-    x, y = np.array(vectors["x"].tolist()).reshape(-1, N_FEATURES), vectors["y"].to_numpy(np.int64)
-    model = Model([float((y == c).sum()) for c in (0, 1)], [x[y == c].sum(axis=0) for c in (0, 1)], [x[y == c].T @ x[y == c] for c in (0, 1)])
-    model.fit_scale(model.difference(x), y)
+    counts = known.mapInPandas(differences, "y long, at long").groupBy("at").agg(F.sum("y").alias("ones"), F.count("*").alias("n")).orderBy("at").toPandas()  # some thousands of steps at most
+    model.fit_scale(counts["at"].to_numpy() * STEP, counts["ones"].to_numpy(float), (counts["n"] - counts["ones"]).to_numpy(float))
     return model
 
 
