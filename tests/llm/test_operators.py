@@ -40,6 +40,12 @@ def test_rules_edge(edge, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_line_rules():
+    fails = lambda t: quality_rules.line_fails(t, t.encode().split())
+    assert not any(map(fails, ["A plain sentence of some words.", "这是一个很长的句子，没有问题。", "यह एक वाक्य है।", "هل هذا سؤال؟", "He said “yes.”", "Das ist ein Satz, der endet. 12"]))
+    assert all(map(fails, ["Home About Contact Products Blog Careers end. ok now", "Home About Us Our Products Blog.", "Home | About | Contact us.", "see https://a.b/c www.d.e.", "no stop at the end here", "Nous utilisons des cookies. Wir verwenden cookies.", "THIS IS SHOUTED."]))
+
+
 def test_repeated_words_equals_loop():
     rng = np.random.default_rng(3)
     for n, v in ((30, 2), (200, 3), (500, 40), (7, 1), (8, 1), (9, 1), (64, 64)):

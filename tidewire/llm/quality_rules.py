@@ -1,10 +1,11 @@
 """Line-first cleaning: rules judge each line, failed lines go, and a document that loses too much text is rejected.
 
 A line with a word fails
-  navigation   if at least a fifth of its words are bare separators,
+  navigation   if at least a fifth of its words are bare separators, at least half are links, or it has 4 words or more of
+               which over two thirds begin with a capital letter,
   symbols      if it has more than one symbol for every two words,
   shouting     if it has at least 4 capitals A-Z and more capitals than small letters a-z,
-  punctuation  if none of its words ends in closing punctuation,
+  punctuation  if neither of its last two words ends in closing punctuation (of any script),
   boilerplate  if it has one of the stock phrases below.
 Lines without a word neither pass nor fail and stay. A document is rejected if over ``max_lost`` per cent of its word
 characters were in failed lines, or by the base rules (under 20 words; over 30 % of the words in repeated 8-word windows).
@@ -30,11 +31,23 @@ SYMBOLS = re.compile(r"[#*$%&|<>]")
 #: Words that only separate menu entries.
 SEPARATORS = ["|", ">", "»", "•", "·", "/", "-", "–"]
 #: What a sentence may end in.
-CLOSING = ".!?:;…\"')]»”"
-#: Stock phrases, looked up in the line with A-Z in lower case.
+CLOSING = ".!?:;…\"')]»”’›。！？：；」』）؟۔।॥"
+#: Capital letters that a word of a menu begins with.
+CAPITAL = "[A-ZÀ-ÖØ-Þ]"
+#: Stock phrases by language, looked up in the line with A-Z in lower case.
 BOILERPLATE = [
-    "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "sign up for",
-    "subscribe to our", "click here", "enable javascript", "skip to content", "share this",
+    # English
+    "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "terms and conditions", "sign up for", "subscribe to our",
+    "click here", "enable javascript", "skip to content", "share this", "we use cookies", "accept cookies", "back to top", "log in to", "follow us on", "powered by",
+    # German
+    "alle rechte vorbehalten", "datenschutzerklärung", "cookie-richtlinie", "nutzungsbedingungen", "impressum", "newsletter abonnieren", "hier klicken", "javascript aktivieren",
+    "zum inhalt springen", "wir verwenden cookies", "nach oben",
+    # French
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "abonnez-vous", "cliquez ici", "activer javascript", "aller au contenu",
+    "nous utilisons des cookies", "haut de page",
+    # Spanish
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "aviso legal", "suscríbete", "haga clic aquí", "habilitar javascript", "saltar al contenido",
+    "utilizamos cookies", "volver arriba",
 ]
 
 RESULT = T.StructType(
@@ -76,9 +89,13 @@ def line_fails(line: str, words: list[bytes]) -> bool:
     n = len(words)
     if 5 * sum(w in _SEPARATORS for w in words) >= n:
         return True
+    if 2 * sum(b"://" in w or w.startswith(b"www.") for w in words) >= n:
+        return True
     if 2 * len(SYMBOLS.findall(line)) > n:
         return True
-    if not any(w.endswith(_CLOSING) for w in reversed(words)):
+    if not any(w.endswith(_CLOSING) for w in words[-2:]):
+        return True
+    if n >= 4 and 3 * len(_CAPITALS.findall(line)) > 2 * n:
         return True
     raw = line.encode()
     upper = len(raw) - len(raw.translate(None, _UPPER))
@@ -90,6 +107,7 @@ def line_fails(line: str, words: list[bytes]) -> bool:
 
 _SEPARATORS = {s.encode() for s in SEPARATORS}
 _PHRASES = [p.encode() for p in BOILERPLATE]
+_CAPITALS = re.compile(rf"(?<![^\x20\x09-\x0D]){CAPITAL}")
 _CLOSING = tuple(c.encode() for c in CLOSING)
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 
@@ -129,7 +147,10 @@ def quality_rules(docs: DataFrame, text: str = "text", max_lost: int = 40) -> Da
 
     rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in RESULT.names]
     once = judged.asNondeterministic()  # else a filter on the verdict is pushed below and judges every text twice
-    return docs.select(*rest, once(F.col(text)).alias("_judged")).select(*rest, "_judged.*")
+    own = "_judged"
+    while own in docs.columns:
+        own += "_"
+    return docs.select(*rest, once(F.col(text)).alias(own)).select(*rest, f"{own}.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +161,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle_sql() -> dict[str, str]:
     quoted = ", ".join("'" + s.replace("'", "''") + "'" for s in SEPARATORS)
     closing = ", ".join("'" + c.replace("'", "''") + "'" for c in CLOSING)
-    phrases = " OR ".join(f"contains(low, '{p}')" for p in BOILERPLATE)
+    phrases = " OR ".join(f"contains(low, '{q}')" for q in [p.replace("'", "''") for p in BOILERPLATE])
     word = r"[^\x20\x09-\x0D]+"
     sql = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents),
@@ -153,7 +174,9 @@ j AS (
   SELECT doc_id, copy, length(array_to_string(w, '')) AS chars,
     5 * len(list_filter(w, lambda x: x IN ({quoted}))) >= len(w)
     OR 2 * length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) > len(w)
-    OR len(list_filter(w, lambda x: right(x, 1) IN ({closing}))) = 0
+    OR 2 * len(list_filter(w, lambda x: contains(x, '://') OR starts_with(x, 'www.'))) >= len(w)
+    OR len(list_filter(w[greatest(len(w) - 1, 1):], lambda x: right(x, 1) IN ({closing}))) = 0
+    OR (len(w) >= 4 AND 3 * len(list_filter(w, lambda x: regexp_matches(x, '^{CAPITAL}'))) > 2 * len(w))
     OR (length(regexp_replace(line, '[^A-Z]', '', 'g')) >= 4 AND length(regexp_replace(line, '[^A-Z]', '', 'g')) > length(regexp_replace(line, '[^a-z]', '', 'g')))
     OR {phrases} AS failed
   FROM m),
