@@ -125,6 +125,12 @@ def test_token_files_round_trip(spark, sf, edge, empty):
     token_files.write_token_files(edge, folder, shard_docs=3, bucket_keys=4)
     back = token_files.read_token_files(edge.select("doc_id").union(spark.createDataFrame([(99999,)], "doc_id long")), folder).collect()
     assert Counter((r.doc_id, bytes(r.ids)) for r in back) == Counter((r.doc_id, ids_of(tokenizing.WORD_BPE, r.text, 1)) for r in edge.collect())
+    one = token_files.KeyedReader(folder)
+    for key in {r.doc_id for r in edge.collect()}:
+        assert sorted((s, i.tobytes()) for s, i in one.get(key)) == sorted((r.start, bytes(r.ids)) for r in back if r.doc_id == key)
+    assert one.get(99999) == one.get(-1) == []
+    with pytest.raises(TypeError):
+        token_files.write_token_files(edge.withColumn("doc_id", F.col("doc_id").cast("string")), new_dir(spark, "t"))
     starts = sorted((r.start, len(r.ids) // 4) for r in back)
     assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
     folder = new_dir(spark, "t")
@@ -336,11 +342,12 @@ def test_contamination_equals_loop(spark, edge, empty):
 # --- 8 ------------------------------------------------------------------------------------------------------------------
 
 
-def test_warc_round_trip(spark, sf):
+@pytest.mark.parametrize("block", [500_000, 0])
+def test_warc_round_trip(spark, sf, block):
     pages = [(1, "http://a\nb", "x"), (2, "ü%20", "x"), (None, None, "x"), (None, None, None), (3, "c", ""), (9, "z", "long é " * 100_000), (5, "q", "only")]
     folder = new_dir(spark, "w")
     df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, key string")
-    warc.write_warc(df, folder)
+    warc.write_warc(df, folder, block=block)
     back = {(r.page_id, r.payload_bytes): r for r in warc.read_warc(spark, folder).collect()}
     assert len(back) == len(pages)
     for k, _, h in pages:

@@ -7,17 +7,19 @@ Files under one folder:
   distinct keys, and for each slot a 32-bit fingerprint of its key and the entries (file, offset, length) of the key.
 * ``manifest``: a Parquet table of the id files with the ids before each, ``catalog``: a Parquet table of the index files.
 
-A look-up hashes the key to its bucket, the bucket's hash to one slot, compares the fingerprint and reads one byte range: the
-time does not grow with the number of keys. The manifest and the catalog name the files of committed tasks only, so what a
+A look-up (``KeyedReader.get``) hashes the key to its bucket, the bucket's hash to one slot, compares the fingerprint and reads the
+byte ranges it needs of one index file and one range of one id file for each document: the time does not grow with the number of keys.
+``read_token_files`` looks up whole tables of keys, and reads each index file and each id file once. The manifest and the catalog name the files of committed tasks only, so what a
 lost or retried task has left behind is never read.
 
 Defined results: a null text is an empty document and has just the end id. Rows with equal keys are stored one after another
 and a look-up returns all of them; a null key is a key like any other and comes first. An empty table makes empty tables.
-Other columns are ignored.
+Other columns are ignored. Keys must be integers: a key column of another type is an error.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -27,6 +29,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewire.llm.common import input_parts, new_dir, staged, table
 from tidewire.llm.tokenizing import WORD_BPE, encoder
@@ -38,7 +41,7 @@ ENTRY = "key long, part long, shard long, file string, first long, lengths array
 def _fs(folder: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder)
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", folder))  # the object store's other names in Hadoop
 
 
 def _put(folder: str, name: str, data: bytes) -> None:
@@ -157,6 +160,8 @@ def write_token_files(docs: DataFrame, folder: str, *, key: str = "doc_id", text
     a hash of their text as well), so a key with many rows is split. A task holds one file's ids at a time.
     """
     spark = docs.sparkSession
+    if not isinstance(docs.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"the keys in {key} must be integers")
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(text, F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange(input_parts(docs), F.col("key").asc_nulls_first(), "tie").sortWithinPartitions(F.col("key").asc_nulls_first(), "tie")
@@ -267,6 +272,52 @@ def read_token_files(keys: DataFrame, folder: str, key: str = "doc_id") -> DataF
     return placed.mapInPandas(load, "key long, start long, ids binary").withColumnRenamed("key", key)
 
 
+class KeyedReader:
+    """Single keys, without Spark: byte ranges of the bucket's index file, then one range of the id file for each document."""
+
+    def __init__(self, folder: str) -> None:
+        from pyarrow import dataset
+
+        self.system, self.root = _fs(folder)
+        rows = lambda name: dataset.dataset(f"{self.root}/{name}", filesystem=self.system, format="parquet").to_table().to_pylist()
+        self.buckets = rows("buckets")[0]["n"]
+        self.catalog = {r["bucket"]: r["file"] for r in rows("catalog")}
+        self.manifest = {r["number"]: (r["file"], r["before"]) for r in rows("manifest")}
+
+    def get(self, key: int | None) -> list[tuple[int, np.ndarray]]:
+        """(start, ids) of each document of the key; empty if there is none."""
+        from xxhash import xxh64_intdigest
+
+        hashed = 42 if key is None else xxh64_intdigest(struct.pack("<q", key), 42)  # as Spark hashes a long
+        name = self.catalog.get((hashed - (1 << 64) * (hashed >> 63)) % self.buckets)
+        if name is None:
+            return []
+        with self.system.open_input_file(f"{self.root}/{name}") as f:
+
+            def read(kind: str, n: int, at: int) -> np.ndarray:
+                return np.frombuffer(f.read_at(n * np.dtype(kind).itemsize, at), kind)
+
+            r, m, n = (int(x) for x in read("<i8", 3, 8))
+            own = key_hash(np.array([key or 0]), np.array([key is None]))
+            told = int(read("<i8", 1, 32 + 8 * int(own[0] % np.uint64(r)))[0])
+            slot = -1 - told if told < 0 else int(mix(own, np.uint64(told))[0] % np.uint64(m))
+            prints = 32 + 8 * r
+            if read("<u4", 1, prints + 4 * slot)[0] != fingerprints(own)[0]:
+                return []
+            ends = prints + 4 * m
+            begin, end = (0, *read("<i8", 1, ends)) if slot == 0 else read("<i8", 2, ends + 8 * (slot - 1))
+            entries = ends + 8 * m
+            shard, first, sizes = (read("<i8", int(end - begin), entries + 8 * (n * c + int(begin))) for c in range(3))
+        out = []
+        for s, at, size in zip(shard.tolist(), first.tolist(), sizes.tolist()):
+            file, before = self.manifest[s]
+            kind = "<u2" if file.endswith("u2.bin") else "<u4"
+            wide = np.dtype(kind).itemsize
+            with self.system.open_input_file(f"{self.root}/{file}") as f:
+                out.append((before + at, np.frombuffer(f.read_at(size * wide, at * wide), kind).astype("<u4")))
+        return out
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = new_dir(spark, "token-files")

@@ -4,12 +4,13 @@ Both tokenizers cut a text into pre-tokens by a pattern and encode each pre-toke
 A plain text (ASCII and Latin letters up to U+017F) is cut here by the tokenizer's own pattern, written with the classes as
 they are in that range, and each pre-token goes to the library's BPE model. In any other text the runs of visible characters
 (with the white space before them) are cut apart, which no pre-token spans, and each that is not plain goes through the
-library's whole ``encode``, as does a text with white space that engines class differently. The cache is bounded and only
-saves time.
+library's whole ``encode``, as does a text with white space that engines class differently, and any text if the tokenizer comes from
+another file than the two that the patterns are for. The cache is bounded and only saves time.
 """
 
 from __future__ import annotations
 
+import filecmp
 import re
 from functools import cache as once
 
@@ -50,7 +51,9 @@ class Encoder:
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path or public_tokenizers.path(name))
+        own = public_tokenizers.path(name)
+        self.known = path is None or filecmp.cmp(path, own, shallow=False)
+        self.whole = Tokenizer.from_file(path or own)
         self.cut = re.compile(PATTERNS[name]).findall
         self.folds = name == WORD_BPE
         self.letters = _byte_letters()
@@ -79,7 +82,7 @@ class Encoder:
             return b"".join([held[p] for p in parts])
 
     def encode(self, text: str) -> bytes:
-        if "<|" in text or _ODD_SPACE.search(text):
+        if not self.known or "<|" in text or _ODD_SPACE.search(text):
             return self.full(text)
         if _PLAIN.fullmatch(text):
             return self._plain(text)

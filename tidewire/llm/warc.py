@@ -8,6 +8,8 @@ needs nothing but the file.
 Of the rows with equal payloads of at least ``min_bytes`` bytes, that with the largest key is the response and the others
 revisit it. Files of lost or retried tasks are not in the manifest and are never read.
 
+A record's id is made of its page's key and its payload's digest, so ids differ but for rows with the same key and payload.
+
 Defined results: a null html is an empty payload; a null key is below any other, and where all keys of a group are null all
 are responses; rows with the same (largest) key and payload are all responses; a null url has no target header
 and line breaks in one are percent-encoded; an empty table
@@ -27,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import frame, input_parts, new_dir, table
+from tidewire.llm.common import frame, input_parts, new_dir, staged, table
 from tidewire.llm.token_files import _fs
 
 SKIPPABLE = 0x184D2A5D
@@ -47,15 +49,20 @@ def _headers(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
 
+def record_id(key: int | None, digest: str) -> str:
+    return f"<{RECORD}{'' if key is None else key}:{digest}>"
+
+
 def record(key: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
     """refers_to: the response's key if this is a revisit."""
-    fields: list[tuple[str, object]] = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<{RECORD}{'' if key is None else key}>"), ("WARC-Date", date)]
+    digest = digest32(payload)
+    fields: list[tuple[str, object]] = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(key, digest)), ("WARC-Date", date)]
     if url is not None:
         fields.append(("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")))
-    fields.append(("WARC-Payload-Digest", f"sha1:{digest32(payload)}"))
+    fields.append(("WARC-Payload-Digest", f"sha1:{digest}"))
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if refers_to is not None:
-        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{RECORD}{refers_to}>")]
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, digest))]
         payload = b""
     fields.append(("Content-Type", "application/http;msgtype=response"))
     return _headers(fields, head + payload)
@@ -70,16 +77,19 @@ def build_dictionary(samples: list[bytes], size: int):
         return zstandard.ZstdCompressionDict(b"".join(samples)[-size:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def write_warc(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", level: int = 3, dictionary_bytes: int = 65_536, sample_records: int = 500, sample_bytes: int = 2_000_000, file_bytes: int = 32_000_000) -> None:
+def write_warc(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", level: int = 3, dictionary_bytes: int = 65_536, sample_records: int = 500, sample_bytes: int = 2_000_000, file_bytes: int = 32_000_000, block: int = 500_000) -> None:
     """Write the archives and their manifest (a Parquet table) under ``folder``.
 
-    Digests are grouped first (with a partial step before the shuffle), and only groups of several rows are joined back to
-    their pages; Spark splits a large group's side of that join, as no step needs all of its rows together.
+    Digests are grouped first (with a partial step before the shuffle). The groups of several rows, at most ``block`` of them, are sent
+    to the pages, so no payload is shuffled; more groups than that are joined by a shuffle, of which Spark splits a large
+    group's side, as no step needs all of its rows together.
     """
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.encode(F.coalesce(html, F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     groups = rows.where(F.length("payload") >= min_bytes).groupBy("digest").agg(F.max("key").alias("top"), F.count("*").alias("n")).where("n > 1")
-    told = rows.join(groups.select("digest", "top"), "digest", "left").select("key", "url", "payload", F.when(~F.col("key").eqNullSafe(F.col("top")), F.col("top")).alias("refers_to"))
+    groups = staged(groups.select(F.unhex("digest").alias("digest"), "top"), "warc-groups")
+    groups = F.broadcast(groups) if groups.count() <= block else groups
+    told = rows.withColumn("digest", F.unhex("digest")).join(groups, "digest", "left").select("key", "url", "payload", F.when(~F.col("key").eqNullSafe(F.col("top")), F.col("top")).alias("refers_to"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -168,7 +178,7 @@ def read_warc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFr
     manifest = spark.read.parquet(f"{folder}/manifest").select("file")
 
     def key_of(uri: str) -> int | None:
-        tail = uri.strip("<>").removeprefix(RECORD)
+        tail = uri.strip("<>").removeprefix(RECORD).partition(":")[0]
         return int(tail) if tail else None
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
