@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -29,15 +30,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one is set only where none is."""
+    """The cluster's shared folder (``spark.checkpoint.dir``, in full); a temporary one is set only in a local session without it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext.getCheckpointDir()
         root = held.rsplit("/", 1)[0] if held else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-llm-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/") if "://" in root else "file://" + root.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/(?!/)", "file:///", full.rstrip("/"))
 
 
 _made: list[tuple[SparkSession, str]] = []
