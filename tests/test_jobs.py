@@ -3,6 +3,10 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+import pytest
+from tidewire.functions.models import FatalModelError, brief_writer
+from tidewire.operators.jobs import llm_apply
+from tidewire.operators.state import upsert_latest
 from tidewire.functions import text as X
 from tidewire.operators import jobs as J
 from tidewire.operators import similarity as S
@@ -106,3 +110,35 @@ def test_missing_vectors_and_other_models(spark):
     assert got == {1: 1, 3: 1, 5: None, 7: None, 9: 9, 10: 9, 11: 11, 13: 11, 15: None}
     led = {r.id: (r.leader, r.status) for r in J.dedup_leader(rows, vector_threshold=0.35).collect()}
     assert led == {**{k: (k, "inserted") for k in (1, 5, 7, 9, 11, 15)}, 3: (1, "duplicate"), 10: (9, "duplicate"), 13: (11, "duplicate")}
+
+
+def test_latest_version_wins_and_late_rows_lose(spark):
+    held = spark.createDataFrame([(1, "held", 5), (2, "held", 5), (3, "held", 5)], "id int, name string, version int")
+    new = spark.createDataFrame([(1, "late", 4), (2, "new", 6), (3, "same", 5), (4, "first", 1)], held.schema)
+    got = {r.id: r.name for r in upsert_latest(held, new, ["id"], "version").collect()}
+    assert got == {1: "held", 2: "new", 3: "same", 4: "first"}
+
+
+def test_rows_without_a_result_stay_as_they_are(spark):
+    shape = "id long, title string, summary string, url string, base_credibility int, publisher_domain string, author string, corroboration_count int, category string, credibility int, enriched_by string"
+    a = spark.createDataFrame([(k, "T", "S", "https://a.b/c", 3, None, "x", 0, "deal", 2, "rules") for k in (1, 2)], shape)
+    n = F.struct(F.lit("new").alias("summary"), F.lit("policy").alias("category"), F.array(F.lit("t")).alias("tags"), F.array().cast("array<string>").alias("orgs"), F.lit("confirmed").alias("claim"), F.lit("").alias("reason"))
+    out = {r.id: r for r in llm_apply(a, a.where("id = 1").select("id", n.alias("n"))).collect()}
+    assert (out[1].summary, out[1].category, out[1].enriched_by, out[1].credibility) == ("new", "policy", "llm", 3)
+    assert (out[2].summary, out[2].category, out[2].enriched_by, out[2].credibility) == ("S", "deal", "rules", 2)
+
+
+def test_brief_falls_back_only_on_fatal_errors(spark):
+    c = spark.createDataFrame([(1, "A", "sa", "u", "S", 9, 4, "s1"), (2, "B", None, "v", "S", 8, 4, None)], "id long, title string, summary string, url string, source_name string, impact int, credibility int, story_id string")
+
+    def fatal(given):
+        raise FatalModelError
+
+    def broken(given):
+        raise KeyError("x")
+
+    plain = brief_writer(c, "2024-01-19", None).collect()
+    assert plain == brief_writer(c, "2024-01-19", fatal).collect() and list(plain[0].article_ids) == [1, 2]
+    with pytest.raises(KeyError):
+        brief_writer(c, "2024-01-19", broken)
+    assert brief_writer(c.limit(0), "2024-01-19", broken).count() == 0

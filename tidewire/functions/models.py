@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 DIMENSIONS = 64
 MODEL = "hash-64"
@@ -70,3 +71,33 @@ def llm_enrich(rows: DataFrame, client: Callable[[str, str], str] = heuristic_cl
             yield pd.DataFrame(out, columns=["id", "raw", "prompt_tokens", "completion_tokens", "status"], dtype=object)
 
     return rows.select("id", "title", "summary").mapInPandas(run, "id long, raw string, prompt_tokens long, completion_tokens long, status string")
+
+
+class FatalModelError(Exception):
+    """The model can't answer any request: no further call makes sense."""
+
+
+def brief_writer(candidates: DataFrame, day: str, writer: Callable[[list[dict]], dict] | None, most: int = 25) -> DataFrame:
+    """(day, title, body_markdown, article_ids) of the day's brief; no row without candidates.
+
+    writer gets at most ``most`` candidates (the digest's own limit, so the collect is bounded) and answers title, intro and items
+    (headline, body, article_ids). Without a writer, or if it raises ``FatalModelError``, the brief is made from the ranking alone;
+    any other error is raised.
+    """
+    from tidewire.operators.feed import digest_fallback
+    from tidewire.operators.jobs import digest_render
+
+    ids = F.transform(F.split("article_ids", ","), lambda k: k.try_cast("bigint")).alias("article_ids")
+    plain = digest_fallback(candidates).where("article_ids <> ''").select(F.lit(day).alias("day"), "title", "body_markdown", ids)
+    if writer is None:
+        return plain
+    given = [r.asDict() for r in candidates.orderBy(F.desc("impact"), F.desc("credibility"), "id").limit(most).collect()]
+    if not given:
+        return plain
+    try:
+        said = writer(given)
+    except FatalModelError:
+        return plain
+    items = [(x["headline"], x["body"], [int(k) for k in x["article_ids"]]) for x in said["items"]]
+    shape = "day string, title string, intro string, items array<struct<headline: string, body: string, article_ids: array<bigint>>>"
+    return digest_render(candidates.sparkSession.createDataFrame([(day, said["title"], said["intro"], items)], shape), candidates)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -28,6 +29,11 @@ def compiled(pattern: str) -> str:
     return "".join(out)
 
 
+def let(body: Callable[[Column], Column], **values: Column) -> Column:
+    """``body`` of a struct of the values, each of which is worked out once however often the body reads it."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), F.lit(0))
+
+
 def any_of(text: Column, patterns: list[str]) -> Column:
     """One search for all patterns of one case rule, another for those of the other."""
     loose, strict = [p[4:] for p in patterns if p.startswith("(?i)")], [p for p in patterns if not p.startswith("(?i)")]
@@ -78,7 +84,7 @@ class Org:
     domains: tuple[str, ...]
 
 
-DEFAULT_ORGS = [Org(s, r, p, tuple(n.split(";")), tuple(d.split())) for s, _, r, p, n, d in rt.ORGS]
+DEFAULT_ORGS = [Org(s, r, p, tuple(n), tuple(d)) for s, _, r, p, n, d in rt.ORGS]
 
 
 def _quoted(name: str) -> str:
@@ -115,49 +121,60 @@ def first_party_org(url: Column, orgs: list[Org] = DEFAULT_ORGS) -> Column:
     return F.get(F.array(*map(F.lit, slugs)), best)
 
 
-def tier_for_domain(domain: Column, tiers: dict[int, list[str]] = rt.PUBLISHER_TIERS, orgs: list[Org] = DEFAULT_ORGS) -> Column:
+def tier_for_domain(domain: Column, tiers: dict[str, int] = rt.PUBLISHER_TIERS, orgs: list[Org] = DEFAULT_ORGS) -> Column:
     """The listed tier of the host itself, then 5 for any first party, then the tier of a listed domain that it is below."""
     host = F.regexp_replace(F.lower(domain), r"^www\.", "")
-    known = _map([(d, t) for t, ds in tiers.items() for d in ds])
-    ends = host_suffixes(host)
-    first = F.arrays_overlap(ends, F.array(*[F.lit(d) for o in orgs for d in o.domains]))
-    below = F.get(F.filter(F.transform(ends, lambda s: known[s]), lambda t: t.isNotNull()), F.lit(0))
-    return F.coalesce(known[host], F.when(first, 5), below)
+    known = _map(list(tiers.items()))
+    below = lambda x: F.get(F.array_compact(F.transform(x["ends"], lambda s: known[s])), F.lit(0))
+    domains = F.array(*[F.lit(d) for o in orgs for d in o.domains])
+    return let(lambda x: F.coalesce(known[x["host"]], F.when(F.arrays_overlap(x["ends"], domains), 5), below(x)), host=host, ends=host_suffixes(host))
 
 
 def score_credibility(*, title: Column, summary: Column, url: Column, base: Column, publisher: Column, author: Column, has_date: Column, corroboration: Column, claim: Column | None = None, claim_reason: Column | None = None) -> Column:
     """struct(score, reasons, is_rumour): reasons are (rule, delta, detail) in the order in which they were applied."""
     text = lambda c: c.cast("string")
-    tier, owner = tier_for_domain(publisher), first_party_org(url)
-    hedge = rumour_label(joined(title, summary))
-    named = F.coalesce(publisher != "", F.lit(False))
-    start = F.when(named, F.coalesce(tier, F.lit(3))).otherwise(base)
-    reason = lambda rule, delta, detail: F.struct(F.lit(rule).alias("rule"), delta.cast("int").alias("delta"), detail.alias("detail"))
-    zero = F.lit(0)
-    first = (
-        F.when(named & tier.isNotNull(), reason("publisher", zero, F.concat(publisher, F.lit(" rated "), text(tier), F.lit("/5"))))
-        .when(named, reason("publisher-unknown", zero, F.concat(publisher, F.lit(" not rated — defaulted to 3/5"))))
-        .otherwise(reason("source", zero, F.concat(F.lit("source rated "), text(base), F.lit("/5"))))
-    )
-    claim = F.lit(None).cast("string") if claim is None else claim
-    detail = F.coalesce(F.nullif(claim_reason, F.lit("")) if claim_reason is not None else F.lit(None).cast("string"), claim)
-    n = F.coalesce(corroboration, F.lit(0))
-    steps = [
-        ("first-party", owner.isNotNull() & (start < 5), 1, F.concat(F.lit("published on "), owner, F.lit("'s own domain"))),
-        ("hedged", hedge.isNotNull(), -1, F.concat(F.lit("unconfirmed phrasing (“"), hedge, F.lit("”)"))),
-        ("llm-unconfirmed", (claim == "unconfirmed") & hedge.isNull(), -1, detail),
-        ("llm-confirmed", (claim == "confirmed") & hedge.isNotNull(), 1, detail),
-        ("corroborated", n >= 2, 1, F.concat(text(n), F.lit(" independent sources carrying this"))),
-        ("no-provenance", (F.coalesce(author, F.lit("")) == "") & ~has_date, -1, F.lit("no byline and no publish date")),
-    ]
-    score, reasons = start, [first]
-    for rule, test, delta, why in steps:
-        test = F.coalesce(test, F.lit(False))
-        score = score + F.when(test, delta).otherwise(0)
-        reasons.append(F.when(test, reason(rule, F.lit(delta), why)))
-    clamped = F.greatest(F.lit(1), F.least(F.lit(5), score))
-    reasons.append(F.when(clamped != score, reason("clamped", clamped - score, F.concat(F.lit("clamped to "), text(clamped), F.lit("/5")))))
-    return F.struct(clamped.cast("int").alias("score"), F.array_compact(F.array(*reasons)).alias("reasons"), (clamped <= 2).alias("is_rumour"))
+    nothing = F.lit(None).cast("string")
+    claim = nothing if claim is None else claim
+    def _reason(rule: str, delta: Column, detail: Column) -> Column:
+        return F.struct(F.lit(rule).alias("rule"), delta.cast("int").alias("delta"), detail.alias("detail"))
+
+    def _scored(y: Column) -> Column:
+        zero = F.lit(0)
+        first = (
+            F.when(y["named"] & y["tier"].isNotNull(), _reason("publisher", zero, F.concat(y["publisher"], F.lit(" rated "), text(y["tier"]), F.lit("/5"))))
+            .when(y["named"], _reason("publisher-unknown", zero, F.concat(y["publisher"], F.lit(" not rated — defaulted to 3/5"))))
+            .otherwise(_reason("source", zero, F.concat(F.lit("source rated "), text(y["base"]), F.lit("/5"))))
+        )
+        steps = [
+            ("first-party", y["owner"].isNotNull() & (y["start"] < 5), 1, F.concat(F.lit("published on "), y["owner"], F.lit("'s own domain"))),
+            ("hedged", y["hedge"].isNotNull(), -1, F.concat(F.lit("unconfirmed phrasing (“"), y["hedge"], F.lit("”)"))),
+            ("llm-unconfirmed", (y["claim"] == "unconfirmed") & y["hedge"].isNull(), -1, y["detail"]),
+            ("llm-confirmed", (y["claim"] == "confirmed") & y["hedge"].isNotNull(), 1, y["detail"]),
+            ("corroborated", y["n"] >= 2, 1, F.concat(text(y["n"]), F.lit(" independent sources carrying this"))),
+            ("no-provenance", y["bare"], -1, F.lit("no byline and no publish date")),
+        ]
+        made = F.array_compact(F.array(first, *[F.when(F.coalesce(test, F.lit(False)), _reason(rule, F.lit(delta), why)) for rule, test, delta, why in steps]))
+        return let(_clamped, start=y["start"], reasons=made)
+
+    def _clamped(z: Column) -> Column:
+        total = z["start"] + F.aggregate(z["reasons"], F.lit(0), lambda t, r: t + r["delta"])
+        return let(_result, reasons=z["reasons"], total=total, clamped=F.greatest(F.lit(1), F.least(F.lit(5), total)))
+
+    def _result(w: Column) -> Column:
+        cut = F.when(w["clamped"] != w["total"], F.array(_reason("clamped", w["clamped"] - w["total"], F.concat(F.lit("clamped to "), text(w["clamped"]), F.lit("/5")))))
+        none = F.slice(w["reasons"], F.lit(1), F.lit(0))
+        return F.struct(w["clamped"].cast("int").alias("score"), F.concat(w["reasons"], F.coalesce(cut, none)).alias("reasons"), (w["clamped"] <= 2).alias("is_rumour"))
+
+    return let(
+        lambda x: let(
+            lambda y: _scored(y),
+            **{k: x[k] for k in ("publisher", "base", "tier", "owner", "hedge", "claim", "detail", "n", "bare")},
+            start=F.when(x["named"], F.coalesce(x["tier"], F.lit(3))).otherwise(x["base"]), named=x["named"],
+        ),
+        publisher=publisher, base=base, named=F.coalesce(publisher != "", F.lit(False)), tier=tier_for_domain(publisher), owner=first_party_org(url),
+        hedge=rumour_label(joined(title, summary)), claim=claim, detail=F.coalesce(F.nullif(claim_reason, F.lit("")) if claim_reason is not None else nothing, claim),
+        n=F.coalesce(corroboration, F.lit(0)), bare=(F.coalesce(author, F.lit("")) == "") & ~has_date,
+    )
 
 
 def score_impact(*, category: Column, credibility: Column, orgs: Column, corroboration: Column, points: Column, upvotes: Column, case_study: Column, primary: list[str] | None = None) -> Column:
@@ -185,16 +202,21 @@ def extract_models(text: Column) -> Column:
     labels, orgs = _map([(f, n) for f, _, n in rt.MODEL_FAMILIES]), _map([(f, o) for f, o, _ in rt.MODEL_FAMILIES])
 
     def made(m: Column) -> Column:
-        family, before, version, after = F.lower(part(m, 1)), part(m, 2), F.lower(part(m, 3)), part(m, 4)
+        return let(named, family=F.lower(part(m, 1)), before=part(m, 2), version=F.lower(part(m, 3)), after=part(m, 4))
+
+    def named(x: Column) -> Column:
+        family, before, version, after = (x[k] for k in ("family", "before", "version", "after"))
         shown = F.when(version.rlike("^[kv]"), F.concat(F.upper(F.substring(version, 1, 1)), F.substring(version, 2, 99))).otherwise(version)
         cap = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 99))
         slug = F.concat_ws("-", family, version, F.lower(F.coalesce(before, after)))
         return F.struct(slug.alias("slug"), F.concat_ws(" ", labels[family], cap(before), shown, cap(after)).alias("name"), family.alias("family"), orgs[family].alias("org"), version.alias("version"))
 
     every = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), made)
-    good = F.filter(every, lambda m: ~m["version"].rlike(r"^(19|20)\d{2}$") & ~F.when(m["version"].rlike(r"^\d+$"), m["version"].cast("double") > 10).otherwise(F.lit(False)))
-    first = F.array_distinct(F.transform(good, lambda m: m["slug"]))
-    return F.transform(first, lambda s: F.get(F.filter(good, lambda m: m["slug"] == s), F.lit(0)).dropFields("version"))
+    version = lambda m: m["version"]
+    good = F.filter(every, lambda m: ~version(m).rlike(r"^(19|20)\d{2}$") & ~F.when(version(m).rlike(r"^\d+$"), version(m).cast("double") > 10).otherwise(F.lit(False)))
+    first = lambda x: F.filter(x["good"], lambda m, i: F.array_position(x["slugs"], m["slug"]) == i + 1)
+    slugs = lambda x: let(first, good=x["good"], slugs=F.transform(x["good"], lambda m: m["slug"]))
+    return F.transform(let(slugs, good=good), lambda m: m.dropFields("version"))
 
 
 def derive_status(first_party: Column, credibility: Column, outlets: Column) -> Column:

@@ -9,6 +9,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.operators import search
+
 #: Categories of articles, in display order.
 CATEGORIES = ["model-launch", "model-leak", "tool-launch", "feature-launch", "research-paper", "benchmark", "infra-compute", "deal", "policy", "people", "other"]
 SORTS = ["newest", "credibility", "impact"]
@@ -64,6 +66,8 @@ class FeedFilters:
 def feed_where(f: FeedFilters) -> Column:
     """Over articles joined to their source (muted_at, slug): the conjunction of what the request asks for."""
     tests = [F.col("muted_at").isNull()]
+    if f.q:
+        tests.append(search.search_match(f.q, search.tokens(F.col("title")), search.tokens(F.col("summary"))))
     if f.categories:
         tests.append(F.col("category").isin(*f.categories))
     for name, wanted in (("org_slugs", f.orgs), ("tags", f.tags)):
@@ -84,17 +88,28 @@ def feed_where(f: FeedFilters) -> Column:
 
 
 def feed_order(f: FeedFilters) -> list[Column]:
+    if f.q:  # a text search is ordered by relevance, whatever else was asked for
+        return [F.desc("rank"), F.desc("published_at"), F.asc("id")]
     first = {"newest": [], "credibility": [F.desc("credibility")], "impact": [F.desc("impact")]}[f.sort]
     return [*first, F.desc("published_at"), F.asc("id")]
 
 
-def feed(articles: DataFrame, sources: DataFrame, reads: DataFrame, saved: DataFrame, user: int, f: FeedFilters, size: int = 60) -> DataFrame:
-    """One page, with the reader's marks and the total of rows before paging. Marks are cut to the reader before the joins."""
+def feed(articles: DataFrame, sources: DataFrame, reads: DataFrame, saved: DataFrame, user: int, f: FeedFilters, size: int = 60, stories: DataFrame | None = None, postings: DataFrame | None = None) -> DataFrame:
+    """One page, with the reader's marks and the total of rows before paging. Marks are cut to the reader before the joins.
+
+    stories: story_id, source_count; each row gets its story's count, or null. postings: the search index of the articles, for
+    a request with a text query; without it the matching rows are indexed for their rank.
+    """
     own = lambda df, mark: df.where(F.col("user_id") == user).select(F.col("article_id").alias("id"), F.lit(True).alias(mark))
     joined = articles.join(sources.select(F.col("id").alias("source_id"), "slug", F.col("name").alias("source_name"), "muted_at"), "source_id")
     found = joined.where(feed_where(f))
     marks = own(reads, "read")
     found = found.join(marks, "id", "left_anti").withColumn("read", F.lit(None).cast("boolean")) if f.unread else found.join(marks, "id", "left")
+    if f.q:
+        ranks = search.search_rank(search.index(found) if postings is None else postings, f.q)
+        found = found.join(ranks.select("id", F.col("score").alias("rank")), "id", "left").na.fill(0.0, ["rank"])
+    if stories is not None:
+        found = found.join(stories.select("story_id", "source_count"), "story_id", "left")
     total = found.agg(F.count("*").alias("total"))
     page = found.join(own(saved, "saved"), "id", "left").orderBy(*feed_order(f)).offset((f.page - 1) * size).limit(size)
     page = page.withColumns({"is_read": F.col("read").isNotNull(), "is_saved": F.col("saved").isNotNull()})

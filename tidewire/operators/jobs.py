@@ -132,6 +132,12 @@ def radar_board(models: DataFrame) -> DataFrame:
     return models.withColumn("status_rank", rank).orderBy(F.desc("status_rank"), F.desc("last_seen"), "slug")
 
 
+def with_lead(models: DataFrame, articles: DataFrame) -> DataFrame:
+    """The board's models with title and url of their lead article, or nulls."""
+    lead = articles.select(F.col("id").alias("lead_id"), F.col("title").alias("lead_title"), F.col("url").alias("lead_url"))
+    return models.join(lead, "lead_id", "left")
+
+
 def digest_render(brief: DataFrame, candidates: DataFrame) -> DataFrame:
     """brief: day, title, intro, items array(headline, body, article_ids). Markdown with links to cited candidates alone, and
     the distinct cited ids in order."""
@@ -152,13 +158,12 @@ def llm_apply(articles: DataFrame, results: DataFrame) -> DataFrame:
     """articles joined to normalised results (id, n): summary, category, tags and orgs are replaced, the row is rescored with
     the claim, impact is worked out without points and upvotes, and the row is stamped. Rows without a result stay as they are."""
     c = F.col
-    both = articles.join(results, "id")
+    both = articles.join(results, "id", "left")
+    given = c("n").isNotNull()
     summary = F.coalesce(F.nullif(c("n.summary"), F.lit("")), c("summary"))
     scored = R.score_credibility(title=c("title"), summary=summary, url=c("url"), base=c("base_credibility"), publisher=c("publisher_domain"), author=c("author"), has_date=F.lit(True), corroboration=c("corroboration_count"), claim=c("n.claim"), claim_reason=c("n.reason"))
-    out = both.select("id", summary.alias("summary"), c("n.category").alias("category"), c("n.tags").alias("tags"), c("n.orgs").alias("org_slugs"), scored.alias("s"), "title", "corroboration_count")
-    impact = R.score_impact(category=c("category"), credibility=c("s.score"), orgs=c("org_slugs"), corroboration=c("corroboration_count"), points=F.lit(0), upvotes=F.lit(0), case_study=R.is_case_study(c("title"), c("summary")))
-    return out.select("id", "summary", "category", "tags", "org_slugs", c("s.score").alias("credibility"), c("s.reasons").alias("reasons"), impact.alias("impact"), F.lit("llm").alias("enriched_by"))
-
-
-def latest_by(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    return rows.withColumn("_row", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_row = 1").drop("_row")
+    out = both.select(*articles.columns, "n", given.alias("_given"), summary.alias("_summary"), F.when(given, scored).alias("_s"))
+    impact = R.score_impact(category=c("n.category"), credibility=c("_s.score"), orgs=c("n.orgs"), corroboration=c("corroboration_count"), points=F.lit(0), upvotes=F.lit(0), case_study=R.is_case_study(c("title"), c("_summary")))
+    new = {"summary": c("_summary"), "category": c("n.category"), "tags": c("n.tags"), "org_slugs": c("n.orgs"), "credibility": c("_s.score"), "reasons": c("_s.reasons"), "impact": impact, "enriched_by": F.lit("llm")}
+    held = lambda k: c(k) if k in articles.columns else F.lit(None)
+    return out.select("id", *[F.when(c("_given"), v).otherwise(held(k)).alias(k) for k, v in new.items()])

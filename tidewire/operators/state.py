@@ -18,10 +18,10 @@ def insert_ignore(target: DataFrame, incoming: DataFrame, keys: list[str], order
 
 
 def upsert_latest(target: DataFrame, incoming: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """Insert or replace by key; the highest version wins. One aggregate with a partial step."""
+    """Insert or replace by key; the highest version wins, of equal ones the incoming row. One aggregate with a partial step."""
     rest = [c for c in target.columns if c not in keys]
     both = target.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
-    best = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("_new", version)).alias("v"))
+    best = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(version, "_new")).alias("v"))
     return best.select(*keys, *[F.col("v")[c].alias(c) for c in rest]).select(target.columns)
 
 
@@ -86,3 +86,37 @@ def anti_already_seen(items: DataFrame, articles: DataFrame, duplicates: DataFra
     new = items.join(articles.select("canonical_url"), "canonical_url", "left_anti").join(duplicates.select("url"), "url", "left_anti")
     first = F.row_number().over(Window.partitionBy("canonical_url").orderBy("position"))
     return new.withColumn("_row", first).where("_row = 1").drop("_row")
+
+
+def mark_all_read(reads: DataFrame, articles: DataFrame, user: int, at: str) -> DataFrame:
+    """Every article read by the user: those without a mark get one at the given time."""
+    every = articles.select(F.lit(user).cast(reads.schema["user_id"].dataType).alias("user_id"), F.col("id").alias("article_id"), F.lit(at).cast("timestamp").alias("read_at"))
+    return insert_ignore(reads, every, ["user_id", "article_id"], [F.asc("read_at")])
+
+
+def rebuild_since(derived: DataFrame, rebuilt: DataFrame, last_updated: str, since: str) -> DataFrame:
+    """A derived table after its window was rebuilt: rows last updated before the window stay, the others are replaced."""
+    return derived.where(F.col(last_updated) < F.lit(since).cast("timestamp")).unionByName(rebuilt)
+
+
+def json_merge(meta: Column, key: str, value: str) -> Column:
+    """A JSON object of texts with one key set."""
+    held = F.coalesce(F.from_json(meta, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return F.to_json(F.map_concat(F.map_filter(held, lambda k, v: k != key), F.create_map(F.lit(key), F.lit(value))))
+
+
+REASONS = "array<struct<rule: string, delta: int, detail: string>>"
+
+
+def reasons_to_json(reasons: Column) -> Column:
+    return F.to_json(reasons)
+
+
+def reasons_from_json(stored: Column) -> Column:
+    return F.from_json(stored, REASONS)
+
+
+def cycle_summary(runs: DataFrame) -> DataFrame:
+    """One row for a polling cycle: sources polled, items inserted and duplicate, sources failed. runs: ok, items_new, items_duplicate."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return runs.agg(F.count("*").alias("polled"), total("items_new").alias("inserted"), total("items_duplicate").alias("duplicates"), F.count_if(~F.col("ok")).alias("failed"))

@@ -202,7 +202,7 @@ def match_orgs(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "articles").select("id", F.array_join(R.match_orgs(R.joined(F.col("title"), F.col("summary")), F.col("url"), ORGS), ",").alias("orgs"))
 
 
-TIERS = {2: ["pub1.example.com", "pub3.example.com"], 4: ["pub5.example.com", "pub7.example.com"]}
+TIERS = {"pub1.example.com": 2, "pub3.example.com": 2, "pub5.example.com": 4, "pub7.example.com": 4}
 TIER = "CASE WHEN publisher_domain IN ('pub1.example.com', 'pub3.example.com') THEN 2 WHEN publisher_domain IN ('pub5.example.com', 'pub7.example.com') THEN 4 WHEN publisher_domain IS NOT NULL THEN 5 END"
 
 
@@ -223,14 +223,15 @@ def domain_suffix_join(spark: SparkSession, d: str) -> DataFrame:
 SCORE = "(CASE WHEN publisher_domain IS NOT NULL THEN 3 ELSE base_credibility END)"
 
 
-@query("score_credibility", ctes("articles", "sources") + f""", s AS (SELECT a.id, {SCORE} AS start, CASE WHEN {sql_any(JOINED, [p for _, p in R.rt.RUMOUR_PATTERNS])} THEN 1 ELSE 0 END AS hedge, a.corroboration_count >= 2 AS many, a.author IS NULL AND a.id % 2 = 0 AS bare FROM articles a JOIN sources s ON s.id = a.source_id),
+@query("score_credibility", ctes("articles", "sources") + f""", s AS (SELECT a.id, {SCORE} AS start, CASE WHEN {sql_any(JOINED, [p for _, p in R.rt.RUMOUR_PATTERNS])} THEN 1 ELSE 0 END AS hedge, a.corroboration_count >= 2 AS many, a.publisher_domain IS NOT NULL AS named, a.author IS NULL AND a.id % 2 = 0 AS bare FROM articles a JOIN sources s ON s.id = a.source_id),
 t AS (SELECT *, start - hedge + CASE WHEN many THEN 1 ELSE 0 END - CASE WHEN bare THEN 1 ELSE 0 END AS raw FROM s)
-SELECT id, CAST(greatest(1, least(5, raw)) AS INT) AS score, greatest(1, least(5, raw)) <= 2 AS is_rumour, CAST(1 + hedge + CASE WHEN many THEN 1 ELSE 0 END + CASE WHEN bare THEN 1 ELSE 0 END + CASE WHEN raw NOT BETWEEN 1 AND 5 THEN 1 ELSE 0 END AS INT) AS n_reasons FROM t""")
+SELECT id, CAST(greatest(1, least(5, raw)) AS INT) AS score, greatest(1, least(5, raw)) <= 2 AS is_rumour, concat_ws(',', CASE WHEN named THEN 'publisher-unknown:0' ELSE 'source:0' END, CASE WHEN hedge = 1 THEN 'hedged:-1' END, CASE WHEN many THEN 'corroborated:1' END, CASE WHEN bare THEN 'no-provenance:-1' END,
+  CASE WHEN raw NOT BETWEEN 1 AND 5 THEN concat('clamped:', CAST(CAST(greatest(1, least(5, raw)) - raw AS INT) AS VARCHAR)) END) AS reasons FROM t""")
 def score_credibility(spark: SparkSession, d: str) -> DataFrame:
     s = view(spark, d, "sources").select(F.col("id").alias("source_id"), "base_credibility")
     c = lambda n: F.col(n)
     scored = R.score_credibility(title=c("title"), summary=c("summary"), url=c("url"), base=c("base_credibility"), publisher=c("publisher_domain"), author=c("author"), has_date=c("id") % 2 == 1, corroboration=c("corroboration_count"))
-    return view(spark, d, "articles").join(s, "source_id").select("id", scored.alias("s")).select("id", "s.score", "s.is_rumour", F.size("s.reasons").alias("n_reasons"))
+    return view(spark, d, "articles").join(s, "source_id").select("id", scored.alias("s")).select("id", "s.score", "s.is_rumour", F.array_join(F.transform("s.reasons", lambda r: F.concat(r["rule"], F.lit(":"), r["delta"].cast("string"))), ",").alias("reasons"))
 
 
 WEIGHT = "CASE category " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in CATEGORY_WEIGHT.items()) + " END"
@@ -256,7 +257,7 @@ MENTIONS = """m AS (SELECT id, 'gpt-' || CAST(id % 13 AS VARCHAR) AS slug, 1 AS
 
 @query("extract_models", ctes("articles").rstrip() + ", " + MENTIONS + "SELECT id, string_agg(slug, ',' ORDER BY place) AS slugs FROM m GROUP BY 1")
 def extract_models(spark: SparkSession, d: str) -> DataFrame:
-    found = R.extract_models(F.substring(F.col("title"), 1, 62))
+    found = R.extract_models(R.joined(F.col("title"), F.col("summary")))
     return model_titles(spark, d).select("id", F.array_join(F.transform(found, lambda m: m["slug"]), ",").alias("slugs"))
 
 

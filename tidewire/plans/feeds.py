@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewire.operators import search as S
 from tidewire.operators.shared import new_folder, stage
 from tidewire.plans.registry import query
-from tidewire.plans.relational import text_times
+from tidewire.plans.relational import TOK, text_times
 from tidewire.sources import payloads as P
 from tidewire.sources.views import AS_OF, ctes, view
 from tidewire.streaming import jobs as J
@@ -116,7 +116,6 @@ def probe_feed(spark: SparkSession, d: str) -> DataFrame:
     return text_times(P.probe_feed(payloads(spark, d)).drop("sample_title"), "newest_at")
 
 
-TOK = "list_transform(list_filter(string_split_regex(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: CASE WHEN length(w) > 4 THEN regexp_replace(w, '(ingly|edly|ing|ed|ly|es|s)$', '') ELSE w END)"
 QUERY = 'the that -from "with the" OR der die -"und das"'
 
 
@@ -145,13 +144,13 @@ def stream_items(spark: SparkSession, d: str) -> DataFrame:
     return a.select("id", "title", F.concat(F.lit("https://c.example.com/"), F.expr("id div 2").cast("string")).alias("canonical_url"), C("published_at").cast("timestamp").alias("published_at"))
 
 
-@query("stream_url_dedup", ctes("articles") + "SELECT count(DISTINCT id // 2) AS urls FROM articles")
+@query("stream_url_dedup", ctes("articles") + "SELECT DISTINCT concat('https://c.example.com/', id // 2) AS canonical_url FROM articles")
 def stream_url_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Both halves of a pair carry one URL; the horizon here is wider than the month, so one of each stays."""
     items = stream_items(spark, d)
     source, out, check = chunks(items, "published_at"), new_folder(spark, "stream-out"), new_folder(spark, "stream-check")
     J.stream_url_dedup(J.read_files(spark, source, items.schema), out, check, "60 days")
-    return spark.read.parquet(out).agg(F.countDistinct("canonical_url").alias("urls"))
+    return spark.read.parquet(out).select("canonical_url")
 
 
 @query("stream_ingest", ctes("articles") + "SELECT DISTINCT concat('https://c.example.com/', id // 2) AS canonical_url FROM articles")

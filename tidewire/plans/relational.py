@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.operators import feed as fd
 from tidewire.operators import state as st
+from tidewire.operators.stories import outlet
 from tidewire.plans.registry import query
 from tidewire.sources.views import AS_OF, ctes, view
 
@@ -169,6 +170,58 @@ def feed(spark: SparkSession, d: str) -> DataFrame:
     return text_times(out.select("id", "title", "source_name", "credibility", "impact", "published_at", "is_read", "is_saved", "total"), "published_at")
 
 
+#: The stemmed words of a text.
+TOK = "list_transform(list_filter(string_split_regex(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: CASE WHEN length(w) > 4 THEN regexp_replace(w, '(ingly|edly|ing|ed|ly|es|s)$', '') ELSE w END)"
+FOUND = ", tk AS (SELECT *, " + TOK.format(c="title") + " AS ta, " + TOK.format(c="summary") + """ AS tb FROM articles), found AS (SELECT a.*, s.name AS source_name FROM tk a JOIN sources s ON s.id = a.source_id
+WHERE s.muted_at IS NULL AND a.credibility >= 2 AND (list_contains(ta || tb, 'with') AND list_contains(ta || tb, 'anan'))),
+p AS (SELECT id, token, sum(w) AS tf FROM (SELECT id, unnest(ta) AS token, 1.0::DOUBLE AS w FROM found UNION ALL SELECT id, unnest(tb), 0.4::DOUBLE FROM found) GROUP BY 1, 2),
+l AS (SELECT id, sum(tf) AS len FROM p GROUP BY 1), g AS (SELECT count(*) AS n, avg(len) AS avg_len FROM l), o AS (SELECT * FROM p WHERE token IN ('anan', 'with')), fr AS (SELECT token, count(*) AS df FROM o GROUP BY 1),
+r AS (SELECT o.id, sum(ln(1 + (g.n - fr.df + 0.5) / (fr.df + 0.5)) * o.tf * 2.2 / (o.tf + 1.2 * (0.25 + 0.75 * l.len / g.avg_len))) AS rank FROM o JOIN fr USING (token) JOIN l USING (id), g GROUP BY 1)
+SELECT id, round(rank, 6) AS rank, (SELECT count(DISTINCT coalesce(x.publisher_domain, CAST(x.source_id AS VARCHAR))) FROM articles x WHERE x.story_id = found.story_id) AS story_sources, (SELECT count(*) FROM found) AS total FROM found JOIN r USING (id)"""
+
+
+@query("feed_search", ctes("articles", "sources").rstrip() + FOUND)
+def feed_search(spark: SparkSession, d: str) -> DataFrame:
+    """A text request: every page's rows by relevance, with the number of outlets of their story."""
+    a = view(spark, d, "articles")
+    stories = a.where("story_id IS NOT NULL").groupBy("story_id").agg(F.countDistinct(outlet()).alias("source_count"))
+    f = fd.FeedFilters.from_params({"q": "with anan", "cred": "2"})
+    out = fd.feed(a, view(spark, d, "sources"), view(spark, d, "article_reads"), view(spark, d, "saved_articles"), 7, f, size=2_000_000_000, stories=stories)
+    return out.select("id", F.round("rank", 6).alias("rank"), F.coalesce("source_count", F.lit(0)).alias("story_sources"), "total")
+
+
+@query("mark_all_read", ctes("articles", "article_reads") + "SELECT user_id, article_id, CAST(read_at AS VARCHAR) AS read_at FROM article_reads UNION ALL SELECT 7, id, '2024-01-31 00:00:00' FROM articles WHERE id NOT IN (SELECT article_id FROM article_reads WHERE user_id = 7)")
+def mark_all_read(spark: SparkSession, d: str) -> DataFrame:
+    reads = view(spark, d, "article_reads").withColumn("read_at", F.col("read_at").cast("timestamp"))
+    return text_times(st.mark_all_read(reads, view(spark, d, "articles"), 7, AS_OF), "read_at")
+
+
+@query("cycle_summary", ctes("ingest_runs") + "SELECT count(*) AS polled, CAST(sum(items_new) AS BIGINT) AS inserted, CAST(sum(items_new % 3) AS BIGINT) AS duplicates, count(*) FILTER (WHERE NOT ok) AS failed FROM ingest_runs")
+def cycle_summary(spark: SparkSession, d: str) -> DataFrame:
+    return st.cycle_summary(view(spark, d, "ingest_runs").withColumn("items_duplicate", F.col("items_new") % 3))
+
+
+@query("json_merge", ctes("sources") + "SELECT slug, '{\"managedBy\":\"user\"}' AS meta FROM sources")
+def json_merge(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "sources").select("slug", st.json_merge(F.col("meta"), "managedBy", "user").alias("meta"))
+
+
+@query("reasons_json", ctes("articles") + "SELECT id, 'source' AS rule, credibility AS delta, title AS detail FROM articles")
+def reasons_json(spark: SparkSession, d: str) -> DataFrame:
+    """What is stored as text comes back as it was."""
+    made = F.array(F.struct(F.lit("source").alias("rule"), F.col("credibility").alias("delta"), F.col("title").alias("detail")))
+    back = view(spark, d, "articles").select("id", st.reasons_from_json(st.reasons_to_json(made)).alias("r"))
+    return back.select("id", F.explode("r").alias("r")).select("id", "r.rule", "r.delta", "r.detail")
+
+
+@query("rebuild_overwrite", ctes("articles") + "SELECT story_id, CAST(last_updated AS VARCHAR) AS last_updated, CASE WHEN last_updated < TIMESTAMP '2024-01-24 00:00:00' THEN 'old' ELSE 'new' END AS made FROM (SELECT story_id, max(published_at) AS last_updated FROM articles WHERE story_id IS NOT NULL GROUP BY 1)")
+def rebuild_overwrite(spark: SparkSession, d: str) -> DataFrame:
+    stories = view(spark, d, "articles").where("story_id IS NOT NULL").groupBy("story_id").agg(F.max("published_at").cast("timestamp").alias("last_updated"))
+    since = "2024-01-24 00:00:00"
+    rebuilt = stories.where(F.col("last_updated") >= F.lit(since).cast("timestamp")).withColumn("made", F.lit("new"))
+    return text_times(st.rebuild_since(stories.withColumn("made", F.lit("old")), rebuilt, "last_updated", since), "last_updated")
+
+
 @query("top_stories", ctes("articles") + "SELECT story_id, count(DISTINCT coalesce(publisher_domain, CAST(source_id AS VARCHAR))) AS source_count, CAST(max(published_at) AS VARCHAR) AS last_updated FROM articles WHERE story_id IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 10")
 def top_stories(spark: SparkSession, d: str) -> DataFrame:
     a = view(spark, d, "articles").where("story_id IS NOT NULL")
@@ -224,8 +277,8 @@ def insert_ignore(spark: SparkSession, d: str) -> DataFrame:
 @query("upsert_latest", ctes("reader_state") + "SELECT user_id, CAST(CASE WHEN user_id % 2 = 0 THEN last_seen_at + INTERVAL 1 DAY ELSE last_seen_at END AS VARCHAR) AS last_seen_at FROM reader_state")
 def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     state = view(spark, d, "reader_state")
-    moved = state.where("user_id % 2 = 0").withColumn("last_seen_at", F.col("last_seen_at") + F.expr("INTERVAL 1 DAY"))
-    return text_times(st.upsert_latest(state.where("user_id % 4 <> 0"), moved, ["user_id"], "last_seen_at"), "last_seen_at")
+    moved = st.where("user_id % 2 = 0").withColumn("last_seen_at", F.col("last_seen_at") + F.expr("INTERVAL 1 DAY"))
+    return text_times(st.upsert_latest(st.where("user_id % 4 <> 0"), moved, ["user_id"], "last_seen_at"), "last_seen_at")
 
 
 @query("upsert_protected", ctes("sources") + """SELECT slug, CASE WHEN id % 6 = 0 AND id % 4 <> 3 OR id % 5 = 4 THEN name ELSE concat(name, ' (new)') END AS name, concat('https://', slug, CASE WHEN id % 6 = 0 AND id % 4 <> 3 OR id % 5 = 4 THEN '/old' ELSE '/new' END) AS feed_url,

@@ -130,7 +130,7 @@ def rescore(spark: SparkSession, d: str) -> DataFrame:
 
 def radar_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     s = view(spark, d, "sources").select(C("id").alias("source_id"), "kind")
-    a = model_titles(spark, d).withColumn("title", F.substring("title", 1, 62)).withColumn("summary", F.lit("")).join(s, "source_id")
+    a = model_titles(spark, d).join(s, "source_id")
     return J.radar(a, AS_OF)
 
 
@@ -155,9 +155,10 @@ def top_models(spark: SparkSession, d: str) -> DataFrame:
     return radar_tables(spark, d)[0].orderBy(F.desc("mention_count"), "slug").limit(12).select("slug", "mention_count")
 
 
-@query("radar_board", RADAR + "SELECT slug, status, list_position(['rumoured', 'reported', 'confirmed', 'released'], status) AS status_rank, CAST(last_seen AS VARCHAR) AS last_seen FROM s2")
+@query("radar_board", RADAR + "SELECT slug, status, list_position(['rumoured', 'reported', 'confirmed', 'released'], status) AS status_rank, CAST(last_seen AS VARCHAR) AS last_seen, (SELECT url FROM articles a WHERE a.id = s2.lead_id) AS lead_url FROM s2")
 def radar_board(spark: SparkSession, d: str) -> DataFrame:
-    return text_times(J.radar_board(radar_tables(spark, d)[0]).select("slug", "status", "status_rank", "last_seen"), "last_seen")
+    board = J.with_lead(J.radar_board(radar_tables(spark, d)[0]), view(spark, d, "articles"))
+    return text_times(board.select("slug", "status", "status_rank", "last_seen", "lead_url"), "last_seen")
 
 
 @query("model_timeline", ctes("articles", "sources", "article_reads").rstrip() + ", " + MENTIONS + "SELECT a.id, CAST(a.published_at AS VARCHAR) AS published_at, s.name AS source_name, a.id IN (SELECT article_id FROM article_reads WHERE user_id = 7) AS is_read FROM m JOIN articles a USING (id) JOIN sources s ON s.id = a.source_id WHERE m.slug = 'claude-4.3-opus'")
@@ -238,11 +239,17 @@ def llm_enrich_apply(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "category", "credibility", "impact", "enriched_by", F.length("summary").alias("n_summary"))
 
 
-@query("brief_writer")
+WRITTEN = """ SELECT '2024-01-19' AS day, 'The day' AS title, concat('Intro.', chr(10), chr(10), string_agg(concat('### ', title, chr(10), chr(10), 'Body.', chr(10), chr(10), '- [', title, '](', url, ') — ', source_name), chr(10) ORDER BY impact DESC, credibility DESC, id)) AS body_markdown, string_agg(id, ',' ORDER BY impact DESC, credibility DESC, id) AS article_ids FROM candidates HAVING count(*) > 0"""
+
+
+@query("brief_writer", ctes("articles", "sources").rstrip() + ", " + CANDIDATES + WRITTEN)
 def brief_writer(spark: SparkSession, d: str) -> DataFrame:
-    """The whole day's run through a writer; the default one is the brief without a model."""
+    """The day's brief by a writer that gives each candidate an item of its own."""
+    def writer(given: list[dict]) -> dict:
+        return {"title": "The day", "intro": "Intro.", "items": [{"headline": x["title"], "body": "Body.", "article_ids": [x["id"], -1]} for x in given]}
+
     c = fd.digest_candidates(view(spark, d, "articles"), view(spark, d, "sources"), DAY_END)
-    return fd.digest_fallback(c).select("title", "article_ids")
+    return M.brief_writer(c, "2024-01-19", writer).select("day", "title", "body_markdown", F.array_join("article_ids", ",").alias("article_ids"))
 
 
 @query("ingest_batch")
