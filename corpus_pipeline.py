@@ -42,19 +42,25 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return staged(docs.withColumn(own, F.monotonically_increasing_id()), "pipeline-rows"), own
 
 
+def without(rows: DataFrame, gone: DataFrame, own: str, block: int = 2_000_000) -> DataFrame:
+    """The rows but those whose numbers are in ``gone``: up to ``block`` numbers go to the rows, so that no text is shuffled."""
+    gone = staged(gone, "pipeline-gone")
+    return rows.join(F.broadcast(gone) if gone.count() <= block else gone, own, "left_anti")
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, own = numbered(docs)
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("hash"), F.col(own).alias("row"))
     groups = simhash.similar_groups(rows, row=own, shingle=5, similarity=0.8)
     least = groups.join(rows.select(own, rank.alias("rank")), own).groupBy("group").agg(F.min("rank").alias("rank"))
-    stay = least.select(F.col("rank.row").alias(own))
-    return rows.join(stay, own, "left_semi").select(*docs.columns)
+    gone = groups.select(own).join(least.select(F.col("rank.row").alias(own)), own, "left_anti")
+    return without(rows, gone, own).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, own = numbered(docs)
     found = decontamination.contamination(rows, table(spark, sf_dir, "benchmark"), key=own, row=own)
-    return rows.join(found.where("n_hit > 0").select(own), own, "left_anti").select(*docs.columns)
+    return without(rows, found.where("n_hit > 0").select(own), own).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
