@@ -15,8 +15,8 @@ other, so each is linked to the smallest, which loses no link between components
 ``similar_groups`` is the same index for another similarity: texts whose sets of ``shingle``-word shingles have a Jaccard
 similarity of at least ``similarity``. The fingerprint has ``segments * width`` bits, each text is indexed under the one-wildcard
 variants of every segment, and candidates are verified twice: by the bits that differ in all and by the exact similarity of the
-shingle sets. Two texts of similarity 0.8 differ in a bit with probability 0.152, so a segment of 24 bits differs in at most one
-bit with probability 0.106, and of 20 segments at least one does with 0.89 (0.97 at 0.85, 0.998 at 0.9); a text of a larger group
+shingle sets. Two texts of similarity 0.8 differ in a bit with probability 0.152, so a segment of 25 bits differs in at most one
+bit with probability 0.093, and of 22 segments at least one does with 0.88 (0.97 at 0.85, 0.998 at 0.9); a text of a larger group
 has that chance with each of its near copies. Chance meetings stay rare while the number of distinct texts is below ``2 ** width``;
 for more, raise both parameters. Members of keys with more than ``large`` texts (families of near copies) form bundles. Within a
 bundle nothing is paired by rows: its texts are dealt to blocks, each pair of blocks is one task of bounded size that compares
@@ -242,7 +242,7 @@ def block_links(similarity: float):
     return links_of
 
 
-def similar_groups(rows: DataFrame, *, row: str = "row", text: str = "text", shingle: int = 5, similarity: float = 0.8, segments: int = 20, width: int = 24, large: int = 16, block: int = 256, block_shingles: int = 400_000) -> DataFrame:
+def similar_groups(rows: DataFrame, *, row: str = "row", text: str = "text", shingle: int = 5, similarity: float = 0.8, segments: int = 22, width: int = 25, large: int = 16, block: int = 256, block_shingles: int = 400_000) -> DataFrame:
     """(row, group) for each row of a written table that numbers its rows in ``row``: the smallest number of its group.
 
     Texts with equal shingle sets are one class. A null or empty text has the empty set; all of these are one group.
