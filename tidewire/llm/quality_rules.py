@@ -85,24 +85,24 @@ def repeated_words(words: list[bytes], size: int = 8) -> int:
     return int(np.count_nonzero(np.cumsum(edge)[:-1]))
 
 
-def line_fails(line: str, words: list[bytes]) -> bool:
-    n = len(words)
-    if 5 * sum(w in _SEPARATORS for w in words) >= n:
+def line_fails(line: str, words: list[bytes], phrases: list[bytes] | None = None) -> bool:
+    """phrases: those of the stock phrases that the text has at all; None: not looked up yet."""
+    n, raw = len(words), line.encode()
+    if 5 * sum(map(_SEPARATORS.__contains__, words)) >= n:
         return True
-    if 2 * sum(b"://" in w or w.startswith(b"www.") for w in words) >= n:
+    if (b"://" in raw or b"www." in raw) and 2 * sum(b"://" in w or w.startswith(b"www.") for w in words) >= n:
         return True
     if 2 * len(SYMBOLS.findall(line)) > n:
         return True
-    if not any(w.endswith(_CLOSING) for w in words[-2:]):
+    if not (words[-1].endswith(_CLOSING) or n > 1 and words[-2].endswith(_CLOSING)):
         return True
-    if n >= 4 and 3 * len(_CAPITALS.findall(line)) > 2 * n:
-        return True
-    raw = line.encode()
     upper = len(raw) - len(raw.translate(None, _UPPER))
+    if n >= 4 and 3 * (upper + raw.count(b"\xc3")) > 2 * n and 3 * len(_CAPITALS.findall(line)) > 2 * n:
+        return True
     if upper >= 4 and upper > len(raw) - len(raw.translate(None, _LOWER)):
         return True
     low = raw.lower()
-    return any(p in low for p in _PHRASES)
+    return any(p in low for p in (_PHRASES if phrases is None else phrases))
 
 
 _SEPARATORS = {s.encode() for s in SEPARATORS}
@@ -117,6 +117,8 @@ def judge(text: str | None, max_lost: int) -> tuple:
         return 0, 0, 0, 0, 0, True, False, 0, 0, 0, None
     lines, seen, kept = text.split("\n"), set(), []
     words: list[bytes] = []
+    low = text.encode().lower()
+    phrases = [p for p in _PHRASES if p in low]
     chars = dups = n_lines = failed = lost = 0
     for line in lines:
         own = line.encode().split()
@@ -127,7 +129,7 @@ def judge(text: str | None, max_lost: int) -> tuple:
             words += own
             dups += line in seen
             seen.add(line)
-            if line_fails(line, own):
+            if line_fails(line, own, phrases):
                 failed += 1
                 lost += own_chars
                 continue
