@@ -24,8 +24,12 @@ atexit.register(_remove_made)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of this run in ``spark.checkpoint.dir`` (a temporary one where that is unset); it goes when the driver ends."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stage-", dir="/tmp")
+    """A folder of this run in ``spark.checkpoint.dir`` (a temporary one in a local session without it); it goes when the driver ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-stage-", dir="/tmp")
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _made.append((spark, path))
     return path
