@@ -1,5 +1,7 @@
 """Similarity joins and ordered passes against plain loops."""
 
+import datetime
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -10,51 +12,120 @@ from tidewire.operators.state import upsert_latest
 from tidewire.functions import text as X
 from tidewire.operators import jobs as J
 from tidewire.operators import similarity as S
+from tidewire.plans import catalog
 from tidewire.plans.stories import with_vectors
 from tidewire.sources.views import view
 
 
-def articles(spark, sf):
-    a = with_vectors(spark, sf).select("id", "title", "v", "model", "published_at", "source_id", "publisher_domain", X.title_tokens(F.col("title")).alias("tokens"))
-    return a.orderBy("published_at", "id").collect()
+def by_time(rows):
+    cols = ["id", "title", "v", "model", "published_at", "source_id", "publisher_domain", X.title_tokens(F.col("title")).alias("tokens")]
+    return rows.select(*cols).orderBy("published_at", "id").collect()
 
 
-def similarity(a, b, vector):
-    if a.v is not None and b.v is not None:
-        x, y = np.array(a.v, float), np.array(b.v, float)
-        return x @ y / np.linalg.norm(x) / np.linalg.norm(y), vector
-    s, t = set(a.tokens), set(b.tokens)
-    return (len(s & t) / len(s | t) if s and t else 0.0), None
+def by_titles(a, b):
+    s, t = set(a.tokens or []), set(b.tokens or [])
+    return len(s & t) / len(s | t) if s and t else 0.0
 
 
-def test_first_fit_equals_loop(spark, sf):
-    groups: list[list] = []
-    for r in articles(spark, sf):
-        for g in groups:
-            if any(s >= (v or J.STORY_TITLE) - 1e-12 for s, v in (similarity(m, r, 0.35) for m in g)):
-                g.append(r)
-                break
-        else:
-            groups.append([r])
-    want = {r.id: (g[0].id if len(g) > 1 else None) for g in groups for r in g}
-    got = {r.id: r.story for r in J.cluster_stories(with_vectors(spark, sf), vector_threshold=0.35).collect()}
-    assert got == want and any(want.values())
+def by_vectors(a, b):
+    x, y = np.array(a.v, float), np.array(b.v, float)
+    return x @ y / max(np.linalg.norm(x), 1e-300) / max(np.linalg.norm(y), 1e-300) if a.model is not None and a.model == b.model else 0.0
 
 
-def test_leader_equals_loop(spark, sf):
-    leaders, want = [], {}
-    for n, r in enumerate(articles(spark, sf)):
-        near = [(s, k, m) for k, m in leaders for s, v in [similarity(m, r, 0.35)] if s >= (v or J.DUPLICATE_TITLE) - 1e-12]
+def first_fit(rows):
+    def match(a, b):
+        return by_vectors(a, b) >= 0.35 - 1e-12 if a.v is not None and b.v is not None else by_titles(a, b) >= J.STORY_TITLE - 1e-12
+
+    groups: list[list] = []
+    for r in rows:
+        g = next((g for g in groups if any(match(m, r) for m in g)), None)
+        groups.append([r]) if g is None else g.append(r)
+    return {r.id: (g[0].id if len(g) > 1 else None) for g in groups for r in g}
+
+
+def leaders(rows, hours=None):
+    made, want = [], {}
+    for n, r in enumerate(rows):
+        recent = [(k, m) for k, m in made if hours is None or r.published_at - m.published_at <= datetime.timedelta(hours=hours)]
+        if r.v is not None:
+            near = [(round(by_vectors(m, r), 12), k, m) for k, m in recent if m.v is not None and by_vectors(m, r) >= 0.35 - 1e-12]
+        else:
+            near = [(by_titles(m, r), k, m) for k, m in recent if by_titles(m, r) >= J.DUPLICATE_TITLE - 1e-12]
         if not near:
-            leaders.append((n, r))
+            made.append((n, r))
             want[r.id] = (r.id, "inserted")
             continue
         m = max(near, key=lambda x: x[:2])[2]
         both, neither = r.publisher_domain and m.publisher_domain, not r.publisher_domain and not m.publisher_domain
         same = r.publisher_domain == m.publisher_domain if both else r.source_id == m.source_id if neither else False
         want[r.id] = (m.id, "skipped" if same else "duplicate")
-    got = {r.id: (r.leader, r.status) for r in J.dedup_leader(with_vectors(spark, sf), vector_threshold=0.35).collect()}
-    assert got == want
+    return want
+
+
+def got_leaders(rows, **more):
+    return {r.id: (r.leader, r.status) for r in J.dedup_leader(rows, vector_threshold=0.35, **more).collect()}
+
+
+def test_first_fit_equals_loop(spark, sf):
+    want = first_fit(by_time(with_vectors(spark, sf)))
+    got = {r.id: r.story for r in J.cluster_stories(with_vectors(spark, sf), vector_threshold=0.35).collect()}
+    assert got == want and any(want.values())
+    recent = with_vectors(spark, sf).where("published_at >= TIMESTAMP '2024-01-24 00:00:00'")
+    assert {r.id: r.story for r in catalog.queries()["cluster_stories"](spark, sf).collect()} == first_fit(by_time(recent))
+
+
+def test_leader_equals_loop(spark, sf):
+    rows = with_vectors(spark, sf)
+    assert {r.id: (r.leader, r.status) for r in catalog.queries()["dedup_leader"](spark, sf).collect()} == leaders(by_time(rows), 72)
+    assert got_leaders(rows, hours=None) == leaders(by_time(rows))
+
+
+def mixed(spark, seed, n=160):
+    """Rows with repeated titles and vectors, some without, some of a null or another model, of zero length or without words."""
+    rng = np.random.default_rng(seed)
+    titles = ["alpha bravo charlie delta", "alpha bravo charlie echo", "kilo lima mike november oscar", "kilo lima mike november papa", "", None, "the of"]
+    vectors = [None, [1.0, 0.0, 0.0], [0.9, 0.1, 0.0], [0.0, 1.0, 0.0], [0.0, 0.7, 0.7], [0.0, 0.0, 0.0]]
+    start = datetime.datetime(2024, 1, 1)
+    pick = lambda xs: xs[rng.integers(len(xs))]
+    rows = [
+        (k, pick(titles), pick(vectors), pick(["m", "m", "n", None]), start + datetime.timedelta(hours=int(rng.integers(0, 600))), int(rng.integers(3)), pick([None, "p", "q"]))
+        for k in range(n)
+    ]
+    shape = "id long, title string, v array<float>, model string, published_at timestamp, source_id long, publisher_domain string"
+    return spark.createDataFrame(rows, shape)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_passes_equal_loops_on_copies_and_gaps(spark, seed):
+    rows = mixed(spark, seed)
+    in_time = by_time(rows)
+    assert got_leaders(rows) == leaders(in_time, 72)
+    assert {r.id: r.story for r in J.cluster_stories(rows, vector_threshold=0.35).collect()} == first_fit(in_time)
+
+
+def test_look_back_ends_after_its_hours(spark):
+    at = [0, 72, 73, 100, 300]
+    rows = [(k, "alpha bravo charlie", None, None, datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h), k, None) for k, h in enumerate(at)]
+    df = spark.createDataFrame(rows, "id long, title string, v array<float>, model string, published_at timestamp, source_id long, publisher_domain string")
+    assert {k: v[0] for k, v in got_leaders(df).items()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4}
+    assert {k: v[0] for k, v in got_leaders(df, hours=None).items()} == dict.fromkeys(range(5), 0)
+    assert J.dedup_leader(df.limit(0)).count() == 0 and J.cluster_stories(df.limit(0)).count() == 0
+
+
+def test_a_title_repeated_often_makes_no_pairs(spark):
+    df = spark.range(60_000).select("id", F.lit("alpha bravo charlie").alias("title"), F.lit(None).cast("array<float>").alias("v"), F.lit(None).cast("string").alias("model"))
+    df = df.withColumns({"published_at": F.timestamp_seconds("id"), "source_id": F.col("id"), "publisher_domain": F.lit(None).cast("string")})
+    rows, edges = J.linked_classes(df, 0.6, 0.88, 72 * 3_600_000_000, True)
+    assert edges.count() == 1 and J.dedup_leader(df).where("leader = 0").count() == 60_000
+
+
+def test_spans_keep_the_pairs_of_adjoining_spans(spark):
+    rng = np.random.default_rng(7)
+    rows = [(k, [float(x) for x in rng.normal(size=4)], int(rng.integers(0, 5))) for k in range(120)]
+    df = spark.createDataFrame(rows, "id long, v array<float>, g int")
+    unit = {k: np.float32(v).astype(float) / np.linalg.norm(np.float32(v).astype(float)) for k, v, _ in rows}
+    want = {(a, b) for a, _, g in rows for b, _, h in rows if a < b and abs(g - h) <= 1 and unit[a] @ unit[b] >= 0.5}
+    assert {(r.a, r.b) for r in S.cosine_similarity_join(df, 0.5, block=7, span="g").collect()} == want and want
 
 
 def test_prefix_join_equals_brute_force(spark, sf):
@@ -109,7 +180,7 @@ def test_missing_vectors_and_other_models(spark):
     got = {r.id: r.story for r in J.cluster_stories(rows, vector_threshold=0.35).collect()}
     assert got == {1: 1, 3: 1, 5: None, 7: None, 9: 9, 10: 9, 11: 11, 13: 11, 15: None}
     led = {r.id: (r.leader, r.status) for r in J.dedup_leader(rows, vector_threshold=0.35).collect()}
-    assert led == {**{k: (k, "inserted") for k in (1, 5, 7, 9, 11, 15)}, 3: (1, "duplicate"), 10: (9, "duplicate"), 13: (11, "duplicate")}
+    assert led == {**{k: (k, "inserted") for k in (1, 5, 7, 9, 11, 15)}, 3: (1, "duplicate"), 10: (10, "inserted"), 13: (11, "duplicate")}
 
 
 def test_latest_version_wins_and_late_rows_lose(spark):

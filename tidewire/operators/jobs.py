@@ -14,6 +14,7 @@ from tidewire.operators.similarity import components, cosine_similarity_join, or
 SNIPPET = 400
 DUPLICATE_TITLE, STORY_TITLE = 0.6, 0.42
 DUPLICATE_VECTOR, STORY_VECTOR = 0.88, 0.82
+LOOK_BACK_HOURS, STORY_DAYS, MAX_AGE_DAYS = 72, 7, 14
 
 
 def enrich_items(items: DataFrame, rules=R.rt.CATEGORY_RULES, tags=R.rt.TAG_RULES, orgs=R.DEFAULT_ORGS) -> DataFrame:
@@ -33,19 +34,51 @@ def enrich_items(items: DataFrame, rules=R.rt.CATEGORY_RULES, tags=R.rt.TAG_RULE
     return out.withColumns({"credibility": c("scored.score"), "reasons": c("scored.reasons"), "is_rumour": c("scored.is_rumour"), "impact": impact}).drop("scored", "snippet")
 
 
-def similarity_edges(articles: DataFrame, title_threshold: float, vector_threshold: float) -> DataFrame:
-    """(a, b, similarity), a < b by id: by vectors where both have one (of one model), else by titles.
+def linked_classes(
+    articles: DataFrame, title_threshold: float, vector_threshold: float, look_back: int | None = None, by_item: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(rows: id, place, class; edges: item, lead, similarity), for ``ordered_pass``.
 
-    The ordered passes need every link of a row to those before it, so copies are not folded here; ``title_links`` does that
-    for grouping by components.
+    A class holds the rows of equal title tokens, vector and model (and, with a look-back in microseconds, of one span of that
+    length), so that copies make no pairs. Two classes are compared by vectors where both have one (of one model), else by
+    titles; ``by_item``: by vectors if the item has one and by titles if not, whatever the lead has.
     """
-    tokens = stage(articles.select("id", "title", "v", "model").withColumn("tokens", X.title_tokens(F.col("title"))))
-    by_title = title_similarity_join(tokens, title_threshold)
-    has = tokens.select("id", F.col("v").isNotNull().alias("has"), "model")
-    a, b = has.select(F.col("id").alias("a"), F.col("has").alias("ha")), has.select(F.col("id").alias("b"), F.col("has").alias("hb"))
-    by_title = by_title.join(a, "a").join(b, "b").where("NOT (ha AND hb)").select("a", "b", "similarity")
-    by_vector = cosine_similarity_join(tokens.where("v IS NOT NULL"), vector_threshold, "id", "v", "model")
-    return stage(by_title.unionByName(by_vector))
+    place = F.unix_micros(F.col("published_at").cast("timestamp"))
+    span = F.floor(place / F.lit(look_back)) if look_back else F.lit(0)
+    tokens = F.array_sort(X.title_tokens(F.coalesce("title", F.lit(""))))
+    model = F.when(F.col("v").isNotNull(), F.col("model"))
+    rows = stage(articles.select("id", place.alias("place"), span.cast("long").alias("span"), tokens.alias("tokens"), "v", model.alias("model")))
+    same = ["tokens", "v", "model", "span"]
+    classes = stage(rows.groupBy(*same).agg(F.min("id").alias("class")))
+    k = classes.select("class", *[F.col(c).alias(f"_{c}") for c in same])
+    members = stage(rows.join(k, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same]).select("id", "place", "class"))
+    when = "span" if look_back else None
+
+    titled = classes.where(F.size("tokens") > 0)
+    sets = stage(titled.groupBy("tokens", "span").agg(F.min("class").alias("set")))
+    alike = title_similarity_join(sets, title_threshold, "set", "tokens", when)
+    alike = alike.unionByName(sets.select(F.col("set").alias("a"), F.col("set").alias("b"), F.lit(1.0).alias("similarity")))
+    alike = alike.unionByName(alike.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    of_set = titled.join(sets, ["tokens", "span"]).select("set", "class", F.col("v").isNull().alias("bare"))
+    item, lead = of_set.where("bare").select(F.col("set").alias("a"), F.col("class").alias("item")), of_set.select(F.col("set").alias("b"), F.col("class").alias("lead"))
+    edges = alike.join(item, "a").join(lead, "b").select("item", "lead", "similarity")
+    back = lambda df: df.select(F.col("lead").alias("item"), F.col("item").alias("lead"), "similarity")
+    if not by_item:
+        edges = edges.unionByName(back(edges)).distinct()
+
+    there = classes.where("v IS NOT NULL AND model IS NOT NULL")
+    near = cosine_similarity_join(there, vector_threshold, "class", "v", "model", span=when)
+    near = near.select(F.col("a").alias("item"), F.col("b").alias("lead"), "similarity")
+    itself = there.where(F.exists("v", lambda x: x != 0)).select(F.col("class").alias("item"), F.col("class").alias("lead"), F.lit(1.0).alias("similarity"))
+    near = stage(near)
+    return members, stage(edges.unionByName(near).unionByName(back(near)).unionByName(itself))
+
+
+def class_components(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """(class, component) over the links between classes."""
+    pairs = edges.where("item <> lead").select(F.least("item", "lead").alias("a"), F.greatest("item", "lead").alias("b")).distinct()
+    nodes = members.select(F.col("class").alias("id")).distinct()
+    return stage(components(pairs, nodes, stage)).select(F.col("id").alias("class"), "component")
 
 
 def title_links(articles: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -57,28 +90,44 @@ def title_links(articles: DataFrame, threshold: float) -> tuple[DataFrame, DataF
     return member, title_similarity_join(classes, threshold)
 
 
-def dedup_leader(articles: DataFrame, title_threshold: float = DUPLICATE_TITLE, vector_threshold: float = DUPLICATE_VECTOR) -> DataFrame:
+def dedup_leader(
+    articles: DataFrame, title_threshold: float = DUPLICATE_TITLE, vector_threshold: float = DUPLICATE_VECTOR, hours: int | None = LOOK_BACK_HOURS
+) -> DataFrame:
     """articles: id, title, v, model, published_at, source_id, publisher_domain. (id, leader, status): inserted rows lead;
-    the others are duplicates of their best-matching leader, or skipped if it is of the same outlet."""
-    edges = similarity_edges(articles, title_threshold, vector_threshold)
-    rows = articles.select("id", F.unix_micros("published_at").alias("place"))
-    parts = stage(components(edges, rows, stage))
-    led = ordered_pass(rows, edges, parts, "leader").withColumnRenamed("group", "leader")
+    the others are duplicates of their best-matching leader of the last hours, or skipped if it is of the same outlet.
+
+    An item with a vector is compared by vectors alone, one without by titles. ``hours`` = None: no look-back, all of the past.
+    """
+    look_back = hours * 3_600_000_000 if hours else None
+    rows, edges = linked_classes(articles, title_threshold, vector_threshold, look_back, by_item=True)
+    led = ordered_pass(rows, edges, class_components(rows, edges), "leader", look_back).withColumnRenamed("group", "leader")
     a = articles.select("id", "source_id", "publisher_domain")
     b = articles.select(F.col("id").alias("leader"), F.col("source_id").alias("s"), F.col("publisher_domain").alias("p"))
     same = R.same_outlet(F.col("source_id"), F.col("publisher_domain"), F.col("s"), F.col("p"))
-    return led.join(a, "id").join(b, "leader").select("id", "leader", F.when(F.col("id") == F.col("leader"), "inserted").when(same, "skipped").otherwise("duplicate").alias("status"))
+    status = F.when(F.col("id") == F.col("leader"), "inserted").when(same, "skipped").otherwise("duplicate")
+    return led.join(a, "id").join(b, "leader").select("id", "leader", status.alias("status"))
 
 
-def cluster_stories(articles: DataFrame, title_threshold: float = STORY_TITLE, vector_threshold: float = STORY_VECTOR, mode: str = "first_fit") -> DataFrame:
+def cluster_stories(
+    articles: DataFrame, title_threshold: float = STORY_TITLE, vector_threshold: float = STORY_VECTOR, mode: str = "first_fit",
+    as_of: str | None = None, days: int = STORY_DAYS,
+) -> DataFrame:
     """(id, story): ordered first-fit grouping; story is the first member's id, and groups of one have none.
 
-    mode = "components" gives single-link groups, without the ordered pass, for components too large for one task.
+    With ``as_of`` only the articles of the days before it are grouped anew (older stories are settled) and returned; without,
+    all are. mode = "components" gives single-link groups, without the ordered pass, for components too large for one task.
     """
-    edges = similarity_edges(articles, title_threshold, vector_threshold)
-    rows = articles.select("id", F.unix_micros("published_at").alias("place"))
-    parts = stage(components(edges, rows, stage))
-    grouped = parts.select("id", F.col("component").alias("group")) if mode == "components" else ordered_pass(rows, edges, parts, "first_fit")
+    if as_of:
+        articles = articles.where(F.col("published_at") >= F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS"))
+    rows, edges = linked_classes(articles, title_threshold, vector_threshold)
+    parts = class_components(rows, edges)
+    if mode == "components":
+        alike = edges.where("item = lead").select(F.col("item").alias("class"), F.lit(True).alias("alike"))
+        linked = edges.where("item <> lead").select(F.col("item").alias("class"), F.lit(True).alias("linked")).distinct()
+        named = rows.join(parts, "class").join(alike, "class", "left").join(linked, "class", "left")
+        grouped = named.select("id", F.when(F.coalesce("alike", "linked"), F.col("component")).otherwise(F.col("id")).alias("group"))
+    else:
+        grouped = ordered_pass(rows, edges, parts, "first_fit")
     grouped = stage(grouped)
     sizes = grouped.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
     return grouped.join(sizes, "group", "left").select("id", F.when(F.col("n").isNotNull(), F.col("group")).alias("story"))

@@ -49,7 +49,7 @@ def dedup_leader(spark: SparkSession, d: str) -> DataFrame:
 
 @query("cluster_stories")
 def cluster_stories(spark: SparkSession, d: str) -> DataFrame:
-    return J.cluster_stories(with_vectors(spark, d), vector_threshold=0.35)
+    return J.cluster_stories(with_vectors(spark, d), vector_threshold=0.35, as_of=AS_OF)
 
 
 @query("story_components", ctes("articles").rstrip() + ", " + CLASSES + """, e AS (SELECT x.id AS a, y.id AS b FROM k x JOIN k y ON x.id <> y.id WHERE len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) >= 0.42)
