@@ -1,19 +1,21 @@
 """Similarity joins and ordered passes against plain loops."""
 
+import collections
 import datetime
 
 import numpy as np
 from pyspark.sql import functions as F
 
 import pytest
-from tidewire.functions.models import FatalModelError, brief_writer
+from tidewire.functions.models import FatalModelError, brief_writer, hashing_embedder
 from tidewire.operators.jobs import llm_apply
 from tidewire.operators.state import upsert_latest
 from tidewire.functions import text as X
+from tidewire.functions import web as W
 from tidewire.operators import jobs as J
 from tidewire.operators import similarity as S
 from tidewire.plans import catalog
-from tidewire.plans.stories import with_vectors
+from tidewire.plans.stories import cycle, with_vectors
 from tidewire.sources.views import view
 
 
@@ -213,3 +215,63 @@ def test_brief_falls_back_only_on_fatal_errors(spark):
     with pytest.raises(KeyError):
         brief_writer(c, "2024-01-19", broken)
     assert brief_writer(c.limit(0), "2024-01-19", broken).count() == 0
+
+
+def test_cycle_equals_loop(spark, sf):
+    """Statuses and the log by source against a loop over the new items in order of time."""
+    now = datetime.datetime(2024, 1, 31)
+    given, held, known = cycle(spark, sf)
+    inserted, again, log = J.ingest_batch(given, held, known, str(now), vector_threshold=0.6)
+    urls, folded = {r.canonical_url for r in held.collect()}, {r.url for r in known.collect()}
+    fresh = [r for r in given.withColumn("c", W.canonicalize_url(F.col("url"))).collect() if r.published_at >= now - datetime.timedelta(days=14)]
+    new = sorted((r for r in fresh if r.c not in urls and r.url not in folded), key=lambda r: (r.published_at, r.id))
+    text = {r.id: r.t for r in given.select("id", X.embedding_text(F.col("title"), F.col("content")).alias("t")).collect()}
+    unit = lambda t: np.float32(hashing_embedder([t])[0]).astype(float)
+    lead = [(r.published_at, np.float32(r.v).astype(float), r) for r in held.orderBy("published_at", "id").collect()]
+    assert all(text[r.id] for r in new) and len(new) > 3
+    want = {}
+    for r in new:
+        v = unit(text[r.id])
+        near = [(round(v @ w / np.linalg.norm(v) / np.linalg.norm(w), 9), n, m) for n, (at, w, m) in enumerate(lead) if at >= now - datetime.timedelta(hours=72)]
+        near = [x for x in near if x[0] >= 0.6]
+        m = max(near, key=lambda x: x[:2])[2] if near else None
+        if m is None:
+            lead.append((r.published_at, v, r))
+            want[r.id] = None
+        else:
+            same = r.publisher_domain == m.publisher_domain if r.publisher_domain and m.publisher_domain else not (r.publisher_domain or m.publisher_domain) and r.source_id == m.source_id
+            want[r.id] = "skipped" if same else m.id
+    assert {r.id for r in inserted.collect()} == {k for k, m in want.items() if m is None}
+    assert {r.id: r.article_id for r in again.collect()} == {k: m for k, m in want.items() if m not in (None, "skipped")}
+    got = {r.source_id: (r.items_seen, r.items_new, r.items_duplicate) for r in log.collect()}
+    of = {r.id: r.source_id for r in new}
+    count = lambda test: collections.Counter(of[k] for k, m in want.items() if test(m))
+    seen, fine, twice = collections.Counter(r.source_id for r in fresh), count(lambda m: m is None), count(lambda m: m not in (None, "skipped"))
+    assert got == {s: (n, fine[s], twice[s]) for s, n in seen.items()}
+
+
+def test_cycle_without_vectors_and_held_rows_that_match_each_other(spark):
+    """Failing calls leave the title; held rows lead each by itself; items of before the look-back are inserted but match nothing."""
+    now = datetime.datetime(2024, 1, 31)
+    one, two = "alpha bravo charlie delta", "kilo lima mike november"
+    a = [(k, one, now - datetime.timedelta(hours=h)) for k, h in ((1, 10), (2, 5), (3, 200))]
+    shape = "id long, title string, published_at timestamp"
+    held = spark.createDataFrame(a, shape).withColumns({"canonical_url": F.concat(F.lit("https://h.x/"), "id"), "v": F.lit(None).cast("array<float>"), "model": F.lit(None).cast("string"), "source_id": F.lit(9), "publisher_domain": F.lit("h.x")})
+    b = [(11, one, 4), (12, two, 100), (13, two, 3), (14, two, 2), (15, "", 1), (16, one, 400)]
+    given = spark.createDataFrame([(k, t, now - datetime.timedelta(hours=h)) for k, t, h in b], shape)
+    null = lambda kind: F.lit(None).cast(kind)
+    given = given.withColumns({
+        "content": null("string"), "url": F.concat(F.lit("https://n.x/"), "id"), "author": null("string"), "publisher_domain": null("string"), "base_credibility": F.lit(3),
+        "source_org": null("string"), "source_id": F.col("id").cast("int"), "corroboration": F.lit(0), "points": F.lit(0), "upvotes": F.lit(0), "keywords": null("array<string>"),
+        "is_paper": F.lit(False), "is_model_release": F.lit(False), "is_release": F.lit(False), "position": F.col("id"),
+    })
+
+    def down(texts):
+        raise OSError
+
+    known = spark.createDataFrame([("https://other.x/1",)], "url string")
+    inserted, again, log = J.ingest_batch(given, held, known, str(now), down)
+    assert {r.id for r in inserted.collect()} == {12, 13, 15} and {r.id: r.article_id for r in again.collect()} == {11: 2, 14: 13}
+    assert log.where("source_id = 16").count() == 0 and log.agg(F.sum("items_seen")).head()[0] == 5
+    none = J.ingest_batch(given.limit(0), held, known, str(now))
+    assert [x.count() for x in none] == [0, 0, 0]

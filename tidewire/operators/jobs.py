@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.functions import models as M
 from tidewire.functions import rules as R
 from tidewire.functions import text as X
 from tidewire.functions import web as W
 from tidewire.operators.shared import stage
+from tidewire.operators.state import anti_already_seen
 from tidewire.operators.similarity import components, cosine_similarity_join, ordered_pass, title_similarity_join, token_classes
 
 SNIPPET = 400
@@ -35,11 +39,11 @@ def enrich_items(items: DataFrame, rules=R.rt.CATEGORY_RULES, tags=R.rt.TAG_RULE
 
 
 def linked_classes(
-    articles: DataFrame, title_threshold: float, vector_threshold: float, look_back: int | None = None, by_item: bool = False
+    articles: DataFrame, title_threshold: float, vector_threshold: float, look_back: int | None = None, by_item: bool = False, kind: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows: id, place, class; edges: item, lead, similarity), for ``ordered_pass``.
+    """(rows: id, place, class, kind; edges: item, lead, similarity), for ``ordered_pass``.
 
-    A class holds the rows of equal title tokens, vector and model (and, with a look-back in microseconds, of one span of that
+    A class holds the rows of equal title tokens, vector, model and ``kind`` (a column of whole numbers; and, with a look-back in microseconds, of one span of that
     length), so that copies make no pairs. Two classes are compared by vectors where both have one (of one model), else by
     titles; ``by_item``: by vectors if the item has one and by titles if not, whatever the lead has.
     """
@@ -47,11 +51,11 @@ def linked_classes(
     span = F.floor(place / F.lit(look_back)) if look_back else F.lit(0)
     tokens = F.array_sort(X.title_tokens(F.coalesce("title", F.lit(""))))
     model = F.when(F.col("v").isNotNull(), F.col("model"))
-    rows = stage(articles.select("id", place.alias("place"), span.cast("long").alias("span"), tokens.alias("tokens"), "v", model.alias("model")))
-    same = ["tokens", "v", "model", "span"]
+    rows = stage(articles.select("id", place.alias("place"), span.cast("long").alias("span"), tokens.alias("tokens"), "v", model.alias("model"), (F.col(kind) if kind else F.lit(0)).alias("kind")))
+    same = ["tokens", "v", "model", "span", "kind"]
     classes = stage(rows.groupBy(*same).agg(F.min("id").alias("class")))
     k = classes.select("class", *[F.col(c).alias(f"_{c}") for c in same])
-    members = stage(rows.join(k, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same]).select("id", "place", "class"))
+    members = stage(rows.join(k, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same]).select("id", "place", "class", "kind"))
     when = "span" if look_back else None
 
     titled = classes.where(F.size("tokens") > 0)
@@ -101,6 +105,11 @@ def dedup_leader(
     look_back = hours * 3_600_000_000 if hours else None
     rows, edges = linked_classes(articles, title_threshold, vector_threshold, look_back, by_item=True)
     led = ordered_pass(rows, edges, class_components(rows, edges), "leader", look_back).withColumnRenamed("group", "leader")
+    return with_status(led, articles)
+
+
+def with_status(led: DataFrame, articles: DataFrame) -> DataFrame:
+    """led: id, leader. inserted, or of another row: skipped if that is of the same outlet, else duplicate."""
     a = articles.select("id", "source_id", "publisher_domain")
     b = articles.select(F.col("id").alias("leader"), F.col("source_id").alias("s"), F.col("publisher_domain").alias("p"))
     same = R.same_outlet(F.col("source_id"), F.col("publisher_domain"), F.col("s"), F.col("p"))
@@ -133,6 +142,44 @@ def cluster_stories(
     return grouped.join(sizes, "group", "left").select("id", F.when(F.col("n").isNotNull(), F.col("group")).alias("story"))
 
 
+def ingest_batch(
+    items: DataFrame, articles: DataFrame, duplicates: DataFrame, as_of: str, embedder: Callable = M.hashing_embedder, model: str = M.MODEL,
+    title_threshold: float = DUPLICATE_TITLE, vector_threshold: float = DUPLICATE_VECTOR, **rules,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One cycle: (articles inserted, duplicates recorded, log by source), for the caller to append.
+
+    items: as for ``enrich_items``, and published_at, source_id, position. articles: id, canonical_url, title, v, model, published_at,
+    source_id, publisher_domain; duplicates: url. Ids of items and articles differ. Items older than 14 days are left out, as are
+    those whose canonical URL or own URL is known. The others get a vector (a failed call leaves null, and the title decides) and are
+    held in order of time against the articles published in the 72 hours before ``as_of`` and those just inserted of that time:
+    a match of another outlet is recorded as its duplicate, one of the same outlet is skipped, the rest are enriched.
+    """
+    c, now = F.col, F.lit(as_of).cast("timestamp")
+    since = now - F.expr(f"INTERVAL {LOOK_BACK_HOURS} HOURS")
+    fresh = items.where(c("published_at") >= now - F.expr(f"INTERVAL {MAX_AGE_DAYS} DAYS"))
+    new = stage(anti_already_seen(fresh.withColumn("canonical_url", W.canonicalize_url(c("url"))), articles, duplicates))
+    made = M.embed(new.select("id", X.embedding_text(c("title"), c("content")).alias("text")), embedder).select("id", "v")
+    new = stage(new.join(made, "id", "left").withColumn("model", F.when(c("v").isNotNull(), model)))
+
+    told = ["id", "title", "v", "model", "published_at", "source_id", "publisher_domain"]
+    held = articles.where(c("published_at") >= since).select(*told, F.lit(0).alias("kind"))
+    both = stage(held.unionByName(new.select(*told, F.when(c("published_at") >= since, 1).otherwise(2).alias("kind"))))
+    rows, edges = linked_classes(both, title_threshold, vector_threshold, by_item=True, kind="kind")
+    unseen = rows.where("kind = 2").select(c("class").alias("lead")).distinct()
+    edges = stage(edges.join(unseen, "lead", "left_anti"))
+    rows = rows.withColumn("fixed", c("kind") == 0)
+    led = ordered_pass(rows, edges, class_components(rows, edges), "leader").withColumnRenamed("group", "leader")
+    led = stage(with_status(led, both).join(new.select("id"), "id", "left_semi"))
+
+    inserted = stage(enrich_items(new.join(led.where("status = 'inserted'").select("id"), "id"), **rules))
+    again = led.where("status = 'duplicate'").select("id", c("leader").alias("article_id"))
+    again = again.join(new.select("id", "source_id", "url", "publisher_domain"), "id")
+    of = new.join(led, "id").groupBy("source_id").agg(*[F.count_if(c("status") == s).alias(f"items_{n}") for s, n in (("inserted", "new"), ("duplicate", "duplicate"))])
+    impact = inserted.groupBy("source_id").agg(F.max("impact").alias("top_impact"))
+    seen = fresh.groupBy("source_id").agg(F.count("*").alias("items_seen"))
+    return inserted, again, seen.join(of, "source_id", "left").join(impact, "source_id", "left").na.fill(0)
+
+
 def apply_corroboration(members: DataFrame, outlets: DataFrame, score: Column) -> DataFrame:
     """members: with story_id, corroboration_count; outlets: story_id, outlets. The count becomes the story's outlets less one
     where that is more, and the row is scored anew; impact stays as it was."""
