@@ -144,21 +144,29 @@ def stream_items(spark: SparkSession, d: str) -> DataFrame:
     return a.select("id", "title", F.concat(F.lit("https://c.example.com/"), F.expr("id div 2").cast("string")).alias("canonical_url"), C("published_at").cast("timestamp").alias("published_at"))
 
 
-@query("stream_url_dedup", ctes("articles") + "SELECT DISTINCT concat('https://c.example.com/', id // 2) AS canonical_url FROM articles")
+ONCE = ctes("articles") + "SELECT concat('https://c.example.com/', id // 2) AS canonical_url, 1 AS n FROM articles GROUP BY 1"
+
+
+def times_written(out: DataFrame) -> DataFrame:
+    """How often each URL was written: 1, if the stream did its work."""
+    return out.groupBy("canonical_url").agg(F.count("*").alias("n"))
+
+
+@query("stream_url_dedup", ONCE)
 def stream_url_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Both halves of a pair carry one URL; the horizon here is wider than the month, so one of each stays."""
     items = stream_items(spark, d)
     source, out, check = chunks(items, "published_at"), new_folder(spark, "stream-out"), new_folder(spark, "stream-check")
     J.stream_url_dedup(J.read_files(spark, source, items.schema), out, check, "60 days")
-    return spark.read.parquet(out).select("canonical_url")
+    return times_written(spark.read.parquet(out))
 
 
-@query("stream_ingest", ctes("articles") + "SELECT DISTINCT concat('https://c.example.com/', id // 2) AS canonical_url FROM articles")
+@query("stream_ingest", ONCE)
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     items = stream_items(spark, d)
     source, out, check = chunks(items, "published_at"), new_folder(spark, "stream-out"), new_folder(spark, "stream-check")
-    J.stream_ingest(J.read_files(spark, source, items.schema, 1), out, check, lambda df: df.withColumn("n_title", F.length("title")))
-    return spark.read.option("recursiveFileLookup", "true").parquet(out).select("canonical_url")
+    J.stream_ingest(J.read_files(spark, source, items.schema, 1), out, check, lambda df: df.withColumn("n_title", F.length("title")), 60)
+    return times_written(spark.read.parquet(out))
 
 
 RUNS = "id long, source_id int, ran_at timestamp, ok boolean, items_new int"
@@ -168,11 +176,30 @@ def runs(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "ingest_runs").select("id", "source_id", C("ran_at").cast("timestamp").alias("ran_at"), "ok", "items_new")
 
 
-@query("stream_window_counts", ctes("ingest_runs") + "SELECT CAST(start AS VARCHAR) AS start, CAST(sum(items_new) AS BIGINT) AS items_new, count(*) AS runs FROM (SELECT items_new, date_trunc('day', ran_at)::TIMESTAMP - INTERVAL 1 DAY * CAST(k AS INT) AS start FROM ingest_runs, (SELECT unnest(range(0, 7)) AS k)) GROUP BY 1")
+def windows(table: str, at: str, unit: str, n: int, late: str, columns: str) -> str:
+    """SQL for the windows of n units, one beginning at each, that are complete once the latest row less ``late`` is seen."""
+    start = f"date_trunc('{unit}', {at})::TIMESTAMP - INTERVAL 1 {unit} * CAST(k AS INT)"
+    grouped = f"SELECT start, {columns} FROM (SELECT *, {start} AS start FROM {table}, (SELECT unnest(range(0, {n})) AS k)) GROUP BY 1"
+    done = f"start + INTERVAL {n} {unit} <= (SELECT max({at}) - INTERVAL {late} FROM {table})"
+    return f"SELECT * REPLACE (CAST(start AS VARCHAR) AS start) FROM ({grouped}) WHERE {done}"
+
+
+@query("stream_window_counts", ctes("ingest_runs") + windows("ingest_runs", "ran_at", "day", 7, "1 day", "CAST(sum(items_new) AS BIGINT) AS items_new, count(*) AS runs"))
 def stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Runs and new items of seven days, one window a day."""
     r = runs(spark, d)
     source, out, check = chunks(r, "ran_at"), new_folder(spark, "stream-out"), new_folder(spark, "stream-check")
-    J.stream_window_counts(J.read_files(spark, source, r.schema), out, check)
+    J.stream_window_counts(J.read_files(spark, source, r.schema), out, check, {"items_new": F.sum("items_new"), "runs": F.count("*")})
+    return text_times(spark.read.parquet(out), "start")
+
+
+@query("stream_article_counts", ctes("articles") + windows("articles", "published_at", "hour", 24, "1 hour", "count(*) AS articles, count(*) FILTER (is_rumour) AS rumours"))
+def stream_article_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Articles and rumours of 24 hours, one window an hour."""
+    a = view(spark, d, "articles").select("id", C("published_at").cast("timestamp").alias("published_at"), "is_rumour")
+    source, out, check = chunks(a, "published_at"), new_folder(spark, "stream-out"), new_folder(spark, "stream-check")
+    counts = {"articles": F.count("*"), "rumours": F.count_if("is_rumour")}
+    J.stream_window_counts(J.read_files(spark, source, a.schema), out, check, counts, "published_at", "24 hours", "1 hour", "1 hour")
     return text_times(spark.read.parquet(out), "start")
 
 

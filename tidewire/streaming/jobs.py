@@ -3,10 +3,12 @@ from their checkpoint when started again."""
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -27,25 +29,51 @@ def stream_url_dedup(items: DataFrame, out: str, checkpoint: str, horizon: str =
     run(once.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append"))
 
 
-def stream_ingest(items: DataFrame, out: str, checkpoint: str, enrich) -> None:
-    """Each micro-batch: what the table doesn't have by canonical URL is enriched and appended. A batch that is run again
-    writes its own folder again, so nothing is doubled."""
+def stream_ingest(items: DataFrame, out: str, checkpoint: str, enrich, horizon_days: int = 14) -> None:
+    """Each micro-batch: what the table doesn't have by canonical URL (the first by id of each) is enriched and appended.
+
+    The table is partitioned by day of publication and batch. A batch reads one column of the days within the horizon of its
+    own days, so its cost doesn't grow with the history; of an item that comes back under a day beyond the horizon nothing is
+    known any more. A batch that is run again ignores what it had written and replaces it, so nothing is doubled. Items without
+    a time of publication are kept under a day of their own.
+    """
     spark = items.sparkSession
 
+    def held(days: list, number: int) -> DataFrame | None:
+        near = {d + datetime.timedelta(days=k) for d in days if d for k in range(-horizon_days, horizon_days + 1)}
+        names = sorted(map(str, near)) + (["none"] if None in days else [])
+        try:  # braces match the folders that are there
+            done = spark.read.option("basePath", out).schema(SEEN).parquet(f"{out}/day={{{','.join(names)}}}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None  # no such day yet
+        return done.where(F.col("batch") < number).select("canonical_url")
+
     def batch(df: DataFrame, number: int) -> None:
-        first = df.groupBy("canonical_url").agg(F.min_by(F.struct(*[c for c in df.columns if c != "canonical_url"]), "id").alias("r")).select("canonical_url", "r.*")
-        if number:
-            done = spark.read.option("recursiveFileLookup", "true").parquet(*[f"{out}/batch={k}" for k in range(number)]).select("canonical_url")
-            first = first.join(done, "canonical_url", "left_anti")
-        enrich(first).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        rest = [c for c in df.columns if c != "canonical_url"]
+        first = df.groupBy("canonical_url").agg(F.min_by(F.struct(*rest), "id").alias("r")).select("canonical_url", "r.*")
+        days = [r[0] for r in df.select(F.to_date("published_at")).distinct().collect()]  # bounded by the calendar
+        done = held(days, number)
+        first = first if done is None else first.join(done, "canonical_url", "left_anti")
+        day = F.coalesce(F.to_date("published_at").cast("string"), F.lit("none"))
+        written = enrich(first).withColumns({"day": day, "batch": F.lit(number).cast("long")})
+        written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(out)
 
     run(items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint))
 
 
-def stream_window_counts(runs: DataFrame, out: str, checkpoint: str) -> None:
-    """items_new over 7 days sliding by a day, and runs by day; the whole (small) table of windows is written anew each time."""
-    seven = runs.withWatermark("ran_at", "1 day").groupBy(F.window("ran_at", "7 days", "1 day")).agg(F.sum("items_new").alias("items_new"), F.count("*").alias("runs"))
-    run(seven.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: df.select(F.col("window.start").alias("start"), "items_new", "runs").coalesce(1).write.mode("overwrite").parquet(out)))
+SEEN = "canonical_url string, day string, batch long"
+
+
+def stream_window_counts(
+    rows: DataFrame, out: str, checkpoint: str, counts: dict[str, Column], at: str = "ran_at", length: str = "7 days", slide: str = "1 day", late: str = "1 day"
+) -> None:
+    """start and the given aggregates for each window of ``length``, a new one every ``slide``. A window is appended once, when no
+    row for it can come any more: when a time more than ``late`` after its end was seen. Its state then goes."""
+    seen = rows.withWatermark(at, late).groupBy(F.window(at, length, slide)).agg(*[v.alias(k) for k, v in counts.items()])
+    out_rows = seen.select(F.col("window.start").alias("start"), *counts)
+    run(out_rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append"))
 
 
 class FailureStreak(StatefulProcessor):
@@ -60,7 +88,7 @@ class FailureStreak(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n = self.count.get()[0] if self.count.exists() else 0
         events = []
-        every = pd.concat(list(rows)).sort_values(["ran_at", "id"])
+        every = pd.concat([b[["ran_at", "id", "ok"]] for b in rows]).sort_values(["ran_at", "id"])  # three narrow columns of a source's batch
         for ok, at in zip(every["ok"], every["ran_at"]):
             n = 0 if ok else n + 1
             if n == self.limit:
