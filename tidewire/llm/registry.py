@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidewire.llm import decontamination, html_extraction, language_model, licenses, packing
+from tidewire.llm import conversations, decontamination, embedding_dedup, html_extraction, language_model, licenses, manifest, packing
 from tidewire.llm import quality_classifier, quality_rules, simhash, token_files, warc
 
 
@@ -23,9 +23,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": warc.op8_warc,
         "op9_simhash": simhash.op9_simhash,
         "op10_language_model": language_model.op10_language_model,
+        "op11_embedding_dedup": embedding_dedup.op11_embedding_dedup,
+        "op12_manifest": manifest.op12_manifest,
+        "op13_conversation_repair": conversations.op13_conversation_repair,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return quality_rules.oracle_sql() | licenses.oracle_sql() | decontamination.oracle_sql() | warc.oracle_sql()
+    return quality_rules.oracle_sql() | licenses.oracle_sql() | decontamination.oracle_sql() | warc.oracle_sql() | embedding_dedup.oracle_sql()
