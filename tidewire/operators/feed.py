@@ -64,10 +64,9 @@ class FeedFilters:
 
 
 def feed_where(f: FeedFilters) -> Column:
-    """Over articles joined to their source (muted_at, slug): the conjunction of what the request asks for."""
+    """Over articles joined to their source (muted_at, slug): the conjunction of what the request asks for; its text is looked up in
+    the search index."""
     tests = [F.col("muted_at").isNull()]
-    if f.q:
-        tests.append(search.search_match(f.q, search.tokens(F.col("title")), search.tokens(F.col("summary"))))
     if f.categories:
         tests.append(F.col("category").isin(*f.categories))
     for name, wanted in (("org_slugs", f.orgs), ("tags", f.tags)):
@@ -94,11 +93,11 @@ def feed_order(f: FeedFilters) -> list[Column]:
     return [*first, F.desc("published_at"), F.asc("id")]
 
 
-def feed(articles: DataFrame, sources: DataFrame, reads: DataFrame, saved: DataFrame, user: int, f: FeedFilters, size: int = 60, stories: DataFrame | None = None, postings: DataFrame | None = None) -> DataFrame:
+def feed(articles: DataFrame, sources: DataFrame, reads: DataFrame, saved: DataFrame, user: int, f: FeedFilters, size: int = 60, stories: DataFrame | None = None, index: search.SearchIndex | None = None) -> DataFrame:
     """One page, with the reader's marks and the total of rows before paging. Marks are cut to the reader before the joins.
 
-    stories: story_id, source_count; each row gets its story's count, or null. postings: the search index of the articles, for
-    a request with a text query; without it the matching rows are indexed for their rank.
+    stories: story_id, source_count; each row gets its story's count, or null. index: the search index of the articles, for
+    a request with a text query; without it the rows that fit otherwise are indexed.
     """
     own = lambda df, mark: df.where(F.col("user_id") == user).select(F.col("article_id").alias("id"), F.lit(True).alias(mark))
     joined = articles.join(sources.select(F.col("id").alias("source_id"), "slug", F.col("name").alias("source_name"), "muted_at"), "source_id")
@@ -106,8 +105,9 @@ def feed(articles: DataFrame, sources: DataFrame, reads: DataFrame, saved: DataF
     marks = own(reads, "read")
     found = found.join(marks, "id", "left_anti").withColumn("read", F.lit(None).cast("boolean")) if f.unread else found.join(marks, "id", "left")
     if f.q:
-        ranks = search.search_rank(search.index(found) if postings is None else postings, f.q)
-        found = found.join(ranks.select("id", F.col("score").alias("rank")), "id", "left").na.fill(0.0, ["rank"])
+        index = search.index(found) if index is None else index
+        ranks = search.search_match(index, f.q).join(search.search_rank(index, f.q), "id", "left")
+        found = found.join(ranks.select("id", F.col("score").alias("rank")), "id").na.fill(0.0, ["rank"])
     if stories is not None:
         found = found.join(stories.select("story_id", "source_count"), "story_id", "left")
     total = found.agg(F.count("*").alias("total"))

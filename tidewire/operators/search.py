@@ -1,73 +1,132 @@
-"""Full-text search: a web-style query (all words, "a phrase", OR, -not) over stemmed words of title and summary, and BM25F rank.
+"""Full-text search: a web-style query (all words, "a phrase", OR, -not) over an inverted index, and BM25F rank.
 
-The stemmer is a light one (plural and -ed, -ing, -ly endings of words over four letters); the rank is the published BM25 formula
-with the title weighing 1.0 and the summary 0.4."""
+The index is built once and read by every query: postings (token, id, positions, n_title, length), the documents' lengths, and
+their number and mean. Tokens are English stems without stop words; words are stemmed once each, in a dictionary of the
+distinct words. Positions count all words, stop words too; the summary's go on where the title's last indexed word stands, so
+that a phrase may run from the one into the other. Postings are stored in buckets of the token, so a query reads those of its
+own tokens alone: OR is a union, all words are semi joins of posting lists, not is an anti join, and a phrase is a
+join on positions less the word's place in it. The rank is the published BM25 with the title weighing 1.0, the summary 0.4.
+"""
 
 from __future__ import annotations
 
 import re
+import zlib
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ENDINGS = "(ingly|edly|ing|ed|ly|es|s)$"
+from tidewire.functions.stemmer import STOP_WORDS, lexeme, lexemes
+from tidewire.operators.shared import stage
 
+BUCKETS = 64
+TITLE, SUMMARY = 1.0, 0.4
 
-def stem(word: Column) -> Column:
-    return F.when(F.length(word) > 4, F.regexp_replace(word, ENDINGS, "")).otherwise(word)
 
+@dataclass(frozen=True)
+class SearchIndex:
+    """postings: bucket, token, id, positions, n_title, length (several rows of a token and id, if it has several word forms);
+    documents: id, length; totals: one row (n, mean)."""
 
-def stem_one(word: str) -> str:
-    return re.sub(ENDINGS, "", word) if len(word) > 4 else word
+    postings: DataFrame
+    documents: DataFrame
+    totals: DataFrame
 
 
-def tokens(text: Column) -> Column:
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.transform(words, stem)
+def words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def parse_query(q: str) -> list[list[tuple[bool, list[str]]]]:
-    """Alternatives of terms; a term is (wanted, its words). Words next to each other are all wanted."""
-    out: list[list[tuple[bool, list[str]]]] = [[]]
+def index(articles: DataFrame) -> SearchIndex:
+    """articles: id, title, summary. Null texts have no words; an article without words is a document of length 0."""
+    kept = lambda w: ~w.isin(*STOP_WORDS)
+    a = articles.select("id", words(F.col("title")).alias("a"), words(F.col("summary")).alias("b"))
+    place = lambda start, title: lambda w, i: F.struct(w.alias("word"), (start + i + 1).alias("at"), F.lit(title).alias("title"))
+    a = a.select("id", F.filter(F.transform("a", place(F.lit(0), True)), lambda x: kept(x["word"])).alias("a"), "b")
+    start = F.coalesce(F.get("a", F.size("a") - 1)["at"], F.lit(0))
+    a = a.select("id", "a", F.filter(F.transform("b", place(start, False)), lambda x: kept(x["word"])).alias("b"))
+    a = a.select("id", F.concat("a", "b").alias("x"), (F.size("a") * TITLE + F.size("b") * SUMMARY).alias("length"))
+
+    each = a.select("id", "length", F.explode("x").alias("x")).groupBy("id", "length", F.col("x.word").alias("word"))
+    each = stage(each.agg(F.array_sort(F.collect_list("x.at")).alias("positions"), F.count_if("x.title").cast("int").alias("n_title")))
+    dictionary = stage(each.select("word").distinct().select("word", lexemes(F.col("word")).alias("token")))
+    postings = each.join(dictionary, "word").select(bucket_of(F.col("token")).alias("bucket"), "token", "id", "positions", "n_title", "length")
+    documents = stage(a.select("id", "length"))
+    return SearchIndex(stage(postings), documents, stage(totals(documents)))
+
+
+def bucket_of(token: Column) -> Column:
+    return (F.crc32(token) % BUCKETS).cast("int")
+
+
+def totals(documents: DataFrame) -> DataFrame:
+    return documents.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+
+
+def write_index(ix: SearchIndex, folder: str, mode: str = "error") -> None:
+    """Store an index, or with ``mode`` append add one of further articles to it. Frequent tokens lie in several files."""
+    laid = ix.postings.repartitionByRange("bucket", "token", "id").sortWithinPartitions("bucket", "token", "id")
+    laid.write.mode(mode).partitionBy("bucket").parquet(f"{folder}/postings")
+    ix.documents.write.mode(mode).parquet(f"{folder}/documents")
+    totals(ix.documents.sparkSession.read.parquet(f"{folder}/documents")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/totals")
+
+
+def read_index(spark: SparkSession, folder: str) -> SearchIndex:
+    return SearchIndex(*[spark.read.parquet(f"{folder}/{name}") for name in ("postings", "documents", "totals")])
+
+
+Term = tuple[bool, list[tuple[int, str]]]
+
+
+def parse_query(q: str) -> list[list[Term]]:
+    """Alternatives of terms; a term is (wanted, its tokens with their places in it). Stop words only leave their place; a term
+    of stop words alone is no term."""
+    out: list[list[Term]] = [[]]
     for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', q):
         if word == "OR" and not minus:
             out.append([])
             continue
-        words = [stem_one(w) for w in re.split(r"[\W_]+", (phrase or word).lower()) if w]
-        if words:
-            out[-1].append((not minus, words))
+        parts = [w for w in re.split(r"[\W_]+", (phrase or word).lower()) if w]
+        tokens = [(n, t) for n, w in enumerate(parts) if (t := lexeme(w))]
+        if tokens:
+            out[-1].append((not minus, tokens))
     return [a for a in out if a]
 
 
-def search_match(q: str, title: Column, summary: Column) -> Column:
-    """title and summary: token arrays. A phrase stands within one of the two."""
+def posting(ix: SearchIndex, token: str) -> DataFrame:
+    return ix.postings.where((F.col("bucket") == zlib.crc32(token.encode()) % BUCKETS) & (F.col("token") == token))
+
+
+def having(ix: SearchIndex, tokens: list[tuple[int, str]]) -> DataFrame:
+    """(id): documents with the token, or with the tokens at their places."""
+    if len(tokens) == 1:
+        return posting(ix, tokens[0][1]).select("id")
+    starts = [posting(ix, t).select("id", F.explode(F.transform("positions", lambda p: p - n)).alias("start")) for n, t in tokens]
+    return reduce(lambda a, b: a.join(b, ["id", "start"], "left_semi"), starts).select("id")
 
-    def has(words: list[str]) -> Column:
-        if len(words) == 1:
-            return F.array_contains(title, words[0]) | F.array_contains(summary, words[0])
-        text = F.lit(" " + " ".join(words) + " ")
-        inside = lambda t: F.contains(F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" ")), text)
-        return inside(title) | inside(summary)
 
-    alternatives = [reduce(Column.__and__, [has(ws) if wanted else ~has(ws) for wanted, ws in terms]) for terms in parse_query(q)]
-    return reduce(Column.__or__, alternatives) if alternatives else F.lit(True)
+def search_match(ix: SearchIndex, q: str) -> DataFrame:
+    """(id) of the documents that fit, once each. A query without any token finds nothing."""
 
+    def alternative(terms: list[Term]) -> DataFrame:
+        wanted, unwanted = ([having(ix, tokens) for w, tokens in terms if w is side] for side in (True, False))
+        found = reduce(lambda a, b: a.join(b, "id", "left_semi"), wanted) if wanted else ix.documents.select("id")
+        return reduce(lambda a, b: a.join(b, "id", "left_anti"), unwanted, found)
 
-def index(articles: DataFrame) -> DataFrame:
-    """(id, token, tf): weighted counts; built once and read by every query."""
-    parts = articles.select("id", F.explode(F.concat(F.transform(tokens(F.col("title")), lambda w: F.struct(w.alias("token"), F.lit(1.0).alias("w"))), F.transform(tokens(F.col("summary")), lambda w: F.struct(w.alias("token"), F.lit(0.4).alias("w"))))).alias("t"))
-    return parts.groupBy("id", F.col("t.token").alias("token")).agg(F.sum("t.w").alias("tf"))
+    alternatives = [alternative(terms) for terms in parse_query(q)]
+    return reduce(DataFrame.unionByName, alternatives).distinct() if alternatives else ix.documents.select("id").limit(0)
 
 
-def search_rank(postings: DataFrame, q: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, score) of the documents that have any wanted word; the query's words are literals, so only their postings are read."""
-    words = sorted({w for terms in parse_query(q) for wanted, ws in terms if wanted for w in ws})
-    lengths = postings.groupBy("id").agg(F.sum("tf").alias("len"))
-    about = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
-    own = postings.where(F.col("token").isin(words))
-    df = own.groupBy("token").agg(F.count("*").alias("df"))
-    out = own.join(df, "token").join(lengths, "id").crossJoin(about)  # one row
+def search_rank(ix: SearchIndex, q: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, score) of the documents that have any wanted token: only these tokens' postings are read."""
+    tokens = sorted({t for terms in parse_query(q) for wanted, ts in terms if wanted for _, t in ts})
+    own = reduce(DataFrame.unionByName, [posting(ix, t) for t in tokens]) if tokens else ix.postings.limit(0)
+    tf = F.col("n_title") * TITLE + (F.size("positions") - F.col("n_title")) * SUMMARY
+    own = own.groupBy("token", "id").agg(F.sum(tf).alias("tf"), F.first("length").alias("length"))
+    df = own.groupBy("token").agg(F.count("*").alias("df"))  # a row for each token of the query
+    out = own.join(df, "token").crossJoin(ix.totals)  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
-    return out.groupBy("id").agg(F.sum(idf * tf).alias("score"))
+    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    return out.groupBy("id").agg(F.sum(idf * weight).alias("score"))

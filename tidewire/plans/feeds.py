@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewire.operators import search as S
 from tidewire.operators.shared import new_folder, stage
 from tidewire.plans.registry import query
-from tidewire.plans.relational import TOK, text_times
+from tidewire.plans.relational import indexed, ranked, text_times
 from tidewire.sources import payloads as P
 from tidewire.sources.views import AS_OF, ctes, view
 from tidewire.streaming import jobs as J
@@ -116,20 +116,21 @@ def probe_feed(spark: SparkSession, d: str) -> DataFrame:
     return text_times(P.probe_feed(payloads(spark, d)).drop("sample_title"), "newest_at")
 
 
-QUERY = 'the that -from "with the" OR der die -"und das"'
+#: An alternative of words without a phrase, one of a phrase over a stop word, one of a word without another.
+QUERY = 'anan with therly -"thanedbl the anea" OR "onbleea of anon" OR thed -rewh'
 
 
-@query("search_match", ctes("articles").rstrip() + f""", t AS (SELECT id, {TOK.format(c='title')} AS a, {TOK.format(c='summary')} AS b FROM articles), p AS (SELECT id, a || b AS w, ' ' || array_to_string(a, ' ') || ' ' AS x, ' ' || array_to_string(b, ' ') || ' ' AS y FROM t)
-SELECT id FROM p WHERE (list_contains(w, 'the') AND list_contains(w, 'that') AND NOT list_contains(w, 'from') AND (contains(x, ' with the ') OR contains(y, ' with the '))) OR (list_contains(w, 'der') AND list_contains(w, 'die') AND NOT (contains(x, ' und das ') OR contains(y, ' und das ')))""")
+@query("search_match", ctes("full_articles").rstrip() + indexed("full_articles", "anan", "ther", "thanedbl", "anea", "onbleea", "anon", "thed", "rewh") + """, has AS (SELECT DISTINCT id, token FROM x),
+two AS (SELECT DISTINCT a.id, a.token AS first FROM x a JOIN x b ON b.id = a.id AND b.pos = a.pos + 2 WHERE (a.token, b.token) IN (('thanedbl', 'anea'), ('onbleea', 'anon')))
+SELECT id FROM full_articles WHERE (id IN (SELECT id FROM has WHERE token = 'anan') AND id IN (SELECT id FROM has WHERE token = 'ther') AND id NOT IN (SELECT id FROM two WHERE first = 'thanedbl'))
+OR id IN (SELECT id FROM two WHERE first = 'onbleea') OR (id IN (SELECT id FROM has WHERE token = 'thed') AND id NOT IN (SELECT id FROM has WHERE token = 'rewh'))""")
 def search_match(spark: SparkSession, d: str) -> DataFrame:
-    a = view(spark, d, "articles").withColumns({"t": S.tokens(C("title")), "u": S.tokens(C("summary"))})
-    return a.where(S.search_match(QUERY, C("t"), C("u"))).select("id")
+    return S.search_match(S.index(view(spark, d, "full_articles")), QUERY)
 
 
-@query("search_rank", ctes("articles").rstrip() + f""", t AS (SELECT id, unnest({TOK.format(c='title')}) AS token, 1.0::DOUBLE AS w FROM articles UNION ALL SELECT id, unnest({TOK.format(c='summary')}), 0.4::DOUBLE FROM articles), p AS (SELECT id, token, sum(w) AS tf FROM t GROUP BY 1, 2), l AS (SELECT id, sum(tf) AS len FROM p GROUP BY 1), g AS (SELECT count(*) AS n, avg(len) AS avg_len FROM l),
-o AS (SELECT * FROM p WHERE token IN ('anan', 'with')), f AS (SELECT token, count(*) AS df FROM o GROUP BY 1) SELECT o.id, round(sum(ln(1 + (g.n - f.df + 0.5) / (f.df + 0.5)) * o.tf * 2.2 / (o.tf + 1.2 * (0.25 + 0.75 * l.len / g.avg_len))), 6) AS score FROM o JOIN f USING (token) JOIN l USING (id), g GROUP BY 1""")
+@query("search_rank", ctes("full_articles").rstrip() + indexed("full_articles", "anan", "ther") + ranked("full_articles", "anan", "ther") + " SELECT id, round(rank, 6) AS score FROM r")
 def search_rank(spark: SparkSession, d: str) -> DataFrame:
-    return S.search_rank(stage(S.index(view(spark, d, "articles"))), "with anan").select("id", F.round("score", 6).alias("score"))
+    return S.search_rank(S.index(view(spark, d, "full_articles")), "with anan therly").select("id", F.round("score", 6).alias("score"))
 
 
 def chunks(df: DataFrame, order: str, n: int = 4) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.functions.stemmer import STOP_WORDS, lexeme
 from tidewire.operators import feed as fd
 from tidewire.operators import state as st
 from tidewire.operators.stories import outlet
@@ -170,13 +171,36 @@ def feed(spark: SparkSession, d: str) -> DataFrame:
     return text_times(out.select("id", "title", "source_name", "credibility", "impact", "published_at", "is_read", "is_saved", "total"), "published_at")
 
 
-#: The stemmed words of a text.
-TOK = "list_transform(list_filter(string_split_regex(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: CASE WHEN length(w) > 4 THEN regexp_replace(w, '(ingly|edly|ing|ed|ly|es|s)$', '') ELSE w END)"
-FOUND = ", tk AS (SELECT *, " + TOK.format(c="title") + " AS ta, " + TOK.format(c="summary") + """ AS tb FROM articles), found AS (SELECT a.*, s.name AS source_name FROM tk a JOIN sources s ON s.id = a.source_id
-WHERE s.muted_at IS NULL AND a.credibility >= 2 AND (list_contains(ta || tb, 'with') AND list_contains(ta || tb, 'anan'))),
-p AS (SELECT id, token, sum(w) AS tf FROM (SELECT id, unnest(ta) AS token, 1.0::DOUBLE AS w FROM found UNION ALL SELECT id, unnest(tb), 0.4::DOUBLE FROM found) GROUP BY 1, 2),
-l AS (SELECT id, sum(tf) AS len FROM p GROUP BY 1), g AS (SELECT count(*) AS n, avg(len) AS avg_len FROM l), o AS (SELECT * FROM p WHERE token IN ('anan', 'with')), fr AS (SELECT token, count(*) AS df FROM o GROUP BY 1),
-r AS (SELECT o.id, sum(ln(1 + (g.n - fr.df + 0.5) / (fr.df + 0.5)) * o.tf * 2.2 / (o.tf + 1.2 * (0.25 + 0.75 * l.len / g.avg_len))) AS rank FROM o JOIN fr USING (token) JOIN l USING (id), g GROUP BY 1)
+#: Endings of the invented prose; with the stemmer they give the word forms that count as one token on the SQL side.
+ENDINGS = "s es ed er ers ing ly ment ate ates ated ating ation ness able ible al ance ence ic ism ous ive ize ful e edly ingly erly".split()
+STOPPED = ", ".join(f"'{w}'" for w in sorted(STOP_WORDS))
+
+
+def forms(token: str) -> str:
+    own = {token + a + b for a in ["", *ENDINGS] for b in ["", *ENDINGS] if lexeme(token + a + b) == token}
+    return ", ".join(f"'{w}'" for w in sorted(own))
+
+
+def indexed(rows: str, *tokens: str) -> str:
+    """CTEs: k, the places of the words that are no stop words (id, t = 1 in titles, word, pos); x, those of the tokens."""
+    split = "list_filter(string_split_regex(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+    which = " ".join(f"WHEN word IN ({forms(t)}) THEN '{t}'" for t in tokens)
+    return f""", l AS (SELECT id, {split.format(c='title')} AS a, {split.format(c='summary')} AS b FROM {rows}),
+kept AS (SELECT * FROM (SELECT id, 1 AS t, unnest(a) AS word, unnest(range(1, len(a) + 1)) AS pos FROM l UNION ALL SELECT id, 0, unnest(b), unnest(range(1, len(b) + 1)) FROM l) WHERE word NOT IN ({STOPPED})),
+k AS (SELECT id, t, word, CASE WHEN t = 1 THEN pos ELSE pos + coalesce(n, 0) END AS pos FROM kept LEFT JOIN (SELECT id, max(pos) AS n FROM kept WHERE t = 1 GROUP BY 1) USING (id)),
+x AS MATERIALIZED (SELECT * FROM (SELECT id, t, pos, CASE {which} END AS token FROM k) WHERE token IS NOT NULL)"""
+
+
+def ranked(rows: str, *tokens: str) -> str:
+    """CTE r: id and the rank by the tokens' BM25 over the given rows."""
+    named = ", ".join(f"'{t}'" for t in tokens)
+    return f""", lg AS (SELECT r.id, coalesce(s.len, 0) AS len FROM {rows} r LEFT JOIN (SELECT id, sum(CASE WHEN t = 1 THEN 1.0::DOUBLE ELSE 0.4 END) AS len FROM k GROUP BY 1) s USING (id)), g AS (SELECT count(*) AS n, avg(len) AS avg_len FROM lg),
+o AS (SELECT id, token, sum(CASE WHEN t = 1 THEN 1.0::DOUBLE ELSE 0.4 END) AS tf FROM x WHERE token IN ({named}) GROUP BY 1, 2), fr AS (SELECT token, count(*) AS df FROM o GROUP BY 1),
+r AS (SELECT o.id, sum(ln(1 + (g.n - fr.df + 0.5) / (fr.df + 0.5)) * o.tf * 2.2 / (o.tf + 1.2 * (0.25 + 0.75 * lg.len / g.avg_len))) AS rank FROM o JOIN fr USING (token) JOIN lg USING (id), g GROUP BY 1)"""
+
+
+FOUND = ", fit AS (SELECT a.*, s.name AS source_name FROM articles a JOIN sources s ON s.id = a.source_id WHERE s.muted_at IS NULL AND a.credibility >= 2)" + indexed("fit", "anan", "ther") + """,
+found AS (SELECT * FROM fit WHERE id IN (SELECT id FROM x WHERE token = 'anan') AND id IN (SELECT id FROM x WHERE token = 'ther'))""" + ranked("fit", "anan", "ther") + """
 SELECT id, round(rank, 6) AS rank, (SELECT count(DISTINCT coalesce(x.publisher_domain, CAST(x.source_id AS VARCHAR))) FROM articles x WHERE x.story_id = found.story_id) AS story_sources, (SELECT count(*) FROM found) AS total FROM found JOIN r USING (id)"""
 
 
@@ -185,7 +209,7 @@ def feed_search(spark: SparkSession, d: str) -> DataFrame:
     """A text request: every page's rows by relevance, with the number of outlets of their story."""
     a = view(spark, d, "articles")
     stories = a.where("story_id IS NOT NULL").groupBy("story_id").agg(F.countDistinct(outlet()).alias("source_count"))
-    f = fd.FeedFilters.from_params({"q": "with anan", "cred": "2"})
+    f = fd.FeedFilters.from_params({"q": "with anan ther", "cred": "2"})
     out = fd.feed(a, view(spark, d, "sources"), view(spark, d, "article_reads"), view(spark, d, "saved_articles"), 7, f, size=2_000_000_000, stories=stories)
     return out.select("id", F.round("rank", 6).alias("rank"), F.coalesce("source_count", F.lit(0)).alias("story_sources"), "total")
 

@@ -57,6 +57,9 @@ FROM orders"""),
 FROM documents WHERE doc_id % 9 = 1"""),
 }
 
+#: Articles with their whole text as the summary.
+VIEWS["full_articles"] = ("documents", VIEWS["articles"][1].replace("substr(text, 1, 400) AS summary", "text AS summary"))
+
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     base, sql = VIEWS[name]
