@@ -4,6 +4,7 @@ import collections
 import datetime
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 import pytest
@@ -137,6 +138,55 @@ def test_prefix_join_equals_brute_force(spark, sf):
     assert {(r.a, r.b) for r in S.title_similarity_join(df, 0.3).collect()} == want and want
 
 
+def walked(rows, edges, look_back=None):
+    """rows: (id, place, class, fixed); edges: item -> [(lead, similarity)]. The ordered pass as a loop over all rows."""
+    latest, out = {}, {}
+    for n, (k, place, c, fixed) in enumerate(sorted(rows, key=lambda r: (not r[3], r[1], r[0]))):
+        met = [] if fixed else [(s, *latest[o][1:]) for o, s in edges.get(c, ()) if o in latest and (look_back is None or latest[o][0] >= place - look_back)]
+        out[k] = max(met)[2] if met else k
+        if not met:
+            latest[c] = (place, n, k)
+    return out
+
+
+def in_rounds(spark, rows, edges, **more):
+    links = pd.DataFrame([(a, b, s) for a, own in edges.items() for b, s in own], columns=["item", "lead", "similarity"])
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["id", "place", "class", "fixed"]))
+    return {r.id: r.group for r in S.leader_pass(df, spark.createDataFrame(links, "item long, lead long, similarity double"), **more).collect()}
+
+
+@pytest.mark.parametrize("look_back", [None, 40])
+@pytest.mark.parametrize("in_range", [7, 20_000])
+def test_rounds_equal_a_loop(spark, look_back, in_range):
+    """Classes of several rows, some fixed, some that only lead; a class lies within one span of the look-back."""
+    rng = np.random.default_rng(look_back or 1)
+    kind = {c: rng.choice(["item", "item", "item", "lead", "alone"] if look_back else ["item", "item", "lead", "fixed", "alone"]) for c in range(120)}
+    base = {c: int(rng.integers(0, 12)) * 40 for c in kind}
+    rows = [(1000 + k, base[c] + int(rng.integers(40)), c, kind[c] == "fixed") for k, c in enumerate(rng.integers(0, 120, 700).tolist())]
+    edges = {}
+    for c in kind:
+        if kind[c] == "item":
+            edges[c] = [(c, 1.0)] + [(int(o), float(rng.choice([0.7, 0.8, 0.9]))) for o in rng.choice(120, 5, replace=False) if o != c]
+        elif kind[c] == "alone" and c % 2:
+            edges[c] = [(c, 1.0)]
+    assert in_rounds(spark, rows, edges, look_back=look_back, in_range=in_range) == walked(rows, edges, look_back)
+
+
+def test_rounds_take_one_component_of_many_rows(spark):
+    """A chain through 200,000 rows, each linked with its neighbours in the order and some of far away."""
+    n = 200_000
+    rng = np.random.default_rng(2)
+    far = rng.integers(0, n, n // 4)
+    edges = {k: [(k, 1.0), *[(o, 0.7) for o in (k - 1, k + 1) if 0 <= o < n]] for k in range(n)}
+    for a, b in zip(rng.integers(0, n, n // 4).tolist(), far.tolist()):
+        if abs(a - b) > 1:
+            edges[a].append((b, 0.8))
+            edges[b].append((a, 0.8))
+    edges = {k: list(dict(v).items()) for k, v in edges.items()}
+    rows = [(k, k // 2, k, False) for k in range(n)]
+    assert in_rounds(spark, rows, edges) == walked(rows, edges)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 101), (101, 103)], "a long, b long")
     nodes = spark.createDataFrame([(k,) for k in [*range(1, 41), 100, 101, 103, 500]], "id long")

@@ -13,7 +13,7 @@ from tidewire.functions import text as X
 from tidewire.functions import web as W
 from tidewire.operators.shared import stage
 from tidewire.operators.state import anti_already_seen
-from tidewire.operators.similarity import components, cosine_similarity_join, ordered_pass, title_similarity_join, token_classes
+from tidewire.operators.similarity import components, cosine_similarity_join, leader_pass, ordered_pass, title_similarity_join, token_classes
 
 SNIPPET = 400
 DUPLICATE_TITLE, STORY_TITLE = 0.6, 0.42
@@ -104,7 +104,7 @@ def dedup_leader(
     """
     look_back = hours * 3_600_000_000 if hours else None
     rows, edges = linked_classes(articles, title_threshold, vector_threshold, look_back, by_item=True)
-    led = ordered_pass(rows, edges, class_components(rows, edges), "leader", look_back).withColumnRenamed("group", "leader")
+    led = leader_pass(rows, edges, look_back).withColumnRenamed("group", "leader")
     return with_status(led, articles)
 
 
@@ -168,7 +168,7 @@ def ingest_batch(
     unseen = rows.where("kind = 2").select(c("class").alias("lead")).distinct()
     edges = stage(edges.join(unseen, "lead", "left_anti"))
     rows = rows.withColumn("fixed", c("kind") == 0)
-    led = ordered_pass(rows, edges, class_components(rows, edges), "leader").withColumnRenamed("group", "leader")
+    led = leader_pass(rows, edges).withColumnRenamed("group", "leader")
     led = stage(with_status(led, both).join(new.select("id"), "id", "left_semi"))
 
     inserted = stage(enrich_items(new.join(led.where("status = 'inserted'").select("id"), "id"), **rules))
