@@ -547,3 +547,22 @@ def test_sums_by_row_equals_loop():
             want[r] += values[k]
     own, sums = language_model.sums_by_row(rows_, values, short=2)
     assert sorted(own) == sorted(set(rows_.ravel().tolist())) and np.allclose(want[own], sums, atol=1e-4)
+
+
+def test_notices_below_long_copyright_lines_equal_sql(spark, tmp_path):
+    """A copyright line of any length above a notice doesn't hide it: the scan and its SQL over each known notice."""
+    import duckdb
+    import pandas as pd
+    from compare import rows
+
+    docs = []
+    for n, (_, notice) in enumerate(licenses.KNOWN_NOTICES):
+        for size in (1, 60, 400, 415, 1500, 5000):
+            holder = ("Holder of a long name " * 250)[:size]
+            docs.append((len(docs), f"int f(void);\n\n * Copyright (c) 2020 {holder}\n * {notice}\n\nint g{n}(void);"))
+    frame = pd.DataFrame(docs, columns=["doc_id", "text"])
+    con = duckdb.connect()
+    con.register("documents", frame)
+    got = licenses.license_scan(spark.createDataFrame(frame))
+    got = got.select("doc_id", "text_license", "n_notices", F.array_join("notices", ",").alias("notices")).toPandas()
+    assert rows(got) == rows(con.sql(licenses.oracle_sql()["op4_license_scan"]).df()) and (got["n_notices"] > 0).all()

@@ -154,10 +154,8 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     The digests of the text, its lines and its blocks are exploded and joined to the known ones, and only those found are grouped.
     """
     known = docs.sparkSession.createDataFrame(known_digests(), "digest string, license string")  # a constant table
-    longest = max(len(normalise(t).encode()) for _, t in KNOWN_NOTICES)
     rows = docs.select(F.col(key).alias("id"), F.monotonically_increasing_id().alias("row"), F.coalesce(text, F.lit("")).alias("text"))
-    likely = lambda x: x.rlike(LIKELY) & (F.octet_length(F.regexp_replace(x, NOT_LETTER, "")) <= longest)
-    notice = lambda units: F.transform(F.filter(units, likely), lambda x: F.struct(F.lit(1).alias("kind"), F.sha2(canonical(x), 256).alias("digest")))
+    notice = lambda units: F.transform(F.filter(units, lambda x: x.rlike(LIKELY)), lambda x: F.struct(F.lit(1).alias("kind"), F.sha2(canonical(x), 256).alias("digest")))
     blocks = F.filter(F.split("text", BLANK), lambda x: F.contains(F.btrim(x, F.lit("\n")), F.lit("\n")))
     whole = F.struct(F.lit(0).alias("kind"), F.sha2(canonical(F.col("text")), 256).alias("digest"))
     units = F.explode(F.concat(F.array(whole), notice(F.split("text", "\n")), notice(blocks)))
