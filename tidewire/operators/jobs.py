@@ -152,7 +152,8 @@ def ingest_batch(
     source_id, publisher_domain; duplicates: url. Ids of items and articles differ. Items older than 14 days are left out, as are
     those whose canonical URL or own URL is known. The others get a vector (a failed call leaves null, and the title decides) and are
     held in order of time against the articles published in the 72 hours before ``as_of`` and those just inserted of that time:
-    a match of another outlet is recorded as its duplicate, one of the same outlet is skipped, the rest are enriched.
+    a match of another outlet is recorded as its duplicate, one of the same outlet is skipped, the rest are enriched. The log has
+    the items seen, known by URL (pre_filtered), inserted and duplicate, and the highest impact.
     """
     c, now = F.col, F.lit(as_of).cast("timestamp")
     since = now - F.expr(f"INTERVAL {LOOK_BACK_HOURS} HOURS")
@@ -176,7 +177,8 @@ def ingest_batch(
     again = again.join(new.select("id", "source_id", "url", "publisher_domain"), "id")
     of = new.join(led, "id").groupBy("source_id").agg(*[F.count_if(c("status") == s).alias(f"items_{n}") for s, n in (("inserted", "new"), ("duplicate", "duplicate"))])
     impact = inserted.groupBy("source_id").agg(F.max("impact").alias("top_impact"))
-    seen = fresh.groupBy("source_id").agg(F.count("*").alias("items_seen"))
+    seen = fresh.groupBy("source_id").agg(F.count("*").alias("items_seen")).join(new.groupBy("source_id").agg(F.count("*").alias("left")), "source_id", "left")
+    seen = seen.select("source_id", "items_seen", (c("items_seen") - F.coalesce("left", F.lit(0))).alias("pre_filtered"))
     return inserted, again, seen.join(of, "source_id", "left").join(impact, "source_id", "left").na.fill(0)
 
 

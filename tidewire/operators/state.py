@@ -117,6 +117,7 @@ def reasons_from_json(stored: Column) -> Column:
 
 
 def cycle_summary(runs: DataFrame) -> DataFrame:
-    """One row for a polling cycle: sources polled, items inserted and duplicate, sources failed. runs: ok, items_new, items_duplicate."""
+    """One row for a polling cycle: sources polled, items inserted, duplicate and known by URL, sources failed. runs: ok, items_new,
+    items_duplicate, pre_filtered."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    return runs.agg(F.count("*").alias("polled"), total("items_new").alias("inserted"), total("items_duplicate").alias("duplicates"), F.count_if(~F.col("ok")).alias("failed"))
+    return runs.agg(F.count("*").alias("polled"), total("items_new").alias("inserted"), total("items_duplicate").alias("duplicates"), total("pre_filtered").alias("pre_filtered"), F.count_if(~F.col("ok")).alias("failed"))

@@ -220,9 +220,9 @@ def mark_all_read(spark: SparkSession, d: str) -> DataFrame:
     return text_times(st.mark_all_read(reads, view(spark, d, "articles"), 7, AS_OF), "read_at")
 
 
-@query("cycle_summary", ctes("ingest_runs") + "SELECT count(*) AS polled, CAST(sum(items_new) AS BIGINT) AS inserted, CAST(sum(items_new % 3) AS BIGINT) AS duplicates, count(*) FILTER (WHERE NOT ok) AS failed FROM ingest_runs")
+@query("cycle_summary", ctes("ingest_runs") + "SELECT count(*) AS polled, CAST(sum(items_new) AS BIGINT) AS inserted, CAST(sum(items_new % 3) AS BIGINT) AS duplicates, CAST(sum(items_new % 5) AS BIGINT) AS pre_filtered, count(*) FILTER (WHERE NOT ok) AS failed FROM ingest_runs")
 def cycle_summary(spark: SparkSession, d: str) -> DataFrame:
-    return st.cycle_summary(view(spark, d, "ingest_runs").withColumn("items_duplicate", F.col("items_new") % 3))
+    return st.cycle_summary(view(spark, d, "ingest_runs").withColumns({"items_duplicate": F.col("items_new") % 3, "pre_filtered": F.col("items_new") % 5}))
 
 
 @query("json_merge", ctes("sources") + "SELECT slug, '{\"managedBy\":\"user\"}' AS meta FROM sources")
