@@ -325,3 +325,63 @@ def test_cycle_without_vectors_and_held_rows_that_match_each_other(spark):
     assert log.where("source_id = 16").count() == 0 and log.agg(F.sum("items_seen")).head()[0] == 5
     none = J.ingest_batch(given.limit(0), held, known, str(now))
     assert [x.count() for x in none] == [0, 0, 0]
+
+
+def test_a_fatal_error_stops_a_tasks_calls(spark, tmp_path):
+    """One call after another until the fatal one, and none after it; the rows say which they are."""
+    from tidewire.functions.models import embed, llm_enrich
+
+    calls = tmp_path / "calls"
+
+    def fatal(texts):
+        with open(calls, "a") as f:
+            f.write("x")
+        if "3" in texts:
+            raise FatalModelError
+        return [[1.0] * 64 for _ in texts]
+
+    df = spark.range(10).select("id", F.col("id").cast("string").alias("text")).coalesce(1)
+    got = [r.status for r in embed(df, fatal, batch=1).orderBy("id").collect()]
+    assert got == ["ok"] * 3 + ["fatal"] + ["not tried"] * 6 and calls.read_text() == "xxxx"
+
+    def client(title, body):
+        if title == "2":
+            raise FatalModelError
+        return "{}"
+
+    out = llm_enrich(df.select("id", F.col("text").alias("title"), F.lit("").alias("summary")), client)
+    assert [r.status for r in out.orderBy("id").collect()] == ["ok"] * 2 + ["fatal"] + ["not tried"] * 7
+
+
+def test_model_queries_give_what_their_callables_say(spark, sf):
+    """embed, embed_backfill, llm_enrich, llm_run_totals and the applied results, against the callables in a loop."""
+    from tidewire.functions import models as M
+
+    q = catalog.queries()
+    a = view(spark, sf, "articles").select("id", "title", "summary", "category", X.embedding_text(F.col("title"), F.col("summary")).alias("t")).collect()
+    vector = {r.id: M.hashing_embedder([r.t or ""])[0] for r in a}
+    assert {(r.id, r.dims, r.status) for r in q["embed"](spark, sf).collect()} == {(k, 64 if v else -1, "ok" if v else "empty") if v else (k, None, "empty") for k, v in vector.items()}
+    held = {r.vec_id: (M.MODEL if r.vec_id % 3 else None) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    want = {k: m for k, m in held.items()} | {k: M.MODEL for k, v in vector.items() if v and held.get(k) != M.MODEL}
+    assert {r.id: r.model for r in q["embed_backfill"](spark, sf).collect()} == want
+    said = {r.id: M.heuristic_client(r.title or "", (r.summary or "")[:1500]) for r in a}
+    tokens = {r.id: (len(r.title or "") + len((r.summary or "")[:1500])) // 4 for r in a}
+    assert {(r.id, r.status, r.prompt_tokens, r.completion_tokens) for r in q["llm_enrich"](spark, sf).collect()} == {(k, "ok", tokens[k], len(s) // 4) for k, s in said.items()}
+    total = q["llm_run_totals"](spark, sf).head()
+    assert (total.prompt_tokens, total.completion_tokens, total.processed, total.failed) == (sum(tokens.values()), sum(len(s) // 4 for s in said.values()), len(a), 0)
+    assert {(r.id, r.category, r.enriched_by) for r in q["llm_enrich_apply"](spark, sf).collect()} == {(k, "other", "llm") for k in said}
+
+
+def test_meta_as_variant_is_stored_typed(spark, tmp_path):
+    from tidewire.operators.state import due_sources, managed_by_user, typed_meta
+
+    metas = ['{"managedBy":"user"}', '{"managedBy": "registry"}', '{"managedBy":{"user":1}}', "{}", "[1]", "no json", None]
+    df = spark.createDataFrame(list(enumerate(metas)), "id int, meta string")
+    want = {r.id: r.u for r in df.select("id", F.coalesce(F.get_json_object("meta", "$.managedBy") == "user", F.lit(False)).alias("u")).collect()}
+    df.select("id", typed_meta(F.col("meta")).alias("meta")).write.parquet(f"file://{tmp_path}/v")
+    stored = spark.read.parquet(f"file://{tmp_path}/v")
+    assert dict(stored.dtypes)["meta"] == "variant"
+    assert {r.id: r.u for r in stored.select("id", managed_by_user(F.col("meta")).alias("u")).collect()} == want == {k: k == 0 for k in range(7)}
+    assert {r.id for r in df.where(managed_by_user(F.col("meta"))).collect()} == {0}
+    s = spark.createDataFrame([("a", False, None, 30), ("b", True, None, 30)], "slug string, enabled boolean, last_polled_at timestamp, poll_minutes int")
+    assert [r.slug for r in due_sources(s, "2024-01-01").collect()] == ["b"] and [r.slug for r in due_sources(s, "2024-01-01", ["a"]).collect()] == ["a"]

@@ -17,6 +17,10 @@ DIMENSIONS = 64
 MODEL = "hash-64"
 
 
+class FatalModelError(Exception):
+    """The model can't answer any request: no further call makes sense."""
+
+
 def hashing_embedder(texts: list[str]) -> list[list[float] | None]:
     """Signed counts of hashed words, as a unit vector; None for a text without words."""
     out: list[list[float] | None] = []
@@ -31,15 +35,23 @@ def hashing_embedder(texts: list[str]) -> list[list[float] | None]:
 
 
 def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float] | None]] = hashing_embedder, dimensions: int = DIMENSIONS, batch: int = 64, key: str = "id", text: str = "text") -> DataFrame:
-    """(key, v, status): a vector of the wrong size or a failed batch is null, and the status says why."""
+    """(key, v, status): a vector of the wrong size or a failed batch is null, and the status says why. After a ``FatalModelError``
+    a task calls no more: the rows of that call are "fatal", those after it "not tried"."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        broken = False  # for all batches of the task
         for pdf in batches:
             for at in range(0, len(pdf), batch):
                 own = pdf.iloc[at : at + batch]
+                if broken:
+                    yield pd.DataFrame([(k, None, "not tried") for k in own["id"]], columns=["id", "v", "status"], dtype=object)
+                    continue
                 try:
                     got = embedder([t or "" for t in own["text"]])
                     rows_ = [(k, v if v is not None and len(v) == dimensions else None, "ok" if v is not None and len(v) == dimensions else "empty" if v is None else "wrong size") for k, v in zip(own["id"], got)]
+                except FatalModelError:
+                    broken = True
+                    rows_ = [(k, None, "fatal") for k in own["id"]]
                 except Exception as e:  # noqa: BLE001  a failed call leaves its rows without a vector
                     rows_ = [(k, None, f"failed: {type(e).__name__}") for k in own["id"]]
                 yield pd.DataFrame(rows_, columns=["id", "v", "status"], dtype=object)
@@ -56,16 +68,24 @@ def heuristic_client(title: str, body: str) -> str:
 
 
 def llm_enrich(rows: DataFrame, client: Callable[[str, str], str] = heuristic_client, body_chars: int = 1500) -> DataFrame:
-    """rows: id, title, summary. (id, raw, prompt_tokens, completion_tokens, status); a row that fails does not touch the others."""
+    """rows: id, title, summary. (id, raw, prompt_tokens, completion_tokens, status); a row that fails does not touch the others, but after
+    a ``FatalModelError`` a task calls no more."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        broken = False
         for pdf in batches:
             out = []
             for k, title, body in zip(pdf["id"], pdf["title"], pdf["summary"]):
                 title, body = title or "", (body or "")[:body_chars]
+                if broken:
+                    out.append((k, None, 0, 0, "not tried"))
+                    continue
                 try:
                     raw = client(title, body)
                     out.append((k, raw, (len(title) + len(body)) // 4, len(raw) // 4, "ok"))
+                except FatalModelError:
+                    broken = True
+                    out.append((k, None, 0, 0, "fatal"))
                 except Exception as e:  # noqa: BLE001
                     out.append((k, None, 0, 0, f"failed: {type(e).__name__}"))
             yield pd.DataFrame(out, columns=["id", "raw", "prompt_tokens", "completion_tokens", "status"], dtype=object)
@@ -73,10 +93,6 @@ def llm_enrich(rows: DataFrame, client: Callable[[str, str], str] = heuristic_cl
     return rows.select("id", "title", "summary").mapInPandas(run, "id long, raw string, prompt_tokens long, completion_tokens long, status string")
 
 
-class FatalModelError(Exception):
-    """The model can't answer any request: no further call makes sense."""
-
-
 def brief_writer(candidates: DataFrame, day: str, writer: Callable[[list[dict]], dict] | None, most: int = 25) -> DataFrame:
     """(day, title, body_markdown, article_ids) of the day's brief; no row without candidates.
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.operators.snapshots import Snapshots
+
 
 def insert_ignore(target: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The target with those incoming rows whose key isn't there; of equal incoming keys the first in order. Only rows that
@@ -25,40 +27,68 @@ def upsert_latest(target: DataFrame, incoming: DataFrame, keys: list[str], versi
     return best.select(*keys, *[F.col("v")[c].alias(c) for c in rest]).select(target.columns)
 
 
+def typed_meta(meta: Column) -> Column:
+    """A JSON text as VARIANT, to be stored typed; null where it is no JSON."""
+    return F.try_parse_json(meta)
+
+
+def managed_by_user(meta: Column) -> Column:
+    """Of a meta column as VARIANT or as JSON text (``typed_meta`` of it)."""
+    return F.coalesce(F.try_variant_get(F.try_parse_json(meta.cast("string")), "$.managedBy", "string") == "user", F.lit(False))
+
+
+def due_sources(sources: DataFrame, as_of: str, slugs: list[str] | None = None) -> DataFrame:
+    """Enabled sources that were never polled or not for their interval. A list of slugs overrides both: just these are polled."""
+    if slugs:
+        return sources.where(F.col("slug").isin(*slugs))
+    waited = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("last_polled_at")
+    return sources.where(F.col("enabled") & (F.col("last_polled_at").isNull() | (waited >= F.col("poll_minutes") * 60)))
+
+
+EDITED = ["name", "feed_url", "base_credibility", "poll_minutes", "org_slug"]
+
+
 def upsert_protected(current: DataFrame, registry: DataFrame, retired: DataFrame) -> DataFrame:
-    """Registry rows into sources: rows a user manages keep name, feed_url and base_credibility; retired slugs stay out."""
+    """Registry rows into sources: rows a user manages keep name, feed_url, url and base_credibility; kind,
+    category, org and poll interval are the registry's; retired slugs stay out."""
     new = registry.join(retired.select("slug"), "slug", "left_anti")
     both = current.alias("c").join(new.alias("n"), "slug", "full_outer")
-    user = F.coalesce(F.get_json_object("c.meta", "$.managedBy") == "user", F.lit(False))
+    user = managed_by_user(F.col("c.meta"))
     held = lambda c: F.when(user | F.col("n.kind").isNull(), F.col(f"c.{c}")).otherwise(F.col(f"n.{c}")).alias(c)
     taken = lambda c: F.when(F.col("n.kind").isNull(), F.col(f"c.{c}")).otherwise(F.col(f"n.{c}")).alias(c)
-    return both.select("slug", held("name"), held("feed_url"), held("base_credibility"), taken("kind"), taken("category"), taken("poll_minutes"), F.coalesce("c.meta", "n.meta").alias("meta"))
+    return both.select("slug", held("name"), held("feed_url"), held("url"), held("base_credibility"), taken("kind"), taken("category"), taken("org_slug"), taken("poll_minutes"), F.coalesce("c.meta", "n.meta").alias("meta"))
 
 
 def apply_source_changes(sources: DataFrame, changes: DataFrame) -> DataFrame:
-    """changes: source_id, seq, action (enable, disable, mute, unmute, reset, edit), name. The last of each column's actions wins."""
-    last = lambda *actions: F.max_by(F.struct("action", "at", "name"), F.when(F.col("action").isin(*actions), F.col("seq")))
+    """changes: source_id, seq, at, action (enable, disable, mute, unmute, reset, edit) and, for edits, name, feed_url, base_credibility,
+    poll_minutes and org_slug (a null org is none). The last of each column's actions wins; an edit marks the source as managed
+    by a user in its meta, whose other keys stay."""
+    last = lambda *actions: F.max_by(F.struct("action", "at", *EDITED), F.when(F.col("action").isin(*actions), F.col("seq")))
     c = changes.groupBy("source_id").agg(last("enable", "disable").alias("e"), last("enable", "reset").alias("r"), last("mute", "unmute").alias("m"), last("edit").alias("d"))
     out = sources.join(c, sources["id"] == c["source_id"], "left")
     turned = F.col("e.action")
     reason = F.when(turned == "disable", "turned off manually").when(turned == "enable", F.lit(None)).otherwise(F.col("disabled_reason"))
+    edited = F.col("d.action").isNotNull()
     return out.select(
-        "id", F.coalesce("d.name", sources["name"]).alias("name"), F.when(turned.isNotNull(), turned == "enable").otherwise(F.col("enabled")).alias("enabled"), reason.alias("disabled_reason"),
+        "id", *[F.when(edited, F.col(f"d.{c}")).otherwise(sources[c]).alias(c) for c in EDITED], F.when(turned.isNotNull(), turned == "enable").otherwise(F.col("enabled")).alias("enabled"), reason.alias("disabled_reason"),
         F.when(F.col("m.action") == "mute", F.col("m.at")).when(F.col("m.action") == "unmute", F.lit(None)).otherwise(F.col("muted_at")).alias("muted_at"),
         F.when(F.col("r.action").isNotNull(), F.lit(0)).otherwise(F.col("consecutive_failures")).cast("int").alias("consecutive_failures"),
-        F.when(F.col("d.action").isNotNull(), F.lit("user")).otherwise(F.get_json_object("meta", "$.managedBy")).alias("managed_by"),
+        F.when(edited, json_merge(F.col("meta"), "managedBy", "user")).otherwise(F.col("meta")).alias("meta"),
     )
 
 
-def cascade_delete(gone: DataFrame, tables: dict[str, tuple[DataFrame, str]]) -> dict[str, DataFrame]:
+def cascade_delete(gone: DataFrame, tables: dict[str, tuple[DataFrame, str]], tombstones: DataFrame | None = None) -> dict[str, DataFrame]:
     """tables: name -> (rows, the column that names the deleted key). What is left of each; articles must be named 'articles'
-    and tables keyed by article_id follow the articles."""
+    and tables keyed by article_id follow the articles. With tombstones (slug, name) the deleted sources' are added to them, under
+    'tombstones', so that the registry doesn't bring them back."""
     articles, by = tables["articles"]
     lost = articles.join(gone.select(F.col("id").alias(by)), by, "left_semi").select(F.col("id").alias("article_id"))
     out = {}
     for name, (rows, key) in tables.items():
         dead = lost if key == "article_id" else gone.select(F.col("id").alias(key))
         out[name] = rows.join(dead, key, "left_anti")
+    if tombstones is not None:
+        out["tombstones"] = insert_ignore(tombstones, gone.select("slug", "name"), ["slug"], [F.asc("name")])
     return out
 
 
@@ -99,6 +129,14 @@ def rebuild_since(derived: DataFrame, rebuilt: DataFrame, last_updated: str, sin
     return derived.where(F.col(last_updated) < F.lit(since).cast("timestamp")).unionByName(rebuilt)
 
 
+def rebuild_overwrite(store: Snapshots, name: str, rebuilt: DataFrame, last_updated: str, since: str) -> int:
+    """Put a rebuilt window into a stored table: worked out from its last version, written beside it, made visible by a new version.
+    Readers stay on the version before until then."""
+    base = store.state()
+    held = store.read(name, rebuilt.schema, base["version"] or None)
+    return store.commit(replace={name: rebuild_since(held, rebuilt, last_updated, since)}, base=base)
+
+
 def json_merge(meta: Column, key: str, value: str) -> Column:
     """A JSON object of texts with one key set."""
     held = F.coalesce(F.from_json(meta, "map<string,string>"), F.create_map().cast("map<string,string>"))

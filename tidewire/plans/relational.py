@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidewire.functions.stemmer import STOP_WORDS, lexeme
 from tidewire.operators import feed as fd
 from tidewire.operators import state as st
+from tidewire.operators.shared import new_folder
+from tidewire.operators.snapshots import Snapshots
 from tidewire.operators.stories import outlet
 from tidewire.plans.registry import query
 from tidewire.sources.views import AS_OF, ctes, view
@@ -157,8 +159,7 @@ def needs_embedding(spark: SparkSession, d: str) -> DataFrame:
 
 @query("due_sources", ctes("sources") + f"SELECT id, slug FROM sources WHERE enabled AND (last_polled_at IS NULL OR date_diff('second', last_polled_at, {NOW}) >= poll_minutes * 60)")
 def due_sources(spark: SparkSession, d: str) -> DataFrame:
-    waited = F.unix_timestamp(F.lit(AS_OF).cast("timestamp")) - F.unix_timestamp("last_polled_at")
-    return view(spark, d, "sources").where(F.col("enabled") & (F.col("last_polled_at").isNull() | (waited >= F.col("poll_minutes") * 60))).select("id", "slug")
+    return st.due_sources(view(spark, d, "sources"), AS_OF).select("id", "slug")
 
 
 @query("feed", ctes("articles", "sources", "labels_of_articles", "article_reads", "saved_articles") + """, found AS (SELECT a.*, s.name AS source_name FROM articles a JOIN sources s ON s.id = a.source_id WHERE s.muted_at IS NULL AND a.category IN ('model-launch', 'deal', 'policy') AND a.credibility >= 2
@@ -243,7 +244,10 @@ def rebuild_overwrite(spark: SparkSession, d: str) -> DataFrame:
     stories = view(spark, d, "articles").where("story_id IS NOT NULL").groupBy("story_id").agg(F.max("published_at").cast("timestamp").alias("last_updated"))
     since = "2024-01-24 00:00:00"
     rebuilt = stories.where(F.col("last_updated") >= F.lit(since).cast("timestamp")).withColumn("made", F.lit("new"))
-    return text_times(st.rebuild_since(stories.withColumn("made", F.lit("old")), rebuilt, "last_updated", since), "last_updated")
+    store = Snapshots(spark, new_folder(spark, "stories"))
+    store.commit(replace={"stories": stories.withColumn("made", F.lit("old"))})
+    st.rebuild_overwrite(store, "stories", rebuilt, "last_updated", since)
+    return text_times(store.read("stories", rebuilt.schema), "last_updated")
 
 
 @query("top_stories", ctes("articles") + "SELECT story_id, count(DISTINCT coalesce(publisher_domain, CAST(source_id AS VARCHAR))) AS source_count, CAST(max(published_at) AS VARCHAR) AS last_updated FROM articles WHERE story_id IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 10")
@@ -305,33 +309,39 @@ def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     return text_times(st.upsert_latest(state.where("user_id % 4 <> 0"), moved, ["user_id"], "last_seen_at"), "last_seen_at")
 
 
-@query("upsert_protected", ctes("sources") + """SELECT slug, CASE WHEN id % 6 = 0 AND id % 4 <> 3 OR id % 5 = 4 THEN name ELSE concat(name, ' (new)') END AS name, concat('https://', slug, CASE WHEN id % 6 = 0 AND id % 4 <> 3 OR id % 5 = 4 THEN '/old' ELSE '/new' END) AS feed_url,
+@query("upsert_protected", ctes("sources") + """SELECT slug, CASE WHEN id % 6 = 0 AND id % 4 <> 3 OR id % 5 = 4 THEN name ELSE concat(name, ' (new)') END AS name, concat('https://', slug, CASE WHEN id % 6 = 0 AND id % 4 <> 3 OR id % 5 = 4 THEN '/old' ELSE '/new' END) AS feed_url, concat('https://', slug, CASE WHEN id % 6 = 0 AND id % 4 <> 3 OR id % 5 = 4 THEN '/home' ELSE '/home/new' END) AS url, CASE WHEN id % 5 = 4 THEN org_slug ELSE concat('org', id % 3) END AS org_slug,
 CASE WHEN id % 6 = 0 AND id % 4 <> 3 OR id % 5 = 4 THEN base_credibility ELSE 5 END AS base_credibility, CASE WHEN id % 5 = 4 THEN kind ELSE 'rss' END AS kind, category, CASE WHEN id % 5 = 4 THEN poll_minutes ELSE 15 END AS poll_minutes, CASE WHEN id % 4 = 3 THEN '{}' ELSE meta END AS meta FROM sources WHERE NOT (id % 4 = 3 AND id % 5 = 4)""")
 def upsert_protected(spark: SparkSession, d: str) -> DataFrame:
     s = view(spark, d, "sources")
-    current = s.where("id % 4 <> 3").withColumn("feed_url", F.concat(F.lit("https://"), "slug", F.lit("/old")))
-    registry = s.select("slug", F.concat("name", F.lit(" (new)")).alias("name"), F.concat(F.lit("https://"), "slug", F.lit("/new")).alias("feed_url"), F.lit(5).alias("base_credibility"), F.lit("rss").alias("kind"), "category", F.lit(15).alias("poll_minutes"), F.lit("{}").alias("meta"))
+    at = lambda path: F.concat(F.lit("https://"), "slug", F.lit(path))
+    current = s.where("id % 4 <> 3").withColumns({"feed_url": at("/old"), "url": at("/home")})
+    registry = s.select("slug", F.concat("name", F.lit(" (new)")).alias("name"), at("/new").alias("feed_url"), at("/home/new").alias("url"), F.concat(F.lit("org"), (F.col("id") % 3).cast("string")).alias("org_slug"), F.lit(5).alias("base_credibility"), F.lit("rss").alias("kind"), "category", F.lit(15).alias("poll_minutes"), F.lit("{}").alias("meta"))
     return st.upsert_protected(current, registry, s.where("id % 5 = 4").select("slug"))
 
 
 @query("apply_source_changes", ctes("sources", "ingest_runs") + """, c AS (SELECT source_id, id AS seq, CASE id % 6 WHEN 0 THEN 'enable' WHEN 1 THEN 'disable' WHEN 2 THEN 'mute' WHEN 3 THEN 'unmute' WHEN 4 THEN 'reset' ELSE 'edit' END AS action, ran_at AS at_, concat('Renamed ', id) AS name FROM ingest_runs WHERE source_id % 4 <> 1 AND id % 11 < 3),
-e AS (SELECT source_id, arg_max(action, seq) AS action FROM c WHERE action IN ('enable', 'disable') GROUP BY 1), r AS (SELECT DISTINCT source_id FROM c WHERE action IN ('enable', 'reset')), m AS (SELECT source_id, arg_max(action, seq) AS action, arg_max(at_, seq) AS at_ FROM c WHERE action IN ('mute', 'unmute') GROUP BY 1), n AS (SELECT source_id, arg_max(name, seq) AS name FROM c WHERE action = 'edit' GROUP BY 1)
-SELECT s.id, coalesce(n.name, s.name) AS name, CASE WHEN e.action IS NOT NULL THEN e.action = 'enable' ELSE s.enabled END AS enabled, CASE e.action WHEN 'disable' THEN 'turned off manually' WHEN 'enable' THEN NULL ELSE 'old' END AS disabled_reason, CAST(CASE m.action WHEN 'mute' THEN m.at_ WHEN 'unmute' THEN NULL ELSE s.muted_at END AS VARCHAR) AS muted_at,
-CASE WHEN r.source_id IS NOT NULL THEN 0 ELSE 3 END AS consecutive_failures, CASE WHEN n.name IS NOT NULL OR s.meta LIKE '%user%' THEN 'user' END AS managed_by FROM sources s LEFT JOIN e ON e.source_id = s.id LEFT JOIN r ON r.source_id = s.id LEFT JOIN m ON m.source_id = s.id LEFT JOIN n ON n.source_id = s.id""")
+e AS (SELECT source_id, arg_max(action, seq) AS action FROM c WHERE action IN ('enable', 'disable') GROUP BY 1), r AS (SELECT DISTINCT source_id FROM c WHERE action IN ('enable', 'reset')), m AS (SELECT source_id, arg_max(action, seq) AS action, arg_max(at_, seq) AS at_ FROM c WHERE action IN ('mute', 'unmute') GROUP BY 1), n AS (SELECT source_id, arg_max(name, seq) AS name, max(seq) AS seq FROM c WHERE action = 'edit' GROUP BY 1)
+SELECT s.id, coalesce(n.name, s.name) AS name, CASE WHEN n.seq IS NOT NULL THEN concat('https://e.example.com/', n.seq) ELSE concat('https://f.example.com/', s.id) END AS feed_url, CASE WHEN n.seq IS NOT NULL THEN CAST(1 + n.seq % 5 AS INT) ELSE s.base_credibility END AS base_credibility, CASE WHEN n.seq IS NOT NULL THEN CAST(5 + n.seq % 60 AS INT) ELSE s.poll_minutes END AS poll_minutes,
+CASE WHEN n.seq IS NULL THEN s.org_slug WHEN n.seq % 2 = 0 THEN concat('org', n.seq % 9) END AS org_slug, CASE WHEN e.action IS NOT NULL THEN e.action = 'enable' ELSE s.enabled END AS enabled, CASE e.action WHEN 'disable' THEN 'turned off manually' WHEN 'enable' THEN NULL ELSE 'old' END AS disabled_reason, CAST(CASE m.action WHEN 'mute' THEN m.at_ WHEN 'unmute' THEN NULL ELSE s.muted_at END AS VARCHAR) AS muted_at,
+CASE WHEN r.source_id IS NOT NULL THEN 0 ELSE 3 END AS consecutive_failures, CASE WHEN n.name IS NOT NULL THEN '{"managedBy":"user"}' ELSE s.meta END AS meta FROM sources s LEFT JOIN e ON e.source_id = s.id LEFT JOIN r ON r.source_id = s.id LEFT JOIN m ON m.source_id = s.id LEFT JOIN n ON n.source_id = s.id""")
 def apply_source_changes(spark: SparkSession, d: str) -> DataFrame:
     runs = view(spark, d, "ingest_runs").where("source_id % 4 <> 1 AND id % 11 < 3")
     names = F.array(*map(F.lit, ["enable", "disable", "mute", "unmute", "reset", "edit"]))
-    changes = runs.select("source_id", F.col("id").alias("seq"), F.get(names, (F.col("id") % 6).cast("int")).alias("action"), F.col("ran_at").cast("timestamp").alias("at"), F.concat(F.lit("Renamed "), F.col("id").cast("string")).alias("name"))
-    s = view(spark, d, "sources").withColumns({"disabled_reason": F.lit("old"), "consecutive_failures": F.lit(3)})
+    changes = runs.select("source_id", F.col("id").alias("seq"), F.get(names, (F.col("id") % 6).cast("int")).alias("action"), F.col("ran_at").cast("timestamp").alias("at"), F.concat(F.lit("Renamed "), F.col("id").cast("string")).alias("name"),
+        F.concat(F.lit("https://e.example.com/"), F.col("id").cast("string")).alias("feed_url"), (1 + F.col("id") % 5).cast("int").alias("base_credibility"), (5 + F.col("id") % 60).cast("int").alias("poll_minutes"),
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit("org"), (F.col("id") % 9).cast("string"))).alias("org_slug"))
+    s = view(spark, d, "sources").withColumns({"disabled_reason": F.lit("old"), "consecutive_failures": F.lit(3), "feed_url": F.concat(F.lit("https://f.example.com/"), F.col("id").cast("string"))})
     return text_times(st.apply_source_changes(s, changes), "muted_at")
 
 
 @query("cascade_delete", ctes("sources", "articles", "article_reads", "saved_articles", "article_duplicates", "ingest_runs") + """, g AS (SELECT id FROM sources WHERE id % 5 = 2), dead AS (SELECT id FROM articles WHERE source_id IN (SELECT id FROM g))
 SELECT 'sources' AS name, count(*) AS n FROM sources WHERE id NOT IN (SELECT id FROM g) UNION ALL SELECT 'articles', count(*) FROM articles WHERE source_id NOT IN (SELECT id FROM g) UNION ALL SELECT 'ingest_runs', count(*) FROM ingest_runs WHERE source_id NOT IN (SELECT id FROM g)
-UNION ALL SELECT 'article_duplicates', count(*) FROM article_duplicates WHERE article_id NOT IN (SELECT id FROM dead) UNION ALL SELECT 'article_reads', count(*) FROM article_reads WHERE article_id NOT IN (SELECT id FROM dead) UNION ALL SELECT 'saved_articles', count(*) FROM saved_articles WHERE article_id NOT IN (SELECT id FROM dead)""")
+UNION ALL SELECT 'article_duplicates', count(*) FROM article_duplicates WHERE article_id NOT IN (SELECT id FROM dead) UNION ALL SELECT 'article_reads', count(*) FROM article_reads WHERE article_id NOT IN (SELECT id FROM dead) UNION ALL SELECT 'saved_articles', count(*) FROM saved_articles WHERE article_id NOT IN (SELECT id FROM dead)
+UNION ALL SELECT 'tombstones', count(*) FROM sources WHERE id % 5 = 2 OR id % 7 = 1""")
 def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
     keys = {"sources": "id", "articles": "source_id", "ingest_runs": "source_id", "article_duplicates": "article_id", "article_reads": "article_id", "saved_articles": "article_id"}
-    left = st.cascade_delete(view(spark, d, "sources").where("id % 5 = 2"), {n: (view(spark, d, n), k) for n, k in keys.items()})
+    s = view(spark, d, "sources")
+    left = st.cascade_delete(s.where("id % 5 = 2"), {n: (view(spark, d, n), k) for n, k in keys.items()}, s.where("id % 7 = 1").select("slug", "name"))
     counts = [df.agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n, df in left.items()]
     out = counts[0]
     for c in counts[1:]:
@@ -381,12 +391,6 @@ def classify_poll_error(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "ingest_runs").where("NOT ok").groupBy(poll_error_class(F.col("error")).alias("class")).agg(F.count("*").alias("n"))
 
 
-@query("score_movement", ctes("articles") + "SELECT credibility AS old, CAST(greatest(1, least(5, credibility + CASE WHEN corroboration_count >= 2 THEN 1 ELSE 0 END - CASE WHEN author IS NULL THEN 1 ELSE 0 END)) AS INT) AS new, count(*) AS n FROM articles GROUP BY 1, 2 HAVING old <> new")
-def score_movement(spark: SparkSession, d: str) -> DataFrame:
-    new = F.greatest(F.lit(1), F.least(F.lit(5), F.col("credibility") + (F.col("corroboration_count") >= 2).cast("int") - F.col("author").isNull().cast("int")))
-    return view(spark, d, "articles").select(F.col("credibility").alias("old"), new.alias("new")).where("old <> new").groupBy("old", "new").agg(F.count("*").alias("n"))
-
-
 DIGESTS = "SELECT CAST(published_at AS DATE) AS day, count(*) AS n, max(title) AS title FROM articles GROUP BY 1"
 
 

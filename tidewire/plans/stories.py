@@ -13,6 +13,8 @@ from tidewire.operators import feed as fd
 from tidewire.operators import jobs as J
 from tidewire.operators import similarity as S
 from tidewire.operators import stories as st
+from tidewire.operators import vectors as V
+from tidewire.operators.shared import new_folder
 from tidewire.plans.enrichment import CATEGORY, JOINED, MENTIONS, ORGS, PLAIN, RULES, TAGS, TOKENS, WEIGHT, model_titles, sql_any
 from tidewire.plans.registry import query
 from tidewire.plans.relational import CANDIDATES, DAY_END, text_times
@@ -43,6 +45,30 @@ def cosine_similarity_join(spark: SparkSession, d: str) -> DataFrame:
     return S.cosine_similarity_join(vectors(spark, d), 0.35, model="model").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+#: Each vector, and an echo of it without every eighth component, under an id of its own.
+ECHOES = """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings UNION ALL SELECT vec_id + 1000000000, list_transform(embedding::DOUBLE[], lambda x, i: CASE WHEN (i + vec_id) % 8 = 0 THEN 0.0 ELSE x END) FROM embeddings) """
+
+
+def echoes(spark: SparkSession, d: str) -> DataFrame:
+    v = vectors(spark, d).select("id", C("v").cast("array<double>").alias("v"))
+    echo = F.transform("v", lambda x, i: F.when((i + 1 + C("id")) % 8 == 0, F.lit(0.0)).otherwise(x))
+    return v.unionByName(v.select((C("id") + 1_000_000_000).alias("id"), echo.alias("v")))
+
+
+@query("cosine_join_approximate", ECHOES + "SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM e a JOIN e b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.8")
+def cosine_join_approximate(spark: SparkSession, d: str) -> DataFrame:
+    """Hyperplane tables, with a share of one in ten thousand that may be missed at the bound itself."""
+    return V.cosine_join_approximate(echoes(spark, d), 0.8, found=0.9999).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query("nearest_article", ECHOES + "SELECT a.id, arg_min(b.id, (-list_cosine_similarity(a.v, b.v), b.id)) AS nearest, round(max(list_cosine_similarity(a.v, b.v)), 5) AS similarity FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 100 = 0 GROUP BY 1")
+def nearest_article(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest row of those whose id is divisible by 100, against all rows."""
+    v = echoes(spark, d).withColumns({"at": C("id"), "since": F.lit(None).cast("long")})
+    index = V.build_nearest(v, new_folder(spark, "nearest"), wanted=1.0)
+    return V.nearest(index, v.where("id % 100 = 0")).select("id", "nearest", F.round("similarity", 5).alias("similarity"))
+
+
 @query("dedup_leader")
 def dedup_leader(spark: SparkSession, d: str) -> DataFrame:
     return J.dedup_leader(with_vectors(spark, d), vector_threshold=0.35)
@@ -101,10 +127,11 @@ OUTLETS = """outs AS (SELECT story_id, count(DISTINCT o) AS outlets FROM (SELECT
 UNION SELECT a.story_id, coalesce(x.publisher_domain, CAST(x.source_id AS VARCHAR)) FROM article_duplicates x JOIN articles a ON a.id = x.article_id WHERE a.story_id IS NOT NULL) GROUP BY 1) """
 
 
-@query("apply_corroboration", ctes("articles", "article_duplicates").rstrip() + ", " + OUTLETS + "SELECT a.id, CAST(greatest(a.corroboration_count, o.outlets - 1) AS INT) AS corroboration_count, CAST(greatest(1, least(5, a.credibility + CASE WHEN greatest(a.corroboration_count, o.outlets - 1) >= 2 THEN 1 ELSE 0 END)) AS INT) AS rescored FROM articles a JOIN outs o USING (story_id)")
+@query("apply_corroboration", ctes("articles", "sources", "article_duplicates").rstrip() + ", " + OUTLETS + "SELECT a.id, CAST(greatest(a.corroboration_count, o.outlets - 1) AS INT) AS corroboration_count, CAST(greatest(1, least(5, CASE WHEN a.publisher_domain IS NOT NULL THEN 3 ELSE s.base_credibility END - " + HEDGED.replace("title", "a.title").replace("summary", "a.summary") + " + CASE WHEN greatest(a.corroboration_count, o.outlets - 1) >= 2 THEN 1 ELSE 0 END)) AS INT) AS rescored FROM articles a JOIN outs o USING (story_id) JOIN sources s ON s.id = a.source_id")
 def apply_corroboration(spark: SparkSession, d: str) -> DataFrame:
     a = view(spark, d, "articles").where("story_id IS NOT NULL")
-    score = F.greatest(F.lit(1), F.least(F.lit(5), C("credibility") + F.when(C("corroboration_count") >= 2, 1).otherwise(0)))
+    a = a.join(view(spark, d, "sources").select(C("id").alias("source_id"), "base_credibility"), "source_id")
+    score = R.score_credibility(title=C("title"), summary=C("summary"), url=C("url"), base=C("base_credibility"), publisher=C("publisher_domain"), author=C("author"), has_date=F.lit(True), corroboration=C("corroboration_count"))["score"]
     return J.apply_corroboration(a, st.story_outlets(a, view(spark, d, "article_duplicates")), score).select("id", "corroboration_count", "rescored")
 
 
@@ -129,6 +156,12 @@ def rescore(spark: SparkSession, d: str) -> DataFrame:
     return a.select("id", C("credibility").alias("old"), new["score"].alias("new")).where("old <> new")
 
 
+@query("score_movement", f"SELECT old, new, count(*) AS n FROM ({RESCORED}) GROUP BY 1, 2")
+def score_movement(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows moved from which score to which in a rescoring."""
+    return rescore(spark, d).groupBy("old", "new").agg(F.count("*").alias("n"))
+
+
 def radar_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     s = view(spark, d, "sources").select(C("id").alias("source_id"), "kind")
     a = model_titles(spark, d).join(s, "source_id")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import text as X
 from tidewire.functions import web as W
+from tidewire.operators.shared import stage
 
 BODY = 4000
 RSS = """channel struct<item: array<struct<title: string, link: string, `content:encoded`: string, description: string, pubDate: string, `dc:creator`: string, author: string, `arxiv:announce_type`: string, source: struct<_VALUE: string, _url: string>>>>,
@@ -124,7 +125,10 @@ def route_payloads(payloads: DataFrame) -> DataFrame:
 
 
 def probe_feed(payloads: DataFrame) -> DataFrame:
-    """For each payload's source: how many items it gives, the first title, the newest date; no items is not ok."""
-    items = route_payloads(payloads).groupBy("source_id").agg(F.count("*").alias("item_count"), F.min_by("title", "position").alias("sample_title"), F.max("published_at").alias("newest_at"))
-    out = payloads.select("source_id", "kind").distinct().join(items, "source_id", "left")
-    return out.select("source_id", "kind", F.coalesce("item_count", F.lit(0)).cast("long").alias("item_count"), "sample_title", "newest_at", F.col("item_count").isNotNull().alias("ok"))
+    """For each payload: how many items it gives, the first title, the newest date; no items is not ok. Every payload is parsed as
+    a source of its own, so one that gives nothing is seen beside full ones of its source."""
+    numbered = stage(payloads.withColumn("payload", F.monotonically_increasing_id()))
+    own = numbered.drop("source_id").withColumnRenamed("payload", "source_id")
+    items = route_payloads(own).groupBy(F.col("source_id").alias("payload")).agg(F.count("*").alias("item_count"), F.min_by("title", "position").alias("sample_title"), F.max("published_at").alias("newest_at"))
+    out = numbered.join(items, "payload", "left")
+    return out.select("source_id", "feed_url", "fetched_at", "kind", F.coalesce("item_count", F.lit(0)).cast("long").alias("item_count"), "sample_title", "newest_at", F.col("item_count").isNotNull().alias("ok"))
