@@ -99,3 +99,11 @@ def ascii_lower(text: Column) -> Column:
 def input_parts(df: DataFrame) -> int:
     """Partitions that grow with the input: its splits, but no fewer than the session deals to."""
     return max(df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned crc32 of an ASCII text in DuckDB's SQL, bit by bit."""
+    bit = "CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END"
+    byte = f"list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda a, z: {bit})"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {byte}), 4294967295)"

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import frame, staged, table
+from tidewire.llm.common import crc32_sql, frame, staged, table
 
 NONE, SYSTEM, USER, ASSISTANT = range(4)
 STATES = range(4)
@@ -299,3 +299,35 @@ def repaired(conversations: DataFrame, *, damage: bool = True, rows_of_part: int
 
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired(table(spark, sf_dir, "conversations"))
+
+
+def oracle_sql() -> dict[str, str]:
+    """The plain pass over each conversation: for each state the cheapest, then least edits so far, row after row."""
+    names = {USER: "user", ASSISTANT: "assistant"}
+    moves = []
+    for kind, edits in EDITS.items():
+        for (s, t), (cost, piece) in edits.items():
+            state, lines = s, ""
+            for _ in range(piece.count("I")):
+                state = SPOKEN[state]
+                lines += f"{names[state]}:|"
+            moves.append(f"('{kind}', {s}, {t}, {cost}, '{piece}', '{lines}', '{names[SPOKEN[state]]}')")
+    bare = "rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+    spaced = lambda x: f"coalesce({x}::VARCHAR, ' ')"
+    code = crc32_sql("k")
+    sql = f"""WITH RECURSIVE moves(kind, s, t, cost, piece, ins, speaker) AS (VALUES {", ".join(moves)}),
+g AS (SELECT conv_id, turn, {spaced("role")} AS role, {spaced("text")} AS text, concat({spaced("conv_id")}, ':', {spaced("turn")}) AS k FROM conversations),
+c AS MATERIALIZED (SELECT *, {code} % 20 AS code FROM g),
+d AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN code = 3 THEN [0, 1] ELSE [0] END) AS copy FROM c WHERE code <> 0),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos FROM d),
+f AS MATERIALIZED (SELECT *, CASE WHEN {bare} = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate' WHEN right({bare}, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault, CASE WHEN substr(role, 1, 1) IN ('s', 'u', 'a') THEN substr(role, 1, 1) ELSE 'x' END AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS prior FROM n),
+w(conv_id, pos, state, best) AS (SELECT DISTINCT conv_id, 0::BIGINT, 0, {{'cost': 0, 'audit': '', 'lines': []::VARCHAR[]}} FROM f UNION ALL
+  SELECT w.conv_id, w.pos + 1, m.t, min({{'cost': w.best.cost + m.cost, 'audit': w.best.audit || m.piece, 'lines': list_concat(list_concat(w.best.lines, list_filter(string_split(m.ins, '|'), lambda x: x <> '')), CASE right(m.piece, 1) WHEN 'K' THEN [concat(f.role, ':', f.text)] WHEN 'R' THEN [concat(m.speaker, ':', f.text)] ELSE []::VARCHAR[] END)}})
+  FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.pos = w.pos + 1 JOIN moves m ON m.s = w.state AND m.kind = CASE WHEN f.fault IN ('blank', 'duplicate') THEN '-' WHEN f.fault = 'truncated' THEN upper(f.initial) ELSE f.initial END GROUP BY 1, 2, 3),
+t AS (SELECT conv_id, turn IS NULL AS no_turn, turn, count(*) FILTER (fault = 'blank') OVER x AS blank, count(*) FILTER (fault = 'duplicate') OVER x AS duplicate, count(*) FILTER (fault = 'truncated') OVER x AS truncated, count(*) FILTER (prior IS NOT NULL AND concat(prior, substr(role, 1, 1)) NOT IN ('su', 'ua', 'au')) OVER x AS illegal, count(*) OVER x AS len FROM f WINDOW x AS (PARTITION BY conv_id)),
+told AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, any_value(blank) AS blank, any_value(duplicate) AS duplicate, any_value(truncated) AS truncated, any_value(illegal) AS illegal, any_value(len) AS len FROM t GROUP BY 1),
+e AS (SELECT w.conv_id, min({{'cost': w.best.cost + CASE w.state WHEN 2 THEN 3 WHEN 1 THEN 6 ELSE 0 END, 'audit': w.best.audit || CASE w.state WHEN 2 THEN 'I' WHEN 1 THEN 'II' ELSE '' END, 'lines': list_concat(w.best.lines, CASE w.state WHEN 2 THEN ['assistant:'] WHEN 1 THEN ['user:', 'assistant:'] ELSE []::VARCHAR[] END)}}) AS best
+  FROM w JOIN told ON told.conv_id IS NOT DISTINCT FROM w.conv_id AND told.len = w.pos GROUP BY 1)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(e.best.cost, 0)::BIGINT AS cost, coalesce(e.best.audit, '') AS audit, sha256(coalesce(array_to_string(e.best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
+    return {"op13_conversation_repair": sql}

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import ascii_lower, staged, table
+from tidewire.llm.common import ascii_lower, crc32_sql, staged, table
 
 FAN = 16
 
@@ -162,3 +162,26 @@ def manifest(docs: DataFrame, key: str = "doc_id", group: str = "source", fields
 
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
+
+
+def oracle_sql() -> dict[str, str]:
+    field = lambda x: f"coalesce(concat(strlen({x}::VARCHAR), ':', {x}::VARCHAR), '-')"  # noqa: E731  bytes, not code points
+    leaf = lambda text: "sha256(concat(" + ", ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + "))"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    grow = lambda name, leaves: f"""{name}(level, g, i, n, h) AS ({leaves} UNION ALL
+  SELECT level + 1, g, i // 16, any_value((n + 15) // 16), sha256(string_agg(h, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY level, g, i // 16)"""
+    sql = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, coalesce('=' || source, '') AS g, {leaf("text")} AS leaf, CASE WHEN {crc32_sql("doc_id::VARCHAR")} % 5 = 0 THEN {leaf(low)} ELSE {leaf("text")} END AS own FROM documents),
+p AS MATERIALIZED (SELECT row_number() OVER () AS r, *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS slot, count(*) OVER (PARTITION BY g) AS n FROM d),
+{grow("lower_", "SELECT 0, g, slot, n, leaf FROM p")},
+subs AS MATERIALIZED (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS slot, count(*) OVER () AS n FROM lower_ WHERE n = 1),
+{grow("upper_", "SELECT 0, '', slot, n, h FROM subs")},
+steps AS MATERIALIZED (SELECT p.r, 100 * 0 + l.level AS step, string_agg(l.h, '' ORDER BY l.i) FILTER (l.i < p.slot // power(16, l.level)::BIGINT) AS lo, string_agg(l.h, '' ORDER BY l.i) FILTER (l.i > p.slot // power(16, l.level)::BIGINT) AS hi
+  FROM p JOIN lower_ l ON l.g = p.g AND l.n > 1 AND l.i // 16 = p.slot // power(16, l.level + 1)::BIGINT GROUP BY 1, 2
+  UNION ALL SELECT p.r, 100 + l.level, string_agg(l.h, '' ORDER BY l.i) FILTER (l.i < s.slot // power(16, l.level)::BIGINT), string_agg(l.h, '' ORDER BY l.i) FILTER (l.i > s.slot // power(16, l.level)::BIGINT)
+  FROM p JOIN subs s ON s.g = p.g JOIN upper_ l ON l.n > 1 AND l.i // 16 = s.slot // power(16, l.level + 1)::BIGINT GROUP BY 1, 2),
+placed AS MATERIALIZED (SELECT r, row_number() OVER (PARTITION BY r ORDER BY step) AS k, coalesce(lo, '') AS lo, coalesce(hi, '') AS hi FROM steps),
+fold(r, k, node) AS (SELECT r, 0, own FROM p UNION ALL SELECT f.r, f.k + 1, sha256(concat(s.lo, f.node, s.hi)) FROM fold f JOIN placed s ON s.r = f.r AND s.k = f.k + 1),
+ends AS (SELECT r, arg_max(node, k) AS folded FROM fold GROUP BY 1), proofs AS (SELECT r, sha256(string_agg(concat(lo, hi), '' ORDER BY k)) AS proof FROM placed GROUP BY 1), root AS (SELECT h FROM upper_ WHERE n = 1)
+SELECT p.doc_id, p.leaf, subs.h AS subroot, root.h AS root, coalesce(proofs.proof, sha256('')) AS proof_sha256, ends.folded AS folded_root, ends.folded = root.h AS verified
+FROM p JOIN subs USING (g) JOIN ends USING (r) LEFT JOIN proofs USING (r), root"""
+    return {"op12_manifest": sql}

@@ -31,4 +31,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return quality_rules.oracle_sql() | licenses.oracle_sql() | decontamination.oracle_sql() | warc.oracle_sql() | embedding_dedup.oracle_sql()
+    return quality_rules.oracle_sql() | licenses.oracle_sql() | decontamination.oracle_sql() | warc.oracle_sql() | embedding_dedup.oracle_sql() | manifest.oracle_sql() | conversations.oracle_sql()
