@@ -5,6 +5,7 @@ from contextlib import contextmanager
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 from tidewire.operators.snapshots import Snapshots, StaleVersion
 from tidewire.streaming import cycle as C
 from tidewire.streaming.jobs import read_files
@@ -188,3 +189,18 @@ def test_sources_are_switched_off_with_their_reason(spark):
     polls = spark.createDataFrame([(1, False, "HTTP 404"), (2, True, None), (5, False, "new")], "source_id int, ok boolean, error string")
     got = {r.source_id: (r.consecutive_failures, r.enabled, r.disabled_reason) for r in C.source_state(held, polls, "2024-01-02", 2).collect()}
     assert got == {1: (2, False, "2 consecutive failures: HTTP 404"), 2: (0, True, None), 3: (0, False, "turned off manually"), 5: (1, True, None)}
+
+
+def test_clusters_are_made_anew_in_one_version(spark, tmp_path):
+    """Stories of the window are replaced, older ones stay; members gain what their story's outlets corroborate."""
+    store = Snapshots(spark, f"file://{tmp_path}/s")
+    rows = [item(k, t, k, 24 * day, 24 * 20, publisher=f"p{k}.example.com") for k, t, day in ((1, "alpha bravo charlie delta", 1), (2, "alpha bravo charlie delta echo", 12), (3, "alpha bravo charlie delta foxtrot", 13), (4, "kilo lima mike", 13), (5, "alpha bravo charlie delta golf", 14))]
+    made = spark.createDataFrame(rows, ITEMS).withColumns({"canonical_url": F.col("url"), "summary": F.lit(None).cast("string"), "category": F.lit("deal"), "credibility": F.lit(3), "impact": F.col("id").cast("int"), "corroboration_count": F.lit(0)})
+    old = spark.createDataFrame([(900, "old", START)], "story_id long, headline string, last_updated timestamp")
+    stale = spark.createDataFrame([(901, "stale", START + datetime.timedelta(days=13))], old.schema)
+    store.commit({"articles": C.as_of_schema(made, C.ARTICLES), "members": spark.createDataFrame([(1, 900), (4, 901)], C.MEMBERS), "stories": C.as_of_schema(old.unionByName(stale), C.STORIES)})
+    C.run_clusters(store, "2024-01-16 00:00:00")
+    assert store.versions() == [1, 2]
+    assert {r.id: (r.story_id, r.corroboration_count, r.credibility) for r in C.read_articles(store).collect()} == {1: (900, 0, 3), 2: (2, 2, 4), 3: (2, 2, 4), 4: (None, 0, 3), 5: (2, 2, 4)}
+    told = {r.story_id: (r.headline, r.article_count, r.source_count, r.clustered_by) for r in store.read("stories", C.STORIES).collect()}
+    assert told == {900: ("old", None, None, None), 2: ("alpha bravo charlie delta golf", 3, 3, "title")}

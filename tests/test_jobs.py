@@ -385,3 +385,37 @@ def test_meta_as_variant_is_stored_typed(spark, tmp_path):
     assert {r.id for r in df.where(managed_by_user(F.col("meta"))).collect()} == {0}
     s = spark.createDataFrame([("a", False, None, 30), ("b", True, None, 30)], "slug string, enabled boolean, last_polled_at timestamp, poll_minutes int")
     assert [r.slug for r in due_sources(s, "2024-01-01").collect()] == ["b"] and [r.slug for r in due_sources(s, "2024-01-01", ["a"]).collect()] == ["a"]
+
+
+def test_cluster_cycle_equals_a_loop(spark, sf):
+    """Story rows, outlets, centroids and the scores that follow, from the groups of the loop."""
+    from tidewire.plans.relational import with_labels
+
+    s = view(spark, sf, "sources").select(F.col("id").alias("source_id"), "base_credibility")
+    a = with_labels(spark, sf).join(s, "source_id").drop("story_id").join(with_vectors(spark, sf).select("id", "v", "model"), "id")
+    twice = view(spark, sf, "article_duplicates")
+    out = J.cluster_cycle(a, twice, "2024-01-31 00:00:00", days=28, vector_threshold=0.35)
+    recent = with_vectors(spark, sf).where("published_at >= TIMESTAMP '2024-01-03 00:00:00'")
+    groups = {}
+    for k, g in first_fit(by_time(recent)).items():
+        if g is not None:
+            groups.setdefault(g, []).append(k)
+    assert {r.id: r.story_id for r in out["members"].collect()} == {k: g for g, own in groups.items() for k in own}
+    row = {r.id: r for r in a.collect()}
+    folded = collections.defaultdict(set)
+    for r in twice.collect():
+        folded[r.article_id].add(r.publisher_domain or str(r.source_id))
+    got, grown = {r.story_id: r for r in out["stories"].collect()}, {}
+    assert set(got) == set(groups) and got
+    for g, own in groups.items():
+        members = sorted((row[k] for k in own), key=lambda r: (r.published_at, r.id))
+        lead = min(members, key=lambda r: (-r.credibility, -r.published_at.timestamp(), members.index(r)))
+        outlets = {m.publisher_domain or str(m.source_id) for m in members}.union(*[folded[m.id] for m in members])
+        vs = [np.array(m.v, float) for m in members if m.v is not None]
+        r = got[g]
+        assert (r.headline, r.category, r.article_count, r.source_count, r.top_credibility, r.max_impact) == (lead.title, lead.category, len(own), len(outlets), max(m.credibility for m in members), max(m.impact for m in members))
+        assert (r.first_seen, r.last_updated) == (members[0].published_at, members[-1].published_at) and r.clustered_by == ("embedding" if any(m.v is not None for m in members[1:]) else "title")
+        assert set(r.org_slugs) == {o for m in members for o in m.org_slugs} and len(r.tags) <= 12
+        assert (r.centroid is None) == (not vs) and (not vs or np.allclose(r.centroid, sum(vs) / len(vs)))
+        grown |= {m.id: len(outlets) - 1 for m in members if len(outlets) - 1 > m.corroboration_count}
+    assert {r.id: r.corroboration_count for r in out["scores"].collect()} == grown and grown

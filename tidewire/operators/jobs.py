@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import models as M
@@ -13,6 +13,7 @@ from tidewire.functions import text as X
 from tidewire.functions import web as W
 from tidewire.operators.shared import stage
 from tidewire.operators.state import anti_already_seen
+from tidewire.operators.stories import centroid, story_aggregate, story_outlets
 from tidewire.operators.similarity import components, cosine_similarity_join, leader_pass, ordered_pass, title_similarity_join, token_classes
 
 SNIPPET = 400
@@ -197,6 +198,46 @@ def recompute_corroboration(articles: DataFrame, duplicates: DataFrame, outlets:
     return out.select("id", F.greatest(F.coalesce("n", F.lit(0)), F.coalesce(F.col("outlets") - 1, F.lit(0))).alias("corroboration_count"))
 
 
+def cluster_cycle(articles: DataFrame, duplicates: DataFrame, as_of: str, days: int = STORY_DAYS, **how) -> dict[str, DataFrame]:
+    """Stories of the days before ``as_of``, made anew: {members: id, story_id; stories; scores}, for the caller to write.
+
+    articles: id, title, summary, url, author, publisher_domain, source_id, base_credibility, published_at, category, credibility,
+    impact, corroboration_count, org_slugs, tags, v, model; duplicates: article_id, source_id, publisher_domain. A story is
+    named by its first member; its headline, summary and category are the lead's, its sources the outlets of its members and of the
+    duplicates recorded for them, its centroid the mean of its vectors, and it was clustered by embedding if a member after the
+    first has one. scores has the members whose corroboration grows (outlets less one) and their credibility with it.
+    """
+    c = F.col
+    grouped = cluster_stories(articles, as_of=as_of, days=days, **how).where("story IS NOT NULL").select("id", c("story").alias("story_id"))
+    grouped = stage(grouped)
+    seq = F.row_number().over(Window.partitionBy("story_id").orderBy("published_at", "id"))
+    members = stage(articles.drop("story_id").join(grouped, "id").withColumn("seq", seq))
+    outlets = stage(story_outlets(members, duplicates))
+
+    told = story_aggregate(members)
+    lead = members.select(c("id").alias("lead_id"), "summary")
+    vectors = centroid(members, "story_id", "v", "seq")
+    used = members.groupBy("story_id").agg(F.bool_or((c("seq") > 1) & c("v").isNotNull()).alias("used"), F.max("model").alias("model"))
+    stories = told.join(lead, "lead_id").join(outlets.withColumnRenamed("outlets", "source_count"), "story_id").join(used, "story_id").join(vectors, "story_id", "left")
+    by = F.when(c("used"), "embedding").otherwise("title")
+    stories = stories.select(
+        "story_id", "headline", "summary", "category", "first_seen", "last_updated", "article_count", "source_count", c("credibility").alias("top_credibility"), c("impact").alias("max_impact"),
+        "org_slugs", "tags", "centroid", F.when(c("centroid").isNotNull(), c("model")).alias("embedding_model"), by.alias("clustered_by"),
+    )
+
+    grown = members.join(outlets, "story_id").withColumn("n", (c("outlets") - 1).cast("int")).where(c("n") > F.coalesce("corroboration_count", F.lit(0)))
+    scored = score_credibility_of(c("n"))
+    grown = grown.withColumn("scored", scored)
+    scores = grown.select("id", c("n").alias("corroboration_count"), c("scored.score").alias("credibility"), c("scored.reasons").alias("reasons"), c("scored.is_rumour").alias("is_rumour"))
+    return {"members": grouped, "stories": stories, "scores": scores}
+
+
+def score_credibility_of(corroboration: Column) -> Column:
+    """The score of articles (title, summary, url, base_credibility, publisher_domain, author) with a count of corroboration."""
+    c = F.col
+    return R.score_credibility(title=c("title"), summary=c("summary"), url=c("url"), base=c("base_credibility"), publisher=c("publisher_domain"), author=c("author"), has_date=F.lit(True), corroboration=corroboration)
+
+
 def claim_from_reasons(reasons: Column) -> Column:
     """What the model had judged, from the rule that it left."""
     found = F.filter(reasons, lambda r: r["rule"].isin("llm-unconfirmed", "llm-confirmed"))

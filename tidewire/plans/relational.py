@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.stemmer import STOP_WORDS, lexeme
 from tidewire.operators import feed as fd
+from tidewire.operators import sketches as K
 from tidewire.operators import state as st
 from tidewire.operators.shared import new_folder
 from tidewire.operators.snapshots import Snapshots
@@ -58,6 +59,27 @@ def facet_top_n(spark: SparkSession, d: str) -> DataFrame:
     return rail("org", "org_slug", 16).unionByName(rail("tag", "tag", 22))
 
 
+@query("facet_tag_approximate", ctes("articles", "labels_of_articles") + "SELECT tag, count(*) AS n FROM labels_of_articles l JOIN articles a ON a.id = l.article_id WHERE a.published_at >= TIMESTAMP '2024-01-05 00:00:00' AND a.published_at < TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1 ORDER BY n DESC, tag LIMIT 30")
+def facet_tag_approximate(spark: SparkSession, d: str) -> DataFrame:
+    """The most frequent tags of fifteen days from the days' sketches, which hold all of the few tags."""
+    return K.most_frequent(K.days(spark, day_sketches(spark, d), "2024-01-05", "2024-01-20"), 30).select(F.col("value").alias("tag"), "n")
+
+
+@query("outlet_count_approximate", ctes("articles") + "SELECT source_id % 4 AS g, count(DISTINCT coalesce(publisher_domain, CAST(source_id AS VARCHAR))) AS outlets FROM articles WHERE published_at >= TIMESTAMP '2024-01-05 00:00:00' AND published_at < TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1")
+def outlet_count_approximate(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct outlets of groups of sources over the same days; sketches of few values are exact."""
+    own = K.days(spark, day_sketches(spark, d), "2024-01-05", "2024-01-20")
+    return K.distinct_counts(own, ["g"]).select("g", F.col("n").alias("outlets"))
+
+
+def day_sketches(spark: SparkSession, d: str) -> str:
+    a = view(spark, d, "articles").select("id", "published_at", (F.col("source_id") % 4).alias("g"), outlet().alias("outlet"))
+    rows = a.join(view(spark, d, "labels_of_articles").select(F.col("article_id").alias("id"), "tag"), "id")
+    folder = new_folder(spark, "day-sketches")
+    K.write_days(rows, folder, "published_at", "tag", "outlet", ["g"])
+    return folder
+
+
 @query("facet_source", ctes("articles", "sources") + "SELECT s.slug, s.name, count(a.id) AS n FROM sources s LEFT JOIN articles a ON a.source_id = s.id WHERE s.muted_at IS NULL GROUP BY 1, 2 HAVING count(a.id) > 0")
 def facet_source(spark: SparkSession, d: str) -> DataFrame:
     return fd.facet_source(view(spark, d, "articles"), view(spark, d, "sources"))

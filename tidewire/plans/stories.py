@@ -79,6 +79,20 @@ def cluster_stories(spark: SparkSession, d: str) -> DataFrame:
     return J.cluster_stories(with_vectors(spark, d), vector_threshold=0.35, as_of=AS_OF)
 
 
+@query("cluster_cycle")
+def cluster_cycle(spark: SparkSession, d: str) -> DataFrame:
+    """The story rows of the month before AS_OF, with how many of their members gain in score."""
+    from tidewire.plans.relational import with_labels
+
+    s = view(spark, d, "sources").select(C("id").alias("source_id"), "base_credibility")
+    a = with_labels(spark, d).join(s, "source_id").join(vectors(spark, d), "id", "left")
+    out = J.cluster_cycle(a, view(spark, d, "article_duplicates"), AS_OF, days=31, vector_threshold=0.35)
+    grown = out["members"].join(out["scores"].select("id"), "id").groupBy("story_id").agg(F.count("*").alias("n_rescored"))
+    rows = out["stories"].join(grown, "story_id", "left").na.fill(0, ["n_rescored"])
+    rows = rows.withColumns({"org_slugs": F.array_join("org_slugs", ","), "tags": F.array_join("tags", ","), "centroid": F.size("centroid")})
+    return text_times(rows, "first_seen", "last_updated")
+
+
 @query("story_components", ctes("articles").rstrip() + ", " + CLASSES + """, e AS (SELECT x.id AS a, y.id AS b FROM k x JOIN k y ON x.id <> y.id WHERE len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) >= 0.42)
 SELECT id, component FROM (WITH RECURSIVE r(id, root) USING KEY (id) AS (SELECT id, id FROM k UNION (SELECT e.b, min(r.root) FROM r JOIN e ON e.a = r.id JOIN recurring.r AS c ON c.id = e.b WHERE r.root < c.root GROUP BY e.b)) SELECT t.id, r.root AS component FROM r JOIN k ON k.id = r.id JOIN t ON t.t = k.t)""")
 def story_components(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import models as M
-from tidewire.functions import rules as R
 from tidewire.operators import jobs as J
 from tidewire.operators.shared import stage
 from tidewire.operators.snapshots import Snapshots
@@ -19,9 +18,10 @@ MAX_FAILURES = 5
 REASONS = "array<struct<rule: string, delta: int, detail: string>>"
 ARTICLES = (
     "id long, canonical_url string, url string, title string, summary string, author string, publisher_domain string, source_id int, base_credibility int, published_at timestamp, category string, "
-    f"org_slugs array<string>, tags array<string>, credibility int, reasons {REASONS}, is_rumour boolean, impact int, corroboration_count int, story_id string, v array<float>, model string"
+    f"org_slugs array<string>, tags array<string>, credibility int, reasons {REASONS}, is_rumour boolean, impact int, corroboration_count int, story_id long, v array<float>, model string"
 )
 DUPLICATES = "id long, article_id long, source_id int, url string, publisher_domain string"
+MEMBERS = "id long, story_id long"
 SCORES = f"id long, corroboration_count int, credibility int, reasons {REASONS}, is_rumour boolean, cycle long"
 RUNS = "source_id int, ran_at timestamp, ok boolean, items_seen long, items_new long, items_duplicate long, pre_filtered long, error string"
 SOURCE_STATE = "source_id int, last_polled_at timestamp, consecutive_failures int, enabled boolean, disabled_reason string"
@@ -36,11 +36,12 @@ def as_of_schema(rows: DataFrame, schema: str) -> DataFrame:
 
 
 def read_articles(store: Snapshots, version: int | None = None) -> DataFrame:
-    """The articles with the scores of the last cycle that changed them."""
-    latest = store.read("scores", SCORES, version).groupBy("id").agg(F.max_by(F.struct("corroboration_count", "credibility", "reasons", "is_rumour"), "cycle").alias("now"))
+    """The articles with the scores of the last cycle that changed them, and their story."""
+    latest = store.read("scores", SCORES, version).groupBy("id").agg(F.max_by(F.struct("corroboration_count", "credibility", "reasons", "is_rumour"), F.struct("cycle", "corroboration_count")).alias("now"))
     a = store.read("articles", ARTICLES, version).join(latest, "id", "left")
     changed = ["corroboration_count", "credibility", "reasons", "is_rumour"]
-    return a.withColumns({c: F.when(F.col("now").isNotNull(), F.col("now")[c]).otherwise(F.col(c)) for c in changed}).drop("now")
+    a = a.withColumns({c: F.when(F.col("now").isNotNull(), F.col("now")[c]).otherwise(F.col(c)) for c in changed}).drop("now", "story_id")
+    return a.join(store.read("members", MEMBERS, version), "id", "left")
 
 
 def corroborated(articles: DataFrame, duplicates: DataFrame, touched: DataFrame) -> DataFrame:
@@ -50,9 +51,7 @@ def corroborated(articles: DataFrame, duplicates: DataFrame, touched: DataFrame)
     outlets = story_outlets(articles.where("story_id IS NOT NULL"), duplicates)
     counts = J.recompute_corroboration(own, duplicates.join(own.select(F.col("id").alias("article_id")), "article_id", "left_semi"), outlets)
     c = F.col
-    again = own.drop("corroboration_count").join(counts, "id")
-    scored = R.score_credibility(title=c("title"), summary=c("summary"), url=c("url"), base=c("base_credibility"), publisher=c("publisher_domain"), author=c("author"), has_date=F.lit(True), corroboration=c("corroboration_count"))
-    again = again.withColumn("scored", scored)
+    again = own.drop("corroboration_count").join(counts, "id").withColumn("scored", J.score_credibility_of(c("corroboration_count")))
     return again.select("id", "corroboration_count", c("scored.score").alias("credibility"), c("scored.reasons").alias("reasons"), c("scored.is_rumour").alias("is_rumour"))
 
 
@@ -99,6 +98,26 @@ def run_cycle(store: Snapshots, landed: DataFrame, cycle: int, embedder: Callabl
     return True
 
 
+STORIES = (
+    "story_id long, headline string, summary string, category string, first_seen timestamp, last_updated timestamp, article_count long, source_count long, top_credibility int, max_impact int, "
+    "org_slugs array<string>, tags array<string>, centroid array<double>, embedding_model string, clustered_by string"
+)
+
+
+def run_clusters(store: Snapshots, as_of: str, days: int = J.STORY_DAYS, **how) -> None:
+    """Make the stories of the last days anew and write members, stories and scores in one version. Stories last updated before
+    the window stay, and so do the stories of articles published before it."""
+    base = store.state()
+    version = base["version"] or None
+    articles, duplicates = read_articles(store, version), store.read("duplicates", DUPLICATES, version)
+    since = F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS")
+    out = J.cluster_cycle(articles, duplicates, as_of, days, **how)
+    settled = articles.where((F.col("published_at") < since) & F.col("story_id").isNotNull()).select("id", "story_id")
+    stories = store.read("stories", STORIES, version).where(F.col("last_updated") < since).unionByName(as_of_schema(out["stories"], STORIES))
+    scores = as_of_schema(out["scores"].withColumn("cycle", F.lit(base["marks"].get("cycle", 0))), SCORES)
+    store.commit({"scores": scores}, {"members": as_of_schema(settled.unionByName(out["members"]), MEMBERS), "stories": stories}, base=base)
+
+
 def stream_cycles(landed: DataFrame, store: Snapshots, checkpoint: str, **more) -> None:
     """Every micro-batch is a cycle under the batch's number. A batch that is run again after its version was committed does nothing,
     and one that was lost before is worked out anew from the same version, so nothing is doubled or half there."""
