@@ -41,19 +41,19 @@ def words(text: Column) -> Column:
 
 def index(articles: DataFrame) -> SearchIndex:
     """articles: id, title, summary. Null texts have no words; an article without words is a document of length 0."""
-    kept = lambda w: ~w.isin(*STOP_WORDS)
-    a = articles.select("id", words(F.col("title")).alias("a"), words(F.col("summary")).alias("b"))
-    place = lambda start, title: lambda w, i: F.struct(w.alias("word"), (start + i + 1).alias("at"), F.lit(title).alias("title"))
-    a = a.select("id", F.filter(F.transform("a", place(F.lit(0), True)), lambda x: kept(x["word"])).alias("a"), "b")
-    start = F.coalesce(F.get("a", F.size("a") - 1)["at"], F.lit(0))
-    a = a.select("id", "a", F.filter(F.transform("b", place(start, False)), lambda x: kept(x["word"])).alias("b"))
-    a = a.select("id", F.concat("a", "b").alias("x"), (F.size("a") * TITLE + F.size("b") * SUMMARY).alias("length"))
-
-    each = a.select("id", "length", F.explode("x").alias("x")).groupBy("id", "length", F.col("x.word").alias("word"))
-    each = stage(each.agg(F.array_sort(F.collect_list("x.at")).alias("positions"), F.count_if("x.title").cast("int").alias("n_title")))
+    c, kept = F.col, ~F.col("word").isin(*STOP_WORDS)
+    placed = lambda of, title: F.transform(of, lambda w, i: F.struct(w.alias("word"), (i + 1).alias("at"), F.lit(title).alias("title")))
+    last = F.coalesce(F.array_max(F.transform(words(c("title")), lambda w, i: F.when(~w.isin(*STOP_WORDS), i + 1))), F.lit(0))
+    a = articles.select("id", "title", "summary", last.alias("last"))
+    each = a.select("id", "last", F.explode(F.concat(placed(words(c("title")), True), placed(words(c("summary")), False))).alias("x")).select("id", "last", "x.*")
+    each = each.where(kept).withColumn("at", F.when(c("title"), c("at")).otherwise(c("at") + c("last")))
+    each = each.groupBy("id", "word").agg(F.array_sort(F.collect_list("at")).alias("positions"), F.count_if("title").cast("int").alias("n_title"))
+    each = stage(each)
+    weight = F.sum(c("n_title") * TITLE + (F.size("positions") - c("n_title")) * SUMMARY)
+    lengths = stage(each.groupBy("id").agg(weight.alias("length")))
+    documents = stage(articles.select("id").join(lengths, "id", "left").na.fill(0.0))
     dictionary = stage(each.select("word").distinct().select("word", lexemes(F.col("word")).alias("token")))
-    postings = each.join(dictionary, "word").select(bucket_of(F.col("token")).alias("bucket"), "token", "id", "positions", "n_title", "length")
-    documents = stage(a.select("id", "length"))
+    postings = each.join(dictionary, "word").join(lengths, "id").select(bucket_of(F.col("token")).alias("bucket"), "token", "id", "positions", "n_title", "length")
     return SearchIndex(stage(postings), documents, stage(totals(documents)))
 
 
