@@ -122,10 +122,11 @@ def first_party_org(url: Column, orgs: list[Org] = DEFAULT_ORGS) -> Column:
 
 
 def tier_for_domain(domain: Column, tiers: dict[str, int] = rt.PUBLISHER_TIERS, orgs: list[Org] = DEFAULT_ORGS) -> Column:
-    """The listed tier of the host itself, then 5 for any first party, then the tier of a listed domain that it is below."""
+    """The listed tier of the host itself, then 5 for any first party, then the tier of the first listed domain that it is below."""
     host = F.regexp_replace(F.lower(domain), r"^www\.", "")
     known = _map(list(tiers.items()))
-    below = lambda x: F.get(F.array_compact(F.transform(x["ends"], lambda s: known[s])), F.lit(0))
+    place, tier = _map([(d, n) for n, d in enumerate(tiers)]), F.array(*map(F.lit, tiers.values()))
+    below = lambda x: F.get(tier, F.array_min(F.transform(x["ends"], lambda s: place[s])))
     domains = F.array(*[F.lit(d) for o in orgs for d in o.domains])
     return let(lambda x: F.coalesce(known[x["host"]], F.when(F.arrays_overlap(x["ends"], domains), 5), below(x)), host=host, ends=host_suffixes(host))
 

@@ -137,7 +137,7 @@ def cluster_stories(
         named = rows.join(parts, "class").join(alike, "class", "left").join(linked, "class", "left")
         grouped = named.select("id", F.when(F.coalesce("alike", "linked"), F.col("component")).otherwise(F.col("id")).alias("group"))
     else:
-        grouped = ordered_pass(rows, edges, parts, "first_fit")
+        grouped = ordered_pass(rows, edges, parts)
     grouped = stage(grouped)
     sizes = grouped.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
     return grouped.join(sizes, "group", "left").select("id", F.when(F.col("n").isNotNull(), F.col("group")).alias("story"))

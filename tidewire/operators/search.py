@@ -44,16 +44,16 @@ def index(articles: DataFrame) -> SearchIndex:
     c, kept = F.col, ~F.col("word").isin(*STOP_WORDS)
     placed = lambda of, title: F.transform(of, lambda w, i: F.struct(w.alias("word"), (i + 1).alias("at"), F.lit(title).alias("title")))
     last = F.coalesce(F.array_max(F.transform(words(c("title")), lambda w, i: F.when(~w.isin(*STOP_WORDS), i + 1))), F.lit(0))
-    a = articles.select("id", "title", "summary", last.alias("last"))
-    each = a.select("id", "last", F.explode(F.concat(placed(words(c("title")), True), placed(words(c("summary")), False))).alias("x")).select("id", "last", "x.*")
+    number = lambda of: F.size(F.filter(words(c(of)), lambda w: ~w.isin(*STOP_WORDS)))
+    length = number("title") * TITLE + number("summary") * SUMMARY
+    a = articles.select("id", "title", "summary", last.alias("last"), length.alias("length"))
+    each = a.select("id", "last", "length", F.explode(F.concat(placed(words(c("title")), True), placed(words(c("summary")), False))).alias("x")).select("id", "last", "length", "x.*")
     each = each.where(kept).withColumn("at", F.when(c("title"), c("at")).otherwise(c("at") + c("last")))
-    each = each.groupBy("id", "word").agg(F.array_sort(F.collect_list("at")).alias("positions"), F.count_if("title").cast("int").alias("n_title"))
+    each = each.groupBy("id", "length", "word").agg(F.array_sort(F.collect_list("at")).alias("positions"), F.count_if("title").cast("int").alias("n_title"))
     each = stage(each)
-    weight = F.sum(c("n_title") * TITLE + (F.size("positions") - c("n_title")) * SUMMARY)
-    lengths = stage(each.groupBy("id").agg(weight.alias("length")))
-    documents = stage(articles.select("id").join(lengths, "id", "left").na.fill(0.0))
+    documents = stage(a.select("id", "length"))
     dictionary = stage(each.select("word").distinct().select("word", lexemes(F.col("word")).alias("token")))
-    postings = each.join(dictionary, "word").join(lengths, "id").select(bucket_of(F.col("token")).alias("bucket"), "token", "id", "positions", "n_title", "length")
+    postings = each.join(dictionary, "word").select(bucket_of(F.col("token")).alias("bucket"), "token", "id", "positions", "n_title", "length")
     return SearchIndex(stage(postings), documents, stage(totals(documents)))
 
 
