@@ -472,6 +472,29 @@ def test_similar_groups_equal_all_pairs(spark, empty):
     assert simhash.similar_groups(empty.select("row", "text")).count() == 0
 
 
+def test_similar_groups_recall_by_similarity(spark):
+    """Pairs alone, planted at three similarities: of those at the bound itself 0.9 or more are found, and no other row is linked."""
+    rng, texts, bound = np.random.default_rng(8), [], []
+    for n, change in ((404, 41), (404, 30), (404, 19)):  # 400 shingles: changed heads and tails leave 0.80, 0.86, 0.91 of them
+        for _ in range(400):
+            own = [f"w{x}" for x in rng.integers(0, 10**6, n + change)]
+            bound.append((n - 4 - change) / (n - 4 + change))
+            texts += [" ".join(own[:n]), " ".join(own[change:])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
+    got = {r.row: r.group for r in simhash.similar_groups(docs).collect()}
+    assert all(g in (k, k - k % 2) for k, g in got.items())
+    found = np.array([got[2 * k + 1] == 2 * k for k in range(1200)]).reshape(3, 400).mean(axis=1)
+    assert np.round(np.array(bound).reshape(3, 400)[:, 0], 2).tolist() == [0.81, 0.86, 0.91]
+    assert found[0] >= 0.94 and found[1] >= 0.98 and found[2] >= 0.99, found
+
+
+def test_segment_plan():
+    assert simhash.segment_plan(0, 0.8, 0.975) == simhash.segment_plan(200_000, 0.8, 0.975) == (16, 28)
+    for n in (10**6, 10**9, 10**11):
+        segments, width = simhash.segment_plan(n, 0.8, 0.975)
+        assert segments * (width + 1) * n < 8 * 2**width and (segments * (width + 1)).bit_length() + width < 63
+
+
 # --- 10 -----------------------------------------------------------------------------------------------------------------
 
 

@@ -13,12 +13,15 @@ the other segment with the bits struck out that may still differ. All that share
 other, so each is linked to the smallest, which loses no link between components.
 
 ``similar_groups`` is the same index for another similarity: texts whose sets of ``shingle``-word shingles have a Jaccard
-similarity of at least ``similarity``. The fingerprint has ``segments * width`` bits, each text is indexed under the one-wildcard
+similarity of at least ``similarity``. For each bit of their fingerprint every shingle has a vote and a weight, both by hash, and
+the heaviest shingle's vote decides. Two texts then differ in a bit with probability (1 - similarity) / 2, 0.1 at 0.8; by equal
+votes it would be 0.152, and of pairs at 0.8 the same index would find only 0.88. Each text is indexed under the one-wildcard
 variants of every segment, and candidates are verified twice: by the bits that differ in all and by the exact similarity of the
-shingle sets. Two texts of similarity 0.8 differ in a bit with probability 0.152, so a segment of 25 bits differs in at most one
-bit with probability 0.093, and of 22 segments at least one does with 0.88 (0.97 at 0.85, 0.998 at 0.9); a text of a larger group
-has that chance with each of its near copies. Chance meetings stay rare while the number of distinct texts is below ``2 ** width``;
-for more, raise both parameters. Members of keys with more than ``large`` texts (families of near copies) form bundles. Within a
+shingle sets. The width of a segment grows with the logarithm of the number of rows (28 bits up to 262,144 rows, 36 at 67
+million), so that a text has about as many chance meetings at every size, and as many segments are taken as find a pair at
+``similarity`` with probability ``recall`` (16 segments of 28 bits for 0.975; more similar pairs are found nearly always: 0.999 at
+0.85); a text of a larger group has that chance with each of its near copies. Members of keys with more than ``large`` texts
+(families of near copies) form bundles. Within a
 bundle nothing is paired by rows: its texts are dealt to blocks, each pair of blocks is one task of bounded size that compares
 their shingle sets exactly and returns the links of a spanning forest, which loses no link between components.
 
@@ -168,17 +171,29 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(mix(out, 13))
 
 
-def segment_values(hashes: np.ndarray, segments: int, width: int, block: int = 8192) -> list[int]:
-    """The SimHash of ``segments * width`` bits of a set of hashes, cut into segments."""
-    words = -(-segments * width // 64)
-    ones = np.zeros(64 * words, np.int64)
-    for at in range(0, len(hashes), block):
-        own = mix(hashes[at : at + block, None], np.arange(101, 101 + words, dtype=np.uint64)[None, :])
-        ones += np.unpackbits(np.ascontiguousarray(own.astype("<u8")).view(np.uint8).reshape(len(own), -1), axis=1).sum(axis=0, dtype=np.int64)
-    bits = (2 * ones > len(hashes))[: segments * width].reshape(segments, width)
+def segment_values(hashes: np.ndarray, segments: int, width: int, block: int = 64) -> list[int]:
+    """A bit is the vote of the set's heaviest hash, by 32-bit weights of that bit; ``segments * width`` bits, cut into segments."""
+    own = mix(np.arange(segments * width, dtype=np.uint64), 101).astype(np.uint32)
+    odd, plus, least = own | np.uint32(1), mix(own.astype(np.uint64), 102).astype(np.uint32), np.full(len(own), ~np.uint32(0))
+    short, weight = hashes.astype(np.uint32), np.empty((block, len(own)), np.uint32)
+    for at in range(0, len(short), block):
+        some = weight[: min(block, len(short) - at)]
+        np.multiply(short[at : at + block, None], odd, out=some)
+        np.add(some, plus, out=some)
+        np.minimum(least, some.min(axis=0), out=least)
+    bits = (mix(least.astype(np.uint64), 103) & np.uint64(1)).astype(np.int64).reshape(segments, width)
     return (bits @ (1 << np.arange(width))).tolist()
 
 
+def segment_plan(n: int, similarity: float, recall: float) -> tuple[int, int]:
+    """(segments, width) for n rows."""
+    from math import ceil, log, log2
+
+    same, width = (1 + similarity) / 2, max(28, ceil(log2(max(n, 1))) + 10)
+    found = same**width + width * (1 - same) * same ** (width - 1)
+    return ceil(log(1 - recall) / log(1 - found)), width
+
+
 SKETCH = "struct<digest: binary, size: long, segs: array<long>>"
 
 
@@ -242,13 +257,14 @@ def block_links(similarity: float):
     return links_of
 
 
-def similar_groups(rows: DataFrame, *, row: str = "row", text: str = "text", shingle: int = 5, similarity: float = 0.8, segments: int = 22, width: int = 25, large: int = 16, block: int = 256, block_shingles: int = 400_000) -> DataFrame:
+def similar_groups(rows: DataFrame, *, row: str = "row", text: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.975, large: int = 16, block: int = 256, block_shingles: int = 400_000) -> DataFrame:
     """(row, group) for each row of a written table that numbers its rows in ``row``: the smallest number of its group.
 
     Texts with equal shingle sets are one class. A null or empty text has the empty set; all of these are one group.
     """
-    from math import acos, ceil, pi, sqrt
+    from math import ceil, sqrt
 
+    segments, width = segment_plan(rows.count(), similarity, recall)
     told = staged(rows.select(F.col(row).alias("row"), sketches(F.col(text), shingle, segments, width).alias("k")).select("row", "k.*"), "similar-rows")
     classes = told.groupBy("digest").agg(F.min("row").alias("node"), F.first("size").alias("size"), F.first("segs").alias("segs"))
     classes = staged(classes, "similar-classes")
@@ -268,8 +284,7 @@ def similar_groups(rows: DataFrame, *, row: str = "row", text: str = "text", shi
     meet = (F.col("whole") & (F.col("node_a") < F.col("node_b"))) | (~F.col("whole") & (F.col("bit_a") < F.col("bit_b")))
     pairs = a.join(b.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & apart & meet)
     pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    bits = segments * width
-    p = acos(2 * similarity / (1 + similarity)) / pi
+    bits, p = segments * width, (1 - similarity) / 2
     most = ceil(bits * p + 4 * sqrt(bits * p * (1 - p)))  # four deviations beyond what the similarity makes differ
     part = lambda c: classes.select(F.col("node").alias(c), F.col("segs").alias(f"segs_{c}"), F.col("size").alias(f"size_{c}"))
     differ = F.aggregate(F.zip_with("segs_a", "segs_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
