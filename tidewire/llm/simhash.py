@@ -171,7 +171,7 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(mix(out, 13))
 
 
-def segment_values(hashes: np.ndarray, segments: int, width: int, block: int = 64) -> list[int]:
+def segment_values(hashes: np.ndarray, segments: int, width: int, block: int = 256) -> list[int]:
     """A bit is the vote of the set's heaviest hash, by 32-bit weights of that bit; ``segments * width`` bits, cut into segments."""
     own = mix(np.arange(segments * width, dtype=np.uint64), 101).astype(np.uint32)
     odd, plus, least = own | np.uint32(1), mix(own.astype(np.uint64), 102).astype(np.uint32), np.full(len(own), ~np.uint32(0))
