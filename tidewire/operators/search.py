@@ -15,6 +15,7 @@ import zlib
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,21 +40,44 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def index(articles: DataFrame) -> SearchIndex:
-    """articles: id, title, summary. Null texts have no words; an article without words is a document of length 0."""
-    c, kept = F.col, ~F.col("word").isin(*STOP_WORDS)
-    placed = lambda of, title: F.transform(of, lambda w, i: F.struct(w.alias("word"), (i + 1).alias("at"), F.lit(title).alias("title")))
-    last = F.coalesce(F.array_max(F.transform(words(c("title")), lambda w, i: F.when(~w.isin(*STOP_WORDS), i + 1))), F.lit(0))
-    number = lambda of: F.size(F.filter(words(c(of)), lambda w: ~w.isin(*STOP_WORDS)))
-    length = number("title") * TITLE + number("summary") * SUMMARY
-    a = articles.select("id", "title", "summary", last.alias("last"), length.alias("length"))
-    each = a.select("id", "last", "length", F.explode(F.concat(placed(words(c("title")), True), placed(words(c("summary")), False))).alias("x")).select("id", "last", "length", "x.*")
-    each = each.where(kept).withColumn("at", F.when(c("title"), c("at")).otherwise(c("at") + c("last")))
-    each = each.groupBy("id", "length", "word").agg(F.array_sort(F.collect_list("at")).alias("positions"), F.count_if("title").cast("int").alias("n_title"))
-    each = stage(each)
-    documents = stage(a.select("id", "length"))
+def gathered(title: list[str], summary: list[str]) -> list[tuple[str, list[int], int]]:
+    """(word, its places, how many of these in the title) for the words but stop words."""
+    found, last = {}, 0
+    for n, w in enumerate(title, 1):
+        if w not in STOP_WORDS:
+            found.setdefault(w, []).append(n)
+            last = n
+    in_title = {w: len(at) for w, at in found.items()}
+    for n, w in enumerate(summary, last + 1):
+        if w not in STOP_WORDS:
+            found.setdefault(w, []).append(n)
+    return [(w, at, in_title.get(w, 0)) for w, at in found.items()]
+
+
+def places(title: Column, summary: Column) -> Column:
+    """Of the words of a title and a summary, in order: see ``gathered``."""
+
+    @F.pandas_udf("array<struct<word: string, positions: array<int>, n_title: int>>")
+    def of(titles: pd.Series, summaries: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("word", "positions", "n_title"), x)) for x in gathered(t, s)] for t, s in zip(titles, summaries)])
+
+    return of(title, summary)
+
+
+def index(articles: DataFrame, known: int = 1_000_000) -> SearchIndex:
+    """articles: id, title, summary. Null texts have no words; an article without words is a document of length 0.
+
+    A text's places are gathered where the text is read, so no place is shuffled; the dictionary goes to them by broadcast up
+    to ``known`` words and by a shuffle join beyond.
+    """
+    own = articles.select("id", places(words(F.col("title")), words(F.col("summary"))).alias("x"))
+    sizes = F.aggregate("x", F.lit(0.0), lambda t, w: t + w["n_title"] * TITLE + (F.size(w["positions"]) - w["n_title"]) * SUMMARY)
+    own = stage(own.select("id", sizes.alias("length"), "x"))
+    each = own.select("id", "length", F.explode("x").alias("x")).select("id", "length", "x.*")
     dictionary = stage(each.select("word").distinct().select("word", lexemes(F.col("word")).alias("token")))
-    postings = each.join(dictionary, "word").select(bucket_of(F.col("token")).alias("bucket"), "token", "id", "positions", "n_title", "length")
+    named = each.join(F.broadcast(dictionary) if dictionary.count() <= known else dictionary, "word")
+    postings = named.select(bucket_of(F.col("token")).alias("bucket"), "token", "id", "positions", "n_title", "length")
+    documents = stage(own.select("id", "length"))
     return SearchIndex(stage(postings), documents, stage(totals(documents)))
 
 
