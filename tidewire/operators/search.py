@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,14 +55,28 @@ def gathered(title: list[str], summary: list[str]) -> list[tuple[str, list[int],
     return [(w, at, in_title.get(w, 0)) for w, at in found.items()]
 
 
-def places(title: Column, summary: Column) -> Column:
-    """Of the words of a title and a summary, in order: see ``gathered``."""
+def places(block: int = 20_000):
+    """From batches of (id, length, title, summary), the latter two as words in order, to rows of ``gathered``: a text at a time."""
 
-    @F.pandas_udf("array<struct<word: string, positions: array<int>, n_title: int>>")
-    def of(titles: pd.Series, summaries: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("word", "positions", "n_title"), x)) for x in gathered(t, s)] for t, s in zip(titles, summaries)])
+    def batch(rows: list[tuple], key: pa.DataType) -> pa.RecordBatch:
+        names, kinds = ("id", "length", "word", "positions", "n_title"), (key, pa.float64(), pa.string(), pa.list_(pa.int32()), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
 
-    return of(title, summary)
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given in batches:
+            key, length, title, summary = (given.column(k) for k in range(4))
+            rows = []
+            for k in range(given.num_rows):
+                own = key[k].as_py(), length[k].as_py()
+                for word in gathered(title[k].as_py(), summary[k].as_py()):
+                    rows.append((*own, *word))
+                    if len(rows) == block:
+                        yield batch(rows, key.type)
+                        rows = []
+            if rows:
+                yield batch(rows, key.type)
+
+    return of
 
 
 def index(articles: DataFrame, known: int = 1_000_000) -> SearchIndex:
@@ -70,14 +85,16 @@ def index(articles: DataFrame, known: int = 1_000_000) -> SearchIndex:
     A text's places are gathered where the text is read, so no place is shuffled; the dictionary goes to them by broadcast up
     to ``known`` words and by a shuffle join beyond.
     """
-    own = articles.select("id", places(words(F.col("title")), words(F.col("summary"))).alias("x"))
-    sizes = F.aggregate("x", F.lit(0.0), lambda t, w: t + w["n_title"] * TITLE + (F.size(w["positions"]) - w["n_title"]) * SUMMARY)
-    own = stage(own.select("id", sizes.alias("length"), "x"))
-    each = own.select("id", "length", F.explode("x").alias("x")).select("id", "length", "x.*")
+    c = F.col
+    number = lambda of: F.size(F.filter(words(c(of)), lambda w: ~w.isin(*STOP_WORDS)))
+    length = (number("title") * TITLE + number("summary") * SUMMARY).cast("double")
+    own = articles.select("id", length.alias("length"), words(c("title")).alias("title"), words(c("summary")).alias("summary"))
+    kind = own.schema["id"].dataType.simpleString()
+    each = stage(own.mapInArrow(places(), f"id {kind}, length double, word string, positions array<int>, n_title int"))
     dictionary = stage(each.select("word").distinct().select("word", lexemes(F.col("word")).alias("token")))
     named = each.join(F.broadcast(dictionary) if dictionary.count() <= known else dictionary, "word")
     postings = named.select(bucket_of(F.col("token")).alias("bucket"), "token", "id", "positions", "n_title", "length")
-    documents = stage(own.select("id", "length"))
+    documents = stage(articles.select("id", length.alias("length")))
     return SearchIndex(stage(postings), documents, stage(totals(documents)))
 
 
