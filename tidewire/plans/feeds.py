@@ -29,13 +29,14 @@ T, S4 = SQL_PLAIN.format(c="title"), SQL_PLAIN.format(c="summary")
 
 
 def payloads(spark: SparkSession, d: str, kind: str | None = None) -> DataFrame:
-    """Articles written as feeds of their source's kind (or the given one), some dozens to a payload."""
+    """Articles written as feeds of their source's kind (or the given one), some dozens to a payload. Numbers in links have five
+    digits where a kind is given, as its query's SQL cuts them, else all that the id has, so that every item has a link of its own."""
     kinds = view(spark, d, "sources").select(C("id").alias("source_id"), C("kind"))
     a = view(spark, d, "articles").join(kinds, "source_id").withColumns({"t": plain(C("title")), "s": plain(C("summary")), "k": F.lit(kind) if kind else C("kind")})
     iso, mail = F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
     n = C("id").cast("string")
     cat = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else F.coalesce(x, F.lit("")) for x in xs])
-    number = F.lpad(n, 5, "0")
+    number = F.lpad(n, 5, "0") if kind else F.lpad(n, F.greatest(F.lit(5), F.length(n)), "0")
     rss = lambda *more: cat("<item><title>", C("t"), "</title><link>", C("url"), "</link><pubDate>", mail, "</pubDate>", *more, "</item>")
     entry = lambda href, body: cat("<entry><title>", C("t"), "</title><link rel='alternate' href='", href, "'/><content type='html'>", body, "</content><author><name>/u/", C("author"), "</name></author><published>", iso, "</published></entry>")
     item = (
