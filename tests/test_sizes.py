@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidewire.functions import rules
 from tidewire.operators import vectors
 from tidewire.operators.shared import stage
 from tidewire.plans import feeds
@@ -23,3 +24,13 @@ def test_index_of_hyperplanes_is_not_broadcast(spark, monkeypatch):
     out = vectors.cosine_join_approximate(rows, 0.8)
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert len(plans) == 3 and not any("Broadcast" in p for p in plans)
+
+
+def test_texts_that_a_pattern_needs(spark):
+    """Patterns are searched only where such a text stands; none is taken from what may be missing."""
+    assert rules.needed(r"(?i)\bopen[- ]?(weight|source)s?\b") == ["weight", "source"]
+    assert rules.needed(r"(?i)\bcolou?rs? of (the )?water\b") == ["water"]
+    assert rules.needed(r"\b(ban(ned|s)?|x)\b") == [] and rules.needed("model card|mcp") == [] and rules.needed(r"(rare){0,1}(?!never)[a-z]+") == []
+    text = [("The LEAKİ of a leakK, leaked",), ("Customer\nSTORY, case Stories",), ("colours of water",), ("",), (None,)]
+    rows = spark.createDataFrame(text, "t string").select(*[rules.any_of(F.col("t"), [p]).alias(f"p{n}") for n, p in enumerate([r"(?i)\bleak(ed|s)?\b", r"(?i)\b(customer|case) stor(y|ies)\b", r"(?i)\bcolou?rs? of (the )?water\b"])])
+    assert [tuple(bool(v) for v in r) for r in rows.collect()] == [(True, False, False), (False, True, False), (False, False, True), (False,) * 3, (False,) * 3]
