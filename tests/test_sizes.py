@@ -1,11 +1,13 @@
-"""What small tables don't show: ids of many digits, indexes larger than their files."""
+"""What small tables don't show: ids of many digits, rare word forms, indexes larger than their files."""
 
 from pyspark.sql import functions as F
 
 from tidewire.functions import rules
+from tidewire.functions.stemmer import FOURTH, SECOND, THIRD, lexeme
 from tidewire.operators import vectors
 from tidewire.operators.shared import stage
 from tidewire.plans import feeds
+from tidewire.plans.relational import ENDINGS, every_form, forms
 
 
 def test_items_of_long_ids_keep_their_links(spark, sf, tmp_path):
@@ -16,6 +18,16 @@ def test_items_of_long_ids_keep_their_links(spark, sf, tmp_path):
     assert len(found) == 8 and all(r.urls == r.n for r in found), found
 
 
+def test_every_word_form_is_listed():
+    """Against the stemmer over two endings, of the steps' tables too."""
+    ends = ["", "e", *ENDINGS, *SECOND, *THIRD, *FOURTH]
+    for token in ("anan", "ther"):
+        listed = set(every_form(token)[1:-1].split("', '"))
+        assert set(forms(token)[1:-1].split("', '")) < listed
+        assert {token + a + b + c for a in ends for b in ends for c in ("", "s") if lexeme(token + a + b + c) == token} <= listed
+        assert all(lexeme(w) == token for w in listed)
+
+
 def test_index_of_hyperplanes_is_not_broadcast(spark, monkeypatch):
     """Its files are far smaller than its rows: neither it nor the vectors may go to the driver."""
     rows = spark.range(300).select("id", F.transform(F.sequence(F.lit(1), F.lit(16)), lambda j: F.sin(F.col("id") * j + j)).alias("v"))

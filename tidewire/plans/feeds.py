@@ -10,7 +10,7 @@ from tidewire.operators.shared import new_folder, stage
 from tidewire.operators.snapshots import Snapshots
 from tidewire.plans.enrichment import ORGS, RULES, TAGS
 from tidewire.plans.registry import query
-from tidewire.plans.relational import indexed, ranked, text_times
+from tidewire.plans.relational import every_form, indexed, ranked, text_times
 from tidewire.plans.stories import items
 from tidewire.sources import payloads as P
 from tidewire.sources.views import AS_OF, ctes, view
@@ -136,7 +136,7 @@ def search_match(spark: SparkSession, d: str) -> DataFrame:
     return S.search_match(S.index(view(spark, d, "full_articles")), QUERY)
 
 
-@query("search_rank", ctes("full_articles").rstrip() + indexed("full_articles", "anan", "ther") + ranked("full_articles", "anan", "ther") + " SELECT id, round(rank, 6) AS score FROM r")
+@query("search_rank", ctes("full_articles").rstrip() + indexed("full_articles", "anan", "ther", forms=every_form) + ranked("full_articles", "anan", "ther") + " SELECT id, round(rank, 6) AS score FROM r")
 def search_rank(spark: SparkSession, d: str) -> DataFrame:
     return S.search_rank(S.index(view(spark, d, "full_articles")), "with anan therly").select("id", F.round("score", 6).alias("score"))
 
