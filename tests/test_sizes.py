@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import rules
 from tidewire.functions.stemmer import FOURTH, SECOND, THIRD, lexeme
+from tidewire.llm import simhash
 from tidewire.operators import vectors
 from tidewire.operators.shared import stage
 from tidewire.plans import feeds
@@ -46,3 +47,14 @@ def test_texts_that_a_pattern_needs(spark):
     text = [("The LEAKİ of a leakK, leaked",), ("Customer\nSTORY, case Stories",), ("colours of water",), ("",), (None,)]
     rows = spark.createDataFrame(text, "t string").select(*[rules.any_of(F.col("t"), [p]).alias(f"p{n}") for n, p in enumerate([r"(?i)\bleak(ed|s)?\b", r"(?i)\b(customer|case) stor(y|ies)\b", r"(?i)\bcolou?rs? of (the )?water\b"])])
     assert [tuple(bool(v) for v in r) for r in rows.collect()] == [(True, False, False), (False, True, False), (False, False, True), (False,) * 3, (False,) * 3]
+
+
+def test_bundles_are_told_without_a_join(spark, monkeypatch):
+    """The least row of a key comes with the key's counts, so that a large bundle makes no rows of a join."""
+    staged, plans = simhash.staged, {}
+    monkeypatch.setattr(simhash, "staged", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), staged(df, name))[1])
+    words = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join([*words[:k], f"x{k}", *words[k + 1 :]])) for k in range(40)] + [(90, "a text of its own that no other is like")]
+    table = spark.createDataFrame(rows, "row long, text string")
+    got = {r.row: r.group for r in simhash.similar_groups(staged(table, "test-rows")).collect()}
+    assert got == {k: 90 if k == 90 else 0 for k, _ in rows} and "Join" not in plans["similar-stars"]

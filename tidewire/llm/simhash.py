@@ -271,13 +271,14 @@ def similar_groups(rows: DataFrame, *, row: str = "row", text: str = "text", shi
 
     by = Window.partitionBy("key")
     index = variants(classes.where("size > 0"), width).withColumn("n", F.count("*").over(by)).where("n > 1").withColumn("n1", F.sum("bit").over(by))
-    index = staged(index.where("whole OR (n1 > 0 AND n1 < n)").select("node", "key", "bit", "whole", "n"), "similar-index")
+    index = index.withColumn("least", F.min("node").over(by)).where("whole OR (n1 > 0 AND n1 < n)")  # of a key all rows stay or none
+    index = staged(index.select("node", "key", "bit", "whole", "n", "least"), "similar-index")
 
     hot = index.where(F.col("n") > large)
-    stars = hot.join(hot.groupBy("key").agg(F.min("node").alias("a")), "key").where("a < node").select("a", F.col("node").alias("b")).distinct()
+    stars = hot.where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     bundles = staged(_with_roots(components(staged(stars, "similar-stars"))), "similar-bundles")
 
-    some = staged(index.where(F.col("n") <= large).join(bundles, "node", "left"), "similar-small")
+    some = staged(index.where(F.col("n") <= large).drop("least").join(bundles, "node", "left"), "similar-small")
     a = some.select("key", "whole", *[F.col(c).alias(f"{c}_a") for c in ("node", "bit", "root")])
     b = some.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "bit", "root")])
     apart = F.col("root_a").isNull() | F.col("root_b").isNull() | (F.col("root_a") != F.col("root_b"))
