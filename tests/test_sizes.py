@@ -58,3 +58,26 @@ def test_bundles_are_told_without_a_join(spark, monkeypatch):
     table = spark.createDataFrame(rows, "row long, text string")
     got = {r.row: r.group for r in simhash.similar_groups(staged(table, "test-rows")).collect()}
     assert got == {k: 90 if k == 90 else 0 for k, _ in rows} and "Join" not in plans["similar-stars"]
+
+
+def test_first_fit_writes_no_link_by_vectors(spark, monkeypatch):
+    """1,500 vectors that all match: over a million links, of which none is written or gathered in a task; and a chain of titles."""
+    from tidewire.operators import jobs, similarity
+
+    written = []
+
+    def counted(df):
+        out = stage(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(jobs, "stage", counted)
+    monkeypatch.setattr(similarity, "stage", counted)
+    n = 1500
+    v = F.array(F.lit(1.0), F.col("id") / F.lit(10.0 * n)).cast("array<float>")
+    rows = spark.range(n).select("id", F.concat(F.lit("word"), "id").alias("title"), v.alias("v"), F.lit("m").alias("model"), F.timestamp_seconds(n - F.col("id")).alias("published_at"))
+    got = jobs.cluster_stories(rows, vector_threshold=0.9)
+    assert got.where(f"story = {n - 1}").count() == n and max(written) <= 2 * n
+    chain = spark.range(90).select("id", F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.concat(F.lit("word"), F.col("id") + k)).alias("words"))
+    chain = chain.select("id", F.array_join("words", " ").alias("title"), F.lit(None).cast("array<float>").alias("v"), F.lit(None).cast("string").alias("model"), F.timestamp_seconds("id").alias("published_at"))
+    assert jobs.cluster_stories(chain).where("story = 0").count() == 90
