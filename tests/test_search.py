@@ -3,12 +3,13 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions.stemmer import lexeme, stem
 from tidewire.operators import search as S
-from tidewire.operators.shared import new_folder
+from tidewire.operators.shared import new_folder, stage
 from tidewire.sources.views import view
 
 #: Words and stems of the algorithm's sample vocabulary.
@@ -104,3 +105,29 @@ def test_totals_after_append_and_rank(stored, articles):
 def test_empty_table(articles):
     none = S.index(articles.limit(0))
     assert S.search_match(none, "dog -cat").count() == 0 and S.search_rank(none, "dog").count() == 0
+
+
+def test_index_reads_the_texts_once_and_shuffles_nothing(articles, monkeypatch):
+    plans = []
+    monkeypatch.setattr(S, "stage", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), stage(df))[1])
+    S.index(articles)
+    assert sum("regexp_replace" in p or "split(" in p for p in plans) == 1
+    assert not any("Join" in p or "hashpartitioning" in p for p in plans)
+
+
+def test_a_posting_for_each_token_and_text(articles):
+    ix = S.index(articles)
+    got = {(r.id, r.token): (list(r.positions), r.n_title) for r in ix.postings.collect()}
+    assert ix.postings.count() == len(got)
+    places = {r.id: (laid(r.title, r.summary), laid(r.title, "")) for r in articles.collect()}
+    assert got == {(k, t): (sorted(at), len(title.get(t, ()))) for k, (whole, title) in places.items() for t, at in whole.items()}
+    lengths = {r.id: r.length for r in ix.documents.collect()}
+    assert lengths.keys() == places.keys() and lengths[-1] == lengths[-2] == lengths[-3] == 0
+    assert lengths[-4] == 2 * S.TITLE + 4 * S.SUMMARY and {(r.id, r.length) for r in ix.postings.collect()} <= lengths.items()
+
+
+def test_blocks_of_texts_give_the_same_rows():
+    texts = ["", "the dogs run", "été dogs of dog 12", "of"]
+    given = pa.RecordBatch.from_arrays([pa.array(range(16)), pa.array([a for a in texts for _ in texts]), pa.array(texts * 4)], ["id", "title", "summary"])
+    every = [sorted(map(repr, (r for b in S.places(block)(iter([given, given.slice(0, 0)])) for r in b.to_pylist()))) for block in (1, 40, 10**9)]
+    assert every[0] == every[1] == every[2] and sum("'token': None" in r for r in every[0]) == 16

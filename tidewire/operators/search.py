@@ -1,8 +1,8 @@
 """Full-text search: a web-style query (all words, "a phrase", OR, -not) over an inverted index, and BM25F rank.
 
 The index is built once and read by every query: postings (token, id, positions, n_title, length), the documents' lengths, and
-their number and mean. Tokens are English stems without stop words; words are stemmed once each, in a dictionary of the
-distinct words. Positions count all words, stop words too; the summary's go on where the title's last indexed word stands, so
+their number and mean. Tokens are English stems without stop words; the distinct words of a block of texts are stemmed, those
+met before looked up. Positions count all words, stop words too; the summary's go on where the title's last indexed word stands, so
 that a phrase may run from the one into the other. Postings are stored in buckets of the token, so a query reads those of its
 own tokens alone: OR is a union, all words are semi joins of posting lists, not is an anti join, and a phrase is a
 join on positions less the word's place in it. The rank is the published BM25 with the title weighing 1.0, the summary 0.4.
@@ -14,13 +14,15 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.functions.stemmer import STOP_WORDS, lexeme, lexemes
+from tidewire.functions.stemmer import lexeme
 from tidewire.operators.shared import stage
 
 BUCKETS = 64
@@ -29,7 +31,7 @@ TITLE, SUMMARY = 1.0, 0.4
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """postings: bucket, token, id, positions, n_title, length (several rows of a token and id, if it has several word forms);
+    """postings: bucket, token, id, positions in order, n_title, length (a row of each token and id);
     documents: id, length; totals: one row (n, mean)."""
 
     postings: DataFrame
@@ -38,64 +40,76 @@ class SearchIndex:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
-
-def gathered(title: list[str], summary: list[str]) -> list[tuple[str, list[int], int]]:
-    """(word, its places, how many of these in the title) for the words but stop words."""
-    found, last = {}, 0
-    for n, w in enumerate(title, 1):
-        if w not in STOP_WORDS:
-            found.setdefault(w, []).append(n)
-            last = n
-    in_title = {w: len(at) for w, at in found.items()}
-    for n, w in enumerate(summary, last + 1):
-        if w not in STOP_WORDS:
-            found.setdefault(w, []).append(n)
-    return [(w, at, in_title.get(w, 0)) for w, at in found.items()]
-
-
-def places(block: int = 20_000):
-    """From batches of (id, length, title, summary), the latter two as words in order, to rows of ``gathered``: a text at a time."""
-
-    def batch(rows: list[tuple], key: pa.DataType) -> pa.RecordBatch:
-        names, kinds = ("id", "length", "word", "positions", "n_title"), (key, pa.float64(), pa.string(), pa.list_(pa.int32()), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
+    """In lower case, with one space between them: a string is passed on with less effort than an array of its words."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+
+
+@lru_cache(1 << 18)
+def token_of(word: str) -> str | None:
+    """A worker's own dictionary of the words that it met last; no token of the one empty word that an empty text is split into."""
+    return lexeme(word) if word else None
+
+
+def laid(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of all texts, the row of each and its place in its text, from 1."""
+    split = pc.split_pattern(texts, " ")
+    n = split.value_lengths().to_numpy()
+    return split.flatten(), np.repeat(np.arange(len(n)), n), np.arange(1, n.sum() + 1) - np.repeat(n.cumsum() - n, n)
+
+
+def posted(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """A row without token for each text, then one for each token and text, by token."""
+    key, n = rows.column(0), rows.num_rows
+    (a, row_a, at_a), (b, row_b, at_b) = laid(rows.column(1)), laid(rows.column(2))
+    coded = pa.concat_arrays([a, b]).dictionary_encode()
+    stems = [token_of(w) for w in coded.dictionary.to_pylist()]
+    tokens = sorted({t for t in stems if t is not None})
+    number = {t: k for k, t in enumerate(tokens)} | {None: -1}
+    code = np.array([number[t] for t in stems], np.int64)[coded.indices.to_numpy()]
+    last = np.zeros(n, np.int64)
+    np.maximum.at(last, row_a, np.where(code[: len(a)] >= 0, at_a, 0))
+    kept = np.flatnonzero(code >= 0)
+    row, at, in_title = np.concatenate([row_a, row_b])[kept], np.concatenate([at_a, at_b + last[row_b]])[kept], kept < len(a)
+    length = np.bincount(row[in_title], minlength=n) * TITLE + np.bincount(row[~in_title], minlength=n) * SUMMARY
+    pair = code[kept] * n + row
+    order = np.argsort(pair, kind="stable")
+    pair = pair[order]
+    starts = np.flatnonzero(np.diff(pair, prepend=-1))
+    own, token = pair[starts] % n, pair[starts] // n
+    of, no = np.concatenate([np.arange(n), own]), np.zeros(n, np.int64)
+    named = pa.array(np.concatenate([no, token]), mask=np.arange(len(of)) < n)
+    ends = np.concatenate([no, starts, [len(order)]])
+    n_title = np.add.reduceat(in_title[order], starts, dtype=np.int64) if len(starts) else starts
+    positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at[order], pa.int32()))
+    columns = [pa.array(tokens, pa.string()).take(named), key.take(pa.array(of)), positions, pa.array(np.concatenate([no, n_title]), pa.int32()), pa.array(length[of])]
+    return pa.RecordBatch.from_arrays(columns, ["token", "id", "positions", "n_title", "length"])
+
+
+def places(block: int = 6_000_000):
+    """From batches of (id, title, summary), the latter two as ``words``, to ``posted`` of some texts with about ``block`` bytes together."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for given in batches:
-            key, length, title, summary = (given.column(k) for k in range(4))
-            rows = []
-            for k in range(given.num_rows):
-                own = key[k].as_py(), length[k].as_py()
-                for word in gathered(title[k].as_py(), summary[k].as_py()):
-                    rows.append((*own, *word))
-                    if len(rows) == block:
-                        yield batch(rows, key.type)
-                        rows = []
-            if rows:
-                yield batch(rows, key.type)
+            size = sum(pc.binary_length(given.column(k)).to_numpy().astype(np.int64) for k in (1, 2))
+            cuts = np.flatnonzero(np.diff((size.cumsum() - size) // block, prepend=-1))
+            for a, b in zip(cuts, [*cuts[1:], given.num_rows]):
+                yield posted(given.slice(a, b - a))
 
     return of
 
 
-def index(articles: DataFrame, known: int = 1_000_000) -> SearchIndex:
+def index(articles: DataFrame) -> SearchIndex:
     """articles: id, title, summary. Null texts have no words; an article without words is a document of length 0.
 
-    A text's places are gathered where the text is read, so no place is shuffled; the dictionary goes to them by broadcast up
-    to ``known`` words and by a shuffle join beyond.
+    The texts are read once, nothing is shuffled or joined: tokens and their places are gathered where the texts are read, for the
+    texts of a block at once. A block's rows lie by token, so that the pages of other tokens are skipped by their least and greatest.
     """
-    c = F.col
-    number = lambda of: F.size(F.filter(words(c(of)), lambda w: ~w.isin(*STOP_WORDS)))
-    length = (number("title") * TITLE + number("summary") * SUMMARY).cast("double")
-    own = articles.select("id", length.alias("length"), words(c("title")).alias("title"), words(c("summary")).alias("summary"))
+    own = articles.select("id", words(F.col("title")).alias("title"), words(F.col("summary")).alias("summary"))
     kind = own.schema["id"].dataType.simpleString()
-    each = stage(own.mapInArrow(places(), f"id {kind}, length double, word string, positions array<int>, n_title int"))
-    dictionary = stage(each.select("word").distinct().select("word", lexemes(F.col("word")).alias("token")))
-    named = each.join(F.broadcast(dictionary) if dictionary.count() <= known else dictionary, "word")
-    postings = named.select(bucket_of(F.col("token")).alias("bucket"), "token", "id", "positions", "n_title", "length")
-    documents = stage(articles.select("id", length.alias("length")))
-    return SearchIndex(stage(postings), documents, stage(totals(documents)))
+    rows = stage(own.mapInArrow(places(), f"token string, id {kind}, positions array<int>, n_title int, length double"))
+    documents = rows.where("token IS NULL").select("id", "length")
+    postings = rows.where("token IS NOT NULL").select(bucket_of(F.col("token")).alias("bucket"), *rows.columns)
+    return SearchIndex(postings, documents, stage(totals(documents)))
 
 
 def bucket_of(token: Column) -> Column:
