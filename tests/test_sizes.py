@@ -7,7 +7,7 @@ from tidewire.functions.stemmer import FOURTH, SECOND, THIRD, lexeme
 from tidewire.llm import simhash
 from tidewire.operators import vectors
 from tidewire.operators.shared import stage
-from tidewire.plans import feeds
+from tidewire.plans import catalog, feeds
 from tidewire.plans.relational import ENDINGS, every_form, forms
 
 
@@ -81,3 +81,10 @@ def test_first_fit_writes_no_link_by_vectors(spark, monkeypatch):
     chain = spark.range(90).select("id", F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.concat(F.lit("word"), F.col("id") + k)).alias("words"))
     chain = chain.select("id", F.array_join("words", " ").alias("title"), F.lit(None).cast("array<float>").alias("v"), F.lit(None).cast("string").alias("model"), F.timestamp_seconds("id").alias("published_at"))
     assert jobs.cluster_stories(chain).where("story = 0").count() == 90
+
+
+def test_a_rescored_row_is_scored_once(spark, sf):
+    """A filter on the score must not have every pattern searched in the join and again for the rows that pass."""
+    for name in ("rescore", "score_movement"):
+        plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RLIKE") == len(rules.rt.RUMOUR_PATTERNS), name
